@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import entities, fixed, jsontext, text as texts, values
 from ..functions.sql import case, first_value, lit, struct
+from ._settle import settle
 
 _STRINGS = "cast(array() AS array<string>)"
 ENTITIES = "map<string,array<string>>"
@@ -208,6 +209,7 @@ def analyze(
             ),
         )
     )
+    staged = settle(staged, [*df.columns, "_lower"], ["_error", "_type", "_branch", "_record"])
     staged = with_fields(staged, "_branch")
     analysis = struct(
         error="_error",
@@ -219,9 +221,10 @@ def analyze(
         confidence_score="coalesce(try_variant_get(_record, '$.confidence', 'double'), 0.8D)",
         text_stats=texts.text_stats(text),
     )
-    return staged.selectExpr(
+    done = staged.selectExpr(
         *[f"`{c}`" for c in df.columns],
         f"{analysis} AS analysis",
         "IF(_error IS NULL, fields, NULL) AS fields",
         "IF(_error IS NULL, items_total, NULL) AS items_total",
     )
+    return settle(done, df.columns, ["analysis", "fields", "items_total"])

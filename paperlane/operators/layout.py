@@ -5,10 +5,9 @@ Tokens: `doc_id`, `page` (from 1), `pos` (order of recognition), `text`,
 (page, pos) identifies a token of a document.
 
 A document or a page may hold a large share of all tokens. Sums and counts are
-combined before they are shuffled. Ordered work is done in pieces: a piece of
-a page is a run of positions, a strip of pixels or a run of cells, pieces are
-numbered and joined with the totals of the pieces before them. Only whole
-strings are put together per document, and only where they fit in a value;
+combined before they are shuffled. Ordered work is done in pieces: runs of
+positions, strips of a row, runs of cells; what comes before a piece is known
+from totals of the pieces before it. Only whole strings are put together per document, and only where they fit in a value;
 the pieces of longer documents are available from `text_pieces`.
 """
 
@@ -20,7 +19,7 @@ from ..functions import fixed, text as texts
 
 KEY = "doc_id"
 PIECE = 4096  # tokens, cells or elements put together at once
-STRIP = 2000  # height and width in pixels of the strips a page is cut into
+STRIP = 500  # width in pixels of the strips a row of cells is cut into
 MAX_CHARS = 256 * 1024 * 1024  # longest text put together as one value
 
 
@@ -66,19 +65,33 @@ def whole_texts(pieces: DataFrame, separator: str, max_chars: int = MAX_CHARS) -
     return joined.select(KEY, F.expr(f"array_join({_in_order('items', 'text')}, '{separator}')").alias("content"))
 
 
-def _page_time(tokens: DataFrame) -> DataFrame:
-    """Recognition time per document: every token carries its page's time, which counts once."""
-    if "processing_time" not in tokens.columns:
-        return tokens.groupBy(KEY).agg(F.lit(0.0).alias("processing_time"))
-    pages = tokens.groupBy(KEY, "page").agg(F.max("processing_time").alias("t"))
-    return pages.groupBy(KEY).agg(F.coalesce(F.sum("t"), F.lit(0.0)).alias("processing_time"))
+_KINDS = ["heading", "title", "paragraph", "text"]
 
 
-def _page_counts(tokens: DataFrame, pages: DataFrame | None) -> DataFrame:
-    """Pages per document; `pages` (doc_id, page) also lists pages without tokens."""
-    listed = tokens.select(KEY, "page") if pages is None else pages.select(KEY, "page")
-    return listed.groupBy(KEY, "page").agg(F.lit(1).alias("one")).groupBy(KEY).agg(
-        F.count("page").cast("int").alias("pages_processed")
+def document_figures(tokens: DataFrame, threshold: float, pages: DataFrame | None = None) -> DataFrame:
+    """Counts, sums and times per document, by way of its pages; all combined before they are shuffled.
+
+    Every token carries its page's recognition time, which counts once.
+    `pages` (doc_id, page) also lists pages without tokens.
+    """
+    time = F.col("processing_time") if "processing_time" in tokens.columns else F.lit(0.0)
+    sure = F.col("confidence") >= threshold
+    kind = F.expr(texts.classify_element("text"))
+    sums = {
+        "total_items": F.count(F.lit(1)),
+        "filtered_items": F.count_if(sure),
+        "sure_sum": F.sum(F.when(sure, F.col("confidence"))),
+        "confidence_sum": F.sum("confidence"),
+        **{f"{k}s": F.count_if(kind == k) for k in _KINDS},
+    }
+    by_page = tokens.groupBy(KEY, "page").agg(F.max(time).alias("page_time"), *[c.alias(n) for n, c in sums.items()])
+    if pages is not None:
+        by_page = pages.select(KEY, "page").distinct().join(by_page, [KEY, "page"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return by_page.groupBy(KEY).agg(
+        F.count("page").cast("int").alias("pages_processed"),
+        zero(F.sum("page_time")).cast("double").alias("processing_time"),
+        *[zero(F.sum(n)).alias(n) for n in sums],
     )
 
 
@@ -93,32 +106,18 @@ def assemble_text(
     `total_items` counts all tokens, `filtered_items` the sure ones;
     `content_in_pieces` marks documents too long for one value.
     """
-    sure = F.col("confidence") >= threshold
-    figures = tokens.groupBy(KEY).agg(
-        F.count(F.lit(1)).cast("int").alias("total_items"),
-        F.count_if(sure).cast("int").alias("filtered_items"),
-        F.coalesce(F.avg(F.when(sure, F.col("confidence"))), F.lit(0.0)).alias("confidence"),
-        F.sum(F.when(sure, F.length("text"))).alias("chars"),
-    )
     piece = F.struct("page", F.floor(F.col("pos") / PIECE).alias("part"))
     pieces = text_pieces(filter_confidence(tokens, threshold), ["pos"], piece, "text", " ")
-    joined = (
-        _page_counts(tokens, pages)
-        .join(figures, KEY, "left")
-        .join(_page_time(tokens), KEY, "left")
-        .join(whole_texts(pieces, " ", max_chars), KEY, "left")
-    )
-    count = lambda name: F.coalesce(F.col(name), F.lit(0)).alias(name)
+    joined = document_figures(tokens, threshold, pages).join(whole_texts(pieces, " ", max_chars), KEY, "left")
+    kept = F.col("filtered_items") > 0
     return joined.select(
         KEY,
-        F.when(F.coalesce(F.col("filtered_items"), F.lit(0)) == 0, "")
-        .otherwise(F.col("content"))
-        .alias("extracted_content"),
-        (F.col("content").isNull() & (F.col("filtered_items") > 0)).alias("content_in_pieces"),
-        count("total_items"),
-        count("filtered_items"),
-        F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
-        F.coalesce("processing_time", F.lit(0.0)).alias("processing_time"),
+        F.when(kept, F.col("content")).otherwise("").alias("extracted_content"),
+        (F.col("content").isNull() & kept).alias("content_in_pieces"),
+        F.col("total_items").cast("int"),
+        F.col("filtered_items").cast("int"),
+        F.when(kept, F.col("sure_sum") / F.col("filtered_items")).otherwise(F.lit(0.0)).alias("confidence"),
+        "processing_time",
         "pages_processed",
         F.lit("text").alias("extraction_type"),
     )
@@ -146,52 +145,31 @@ def running_totals(df: DataFrame, keys: list[str], strip: str, order: list[str],
     return joined.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop(*[f"_{n}" for n in sums])
 
 
-def _levels(tokens: DataFrame) -> DataFrame:
-    """Distinct heights of a page with their token count and the next height above.
-
-    Tokens of one height always stay together, so gaps are a matter of heights.
-    Strips without a neighbour look up the last height of the strip before.
-    """
-    levels = tokens.groupBy(KEY, "page", "y_min").agg(F.count(F.lit(1)).alias("n"))
-    levels = levels.withColumn("strip", F.floor(F.col("y_min") / STRIP))
-    last = levels.groupBy(KEY, "page", "strip").agg(F.max("y_min").alias("y_last"))
-    above = last.select(
-        KEY, "page", "strip", F.lag("y_last").over(Window.partitionBy(KEY, "page").orderBy("strip")).alias("y_above")
-    )
-    within = Window.partitionBy(KEY, "page", "strip").orderBy("y_min")
-    return (
-        levels.withColumn("y_prev", F.lag("y_min").over(within))
-        .join(above, [KEY, "page", "strip"])
-        .withColumn("gap", F.col("y_min") - F.coalesce("y_prev", "y_above"))
-        .select(KEY, "page", "strip", "y_min", "n", "gap")
-    )
-
-
 def table_levels(tokens: DataFrame, table_gap: float = fixed.TABLE_GAP, row_gap: float = fixed.ROW_GAP) -> DataFrame:
     """(document, page, y_min) of every height that lies in a table, with its table and row number.
 
     A vertical gap of `table_gap` or more starts a new group; groups of one
     token are no tables. Within a table a gap of `row_gap` or more starts a row.
+
+    Tokens of one height always stay together, so gaps are a matter of heights:
+    tokens are first counted per height, which leaves a page at most as many
+    rows as it has pixel lines, however many tokens it holds.
     """
-    new_group = (F.coalesce("gap", F.lit(float("inf"))) >= table_gap).cast("int")
-    new_row = (F.coalesce("gap", F.lit(float("inf"))) >= row_gap).cast("int")
-    numbered = running_totals(
-        _levels(tokens), [KEY, "page"], "strip", ["y_min"], {"group_no": new_group, "row_at": new_row}
-    )
-    groups = (
-        numbered.groupBy(KEY, "page", "group_no")
-        .agg(F.sum("n").alias("tokens"), F.min("row_at").alias("first_row"), F.min("y_min").alias("top"))
+    levels = tokens.groupBy(KEY, "page", "y_min").agg(F.count(F.lit(1)).alias("n"))
+    down = Window.partitionBy(KEY, "page").orderBy("y_min")
+    so_far = down.rowsBetween(Window.unboundedPreceding, 0)
+    group = Window.partitionBy(KEY, "page", "group_no")
+    gap = F.coalesce(F.col("y_min") - F.lag("y_min").over(down), F.lit(float("inf")))
+    starts = lambda limit: (F.col("gap") >= limit).cast("int")
+    grouped = (
+        levels.withColumn("gap", gap)
+        .withColumns({"group_no": F.sum(starts(table_gap)).over(so_far), "row_at": F.sum(starts(row_gap)).over(so_far)})
+        .withColumns({"tokens": F.sum("n").over(group), "first_row": F.min("row_at").over(group)})
         .where(F.col("tokens") > 1)
-        .withColumn("strip", F.floor(F.col("top") / STRIP))
     )
-    tables = running_totals(groups, [KEY, "page"], "strip", ["group_no"], {"table_no": F.lit(1)})
-    kept = tables.select(KEY, "page", "group_no", "table_no", "first_row")
-    return numbered.join(kept, [KEY, "page", "group_no"]).select(
-        KEY,
-        "page",
-        "y_min",
-        F.col("table_no").cast("int"),
-        (F.col("row_at") - F.col("first_row") + 1).cast("int").alias("row_no"),
+    numbered = grouped.withColumn("table_no", F.dense_rank().over(Window.partitionBy(KEY, "page").orderBy("group_no")))
+    return numbered.select(
+        KEY, "page", "y_min", "table_no", (F.col("row_at") - F.col("first_row") + 1).cast("int").alias("row_no")
     )
 
 
@@ -227,12 +205,15 @@ def table_result(tokens: DataFrame, pages: DataFrame | None = None, max_chars: i
     """One row per document: rendered tables, their number, fixed confidence."""
     cells = group_rows(tokens)
     tables = (
-        table_levels(tokens).select(KEY, "page", "table_no").distinct().groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
+        table_levels(tokens)
+        .groupBy(KEY, "page")
+        .agg(F.max("table_no").alias("n"))
+        .groupBy(KEY)
+        .agg(F.sum("n").alias("n"))
     )
     joined = (
-        _page_counts(tokens, pages)
+        document_figures(tokens, 0.0, pages)
         .join(tables, KEY, "left")
-        .join(_page_time(tokens), KEY, "left")
         .join(render_tables(cells, max_chars), KEY, "left")
     )
     number = F.coalesce("n", F.lit(0)).cast("int")
@@ -245,7 +226,7 @@ def table_result(tokens: DataFrame, pages: DataFrame | None = None, max_chars: i
         F.coalesce(F.nullif("content", F.lit("")), note).alias("extracted_content"),
         number.alias("total_tables"),
         "pages_processed",
-        F.coalesce("processing_time", F.lit(0.0)).alias("processing_time"),
+        "processing_time",
         F.lit(fixed.TABLE_CONFIDENCE).alias("confidence"),
         F.lit("table").alias("extraction_type"),
     )
@@ -258,24 +239,9 @@ def structure_elements(tokens: DataFrame) -> DataFrame:
 
 def structure_result(tokens: DataFrame, pages: DataFrame | None = None, max_chars: int = MAX_CHARS) -> DataFrame:
     """One row per document: all tokens as lines, counts per element type, mean confidence."""
-    kinds = ["heading", "title", "paragraph", "text"]
-    figures = (
-        structure_elements(tokens)
-        .groupBy(KEY)
-        .agg(
-            F.count(F.lit(1)).cast("int").alias("total_elements"),
-            F.avg("confidence").alias("confidence"),
-            *[F.count_if(F.col("element_type") == k).cast("int").alias(f"{k}s") for k in kinds],
-        )
-    )
     piece = F.struct("page", F.floor(F.col("pos") / PIECE).alias("part"))
     lines = whole_texts(text_pieces(tokens, ["pos"], piece, "text", "\\n"), "\\n", max_chars)
-    joined = (
-        _page_counts(tokens, pages)
-        .join(figures, KEY, "left")
-        .join(_page_time(tokens), KEY, "left")
-        .join(lines, KEY, "left")
-    )
+    joined = document_figures(tokens, 0.0, pages).join(lines, KEY, "left")
     note = F.concat(
         F.lit("Extracted structure from "), F.col("pages_processed").cast("string"),
         F.lit(" pages, but no text content could be extracted."),
@@ -283,11 +249,11 @@ def structure_result(tokens: DataFrame, pages: DataFrame | None = None, max_char
     return joined.select(
         KEY,
         F.coalesce(F.nullif(F.expr(texts.strip("content")), F.lit("")), note).alias("extracted_content"),
-        F.coalesce("total_elements", F.lit(0)).alias("total_elements"),
-        *[F.coalesce(f"{k}s", F.lit(0)).alias(f"{k}s") for k in kinds],
+        F.col("total_items").cast("int").alias("total_elements"),
+        *[F.col(f"{k}s").cast("int").alias(f"{k}s") for k in _KINDS],
         "pages_processed",
-        F.coalesce("processing_time", F.lit(0.0)).alias("processing_time"),
-        F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+        "processing_time",
+        F.coalesce(F.try_divide("confidence_sum", "total_items"), F.lit(0.0)).alias("confidence"),
         F.lit("structure").alias("extraction_type"),
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import fixed, jsontext
+from ..functions import fixed
 
 DEFAULT_CONFIDENCE = 0.8
 
@@ -105,8 +105,9 @@ def compile_results(
     extraction: DataFrame | None = None,
     key: str = "doc_id",
     workflow_type: str = "standard",
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """One nested row per document out of the stages' results.
+    """One nested row per document out of the stages' results; `carry` names columns to keep as they are.
 
     `documents` carries `analysis` and `validation` structs, and optionally
     `filename`, `size_mb`, `extension`, `pages`, `document_type`. The extraction
@@ -131,10 +132,11 @@ def compile_results(
     analysed = F.when(failed, F.lit(None)).otherwise(F.col("analysis.confidence_score"))
     validated = F.when(F.col("validation.error").isNull(), F.col("validation.overall_score"))
     is_valid = F.coalesce(F.col("validation.is_valid"), F.lit(False))
-    ocr = F.col(f"extraction.confidence") if "confidence" in parts else F.lit(None).cast("double")
+    ocr = F.col("extraction.confidence") if "confidence" in parts else F.lit(None).cast("double")
     zero = F.lit(0.0)
     compiled = df.select(
         key,
+        *(carry or []),
         F.lit("completed").alias("processing_status"),
         F.lit(True).alias("success"),
         F.struct(

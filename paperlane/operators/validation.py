@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed, text as texts, values
 from ..functions.jsontext import FIELDS
+from ._settle import settle
 from ..functions.sql import any_of, array, case, lit, listed, struct
 
 ISSUE = "struct<check:string,code:string,field:string,observed:string,expected:string>"
@@ -295,6 +296,9 @@ def with_issues(df: DataFrame, as_of: dt.date, items_total: str = "items_total",
     )
 
 
+_REPORTED = ["_f", "_categories", "_required", "_missing", "_weak", "_business"]
+
+
 def validate(
     df: DataFrame,
     as_of: dt.date,
@@ -330,7 +334,8 @@ def validate(
         lowered = f"lower({ocr_text})"
         staged = staged.withColumn("_ocr", F.expr(check_text_presence(lowered, "ocr_text")))
         wanted.append(case([(f"{ocr_text} IS NOT NULL", _scored("ocr_consistency", "_ocr"))]))
-    staged = staged.withColumn("_categories", F.expr(f"IF(size(_f) > 0, {listed(*wanted)}, cast(array() AS array<{CATEGORY}>))"))
+    categories = f"IF(size(_f) > 0, {listed(*wanted)}, cast(array() AS array<{CATEGORY}>))"
+    staged = settle(staged.withColumn("_categories", F.expr(categories)), list(df.columns), _REPORTED)
     staged = staged.withColumn("_points", F.expr("aggregate(_categories, 0, (total, c) -> total + c.points)"))
     number = "size(_categories)"
     score = f"coalesce(try_divide(cast(_points AS double), {number} * 100), 0D)"

@@ -52,3 +52,44 @@ def contact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vendor contacts as field maps."""
     fields = fields_from_columns(["contact_email", "contact_phone", "tax_id"])
     return view(spark, sf_dir, "vendor_contacts").selectExpr("doc_id", f"{fields} AS fields")
+
+
+# A model's response to the invoice, likewise rendered in place.
+INVOICE_RESPONSE = """
+    CASE doc_id % 6 WHEN 0 THEN _js
+      WHEN 1 THEN 'Here is the result: ' || _js || ' Done.'
+      WHEN 2 THEN _js || ' and {"b":2}'
+      WHEN 3 THEN '[1,2]'
+      WHEN 4 THEN 'Dated 01/15/2024, part $ 10.00, total ' || total_amount || ', valid'
+      ELSE '' END"""
+_JSON = (
+    "'{\"vendor_name\":\"' || coalesce(vendor_name, '') || '\",\"invoice_date\":\"' || invoice_date "
+    "|| '\",\"total_amount\":\"' || total_amount || '\",\"_trace\":\"x\",\"confidence\":0.9}'"
+)
+
+
+def answered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoice texts with the response of a model, type to be detected."""
+    return view(spark, sf_dir, "invoices").selectExpr(
+        "doc_id", f"{INVOICE_TEXT} AS text", f"{_JSON} AS _js", "total_amount"
+    ).selectExpr("doc_id", "text", f"{INVOICE_RESPONSE} AS response", "'auto' AS requested_type")
+
+
+def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of the prose documents, with the time their page took."""
+    return view(spark, sf_dir, "ocr_tokens").withColumn(
+        "processing_time", F.expr("cast(page % 7 + doc_id % 3 AS double) / 10D")
+    )
+
+
+def invoice_tokens(documents: DataFrame) -> DataFrame:
+    """Lines of invoice texts as tokens of one page; every 13th document was not recognised."""
+    return (
+        documents.where("doc_id % 13 <> 0")
+        .select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+        .selectExpr(
+            "doc_id", "pos", "1 AS page", "text",
+            "cast(50 + (doc_id * 31 + pos * 17) % 50 AS double) / 100D AS confidence",
+            "0.25D AS processing_time",
+        )
+    )
