@@ -5,7 +5,20 @@ from __future__ import annotations
 from . import fixed
 from .sql import any_of, array, case, lit, struct
 
-_NOT_SPACE = "[^" + "".join(f"\\x{{{ord(c):x}}}" for c in fixed.WHITESPACE) + "]+"
+
+def _all_but(chars: str, highest: int) -> str:
+    """Character class of everything else up to `highest`; letters come first and so match at once."""
+    ranges, low = [], 0
+    for code in [*sorted(map(ord, chars)), highest + 1]:
+        if low < code <= highest + 1:
+            ranges.append((low, code - 1))
+        low = code + 1
+    ranges.sort(key=lambda r: not r[0] <= ord("a") <= r[1])
+    return "[" + "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in ranges) + "]"
+
+
+_ASCII_WORD = _all_but("".join(c for c in fixed.WHITESPACE if ord(c) < 128), 127) + "+"
+_WORD = _all_but(fixed.WHITESPACE, 0x10FFFF) + "+"
 
 
 def strip(text: str) -> str:
@@ -14,7 +27,9 @@ def strip(text: str) -> str:
 
 
 def word_count(text: str) -> str:
-    return f"regexp_count({text}, {lit(_NOT_SPACE)})"
+    """Words between white space of any kind; plain ASCII text takes a simpler pattern."""
+    ascii_only = f"octet_length({text}) = length({text})"
+    return f"IF({ascii_only}, regexp_count({text}, {lit(_ASCII_WORD)}), regexp_count({text}, {lit(_WORD)}))"
 
 
 def line_count(text: str) -> str:

@@ -15,7 +15,8 @@ def document_catalog(
 ) -> DataFrame:
     """Files below a path with size, extension and whether their format is supported.
 
-    Contents are not read; a size limit is pushed down to the listing.
+    Contents are not read; a size limit is pushed down to the listing. Spark
+    leaves out files of no bytes.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     if max_bytes is not None:
@@ -47,7 +48,9 @@ def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_name").alias("filename"),
         F.col("_metadata.file_size").alias("size_bytes"),
-        F.replace("value", F.lit("�"), F.lit("")).alias("extracted_content"),
+        F.expr(
+            r"IF(is_valid_utf8(value), value, replace(make_valid_utf8(value), '\uFFFD', ''))"
+        ).alias("extracted_content"),
     )
     known = ", ".join(f"'.{e}'" for e in fixed.TEXT_EXTENSIONS)
     return (
