@@ -42,29 +42,30 @@ def _in_order(items: str, name: str) -> str:
 def text_pieces(tokens: DataFrame, order: list[str], piece: Column, text: str, separator: str) -> DataFrame:
     """Texts of a document's pieces: `piece` and `order` sort the tokens, `piece` bounds a group.
 
-    One row per document and piece: `piece`, `text`, `chars`.
+    One row per document and piece: `piece`, `text`.
     """
     grouped = tokens.groupBy(KEY, piece.alias("piece")).agg(
         F.collect_list(F.struct(*order, F.expr(text).alias("t"))).alias("items")
     )
     return grouped.select(
         KEY, "piece", F.expr(f"array_join({_in_order('items', 't')}, '{separator}')").alias("text")
-    ).withColumn("chars", F.length("text"))
-
+    )
 
-def whole_texts(pieces: DataFrame, separator: str, max_chars: int = MAX_CHARS) -> DataFrame:
-    """Pieces joined to one text per document.
 
-    Documents longer than `max_chars` are found first from sums combined before
-    the shuffle; they are left to `text_pieces` and missing here.
-    """
-    too_long = pieces.groupBy(KEY).agg(F.sum("chars").alias("n")).where(F.col("n") > max_chars).select(KEY)
+def whole_texts(pieces: DataFrame, separator: str, too_long: DataFrame) -> DataFrame:
+    """Pieces joined to one text per document; documents in `too_long` are left to the pieces."""
     joined = pieces.join(too_long, KEY, "left_anti").groupBy(KEY).agg(
         F.collect_list(F.struct("piece", "text")).alias("items")
     )
     return joined.select(KEY, F.expr(f"array_join({_in_order('items', 'text')}, '{separator}')").alias("content"))
 
 
+def long_documents(tokens: DataFrame, max_chars: int) -> DataFrame:
+    """Documents whose tokens add up to more than one value should hold, with room for separators."""
+    chars = F.sum((F.length("text") + 3).cast("long"))
+    return tokens.groupBy(KEY).agg(chars.alias("chars")).where(F.col("chars") > max_chars).select(KEY)
+
+
 _KINDS = ["heading", "title", "paragraph", "text"]
 
 
@@ -95,6 +96,30 @@ def document_figures(tokens: DataFrame, threshold: float, pages: DataFrame | Non
     )
 
 
+def _position_pieces(tokens: DataFrame, separator: str) -> DataFrame:
+    piece = F.struct("page", F.floor(F.col("pos") / PIECE).alias("part"))
+    return text_pieces(tokens, ["pos"], piece, "text", separator)
+
+
+def _sure_text(tokens: DataFrame, threshold: float, too_long: DataFrame) -> DataFrame:
+    kept = filter_confidence(tokens, threshold)
+    return whole_texts(_position_pieces(kept, " "), " ", too_long).withColumnRenamed("content", "sure_text")
+
+
+def _text_columns() -> list[Column]:
+    kept = F.col("filtered_items") > 0
+    return [
+        F.when(kept, F.col("sure_text")).otherwise("").alias("extracted_content"),
+        (F.col("sure_text").isNull() & kept).alias("content_in_pieces"),
+        F.col("total_items").cast("int").alias("total_items"),
+        F.col("filtered_items").cast("int").alias("filtered_items"),
+        F.when(kept, F.col("sure_sum") / F.col("filtered_items")).otherwise(F.lit(0.0)).alias("confidence"),
+        F.col("processing_time"),
+        F.col("pages_processed"),
+        F.lit("text").alias("extraction_type"),
+    ]
+
+
 def assemble_text(
     tokens: DataFrame,
     threshold: float = fixed.TOKEN_CONFIDENCE,
@@ -106,21 +131,8 @@ def assemble_text(
     `total_items` counts all tokens, `filtered_items` the sure ones;
     `content_in_pieces` marks documents too long for one value.
     """
-    piece = F.struct("page", F.floor(F.col("pos") / PIECE).alias("part"))
-    pieces = text_pieces(filter_confidence(tokens, threshold), ["pos"], piece, "text", " ")
-    joined = document_figures(tokens, threshold, pages).join(whole_texts(pieces, " ", max_chars), KEY, "left")
-    kept = F.col("filtered_items") > 0
-    return joined.select(
-        KEY,
-        F.when(kept, F.col("content")).otherwise("").alias("extracted_content"),
-        (F.col("content").isNull() & kept).alias("content_in_pieces"),
-        F.col("total_items").cast("int"),
-        F.col("filtered_items").cast("int"),
-        F.when(kept, F.col("sure_sum") / F.col("filtered_items")).otherwise(F.lit(0.0)).alias("confidence"),
-        "processing_time",
-        "pages_processed",
-        F.lit("text").alias("extraction_type"),
-    )
+    content = _sure_text(tokens, threshold, long_documents(tokens, max_chars))
+    return document_figures(tokens, threshold, pages).join(content, KEY, "left").select(KEY, *_text_columns())
 
 
 def confidence_scores(tokens: DataFrame, threshold: float = fixed.TOKEN_CONFIDENCE) -> DataFrame:
@@ -186,49 +198,51 @@ def group_rows(tokens: DataFrame, table_gap: float = fixed.TABLE_GAP, row_gap: f
     return numbered.withColumn("col_no", F.col("col_no").cast("int")).drop("strip")
 
 
-def render_tables(cells: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
+def render_tables(cells: DataFrame, too_long: DataFrame) -> DataFrame:
     """Text of a document's tables: cells joined by a bar, rows on lines, a blank line between tables.
 
     Every cell carries the break before it, so pieces are simply concatenated.
     """
     first_cell = F.col("col_no") == 1
-    lead = (
-        F.when(first_cell & (F.col("row_no") == 1), "\n\n").when(first_cell, "\n").otherwise(" | ")
-    )
+    lead = F.when(first_cell & (F.col("row_no") == 1), "\n\n").when(first_cell, "\n").otherwise(" | ")
     led = cells.withColumn("led", F.concat(lead, "text"))
     piece = F.struct("page", "table_no", "row_no", F.floor((F.col("col_no") - 1) / PIECE).alias("part"))
     pieces = text_pieces(led, ["col_no"], piece, "led", "")
-    return whole_texts(pieces, "", max_chars).select(KEY, F.expr(texts.strip("content")).alias("content"))
+    return whole_texts(pieces, "", too_long).select(KEY, F.expr(texts.strip("content")).alias("table_text"))
 
 
-def table_result(tokens: DataFrame, pages: DataFrame | None = None, max_chars: int = MAX_CHARS) -> DataFrame:
-    """One row per document: rendered tables, their number, fixed confidence."""
-    cells = group_rows(tokens)
-    tables = (
-        table_levels(tokens)
-        .groupBy(KEY, "page")
-        .agg(F.max("table_no").alias("n"))
-        .groupBy(KEY)
-        .agg(F.sum("n").alias("n"))
-    )
-    joined = (
-        document_figures(tokens, 0.0, pages)
-        .join(tables, KEY, "left")
-        .join(render_tables(cells, max_chars), KEY, "left")
-    )
-    number = F.coalesce("n", F.lit(0)).cast("int")
+def table_counts(levels: DataFrame) -> DataFrame:
+    """Number of tables per document that has any."""
+    by_page = levels.groupBy(KEY, "page").agg(F.max("table_no").alias("n"))
+    return by_page.groupBy(KEY).agg(F.sum("n").cast("int").alias("tables"))
+
+
+def _table_columns() -> list[Column]:
+    number = F.coalesce("tables", F.lit(0))
     note = F.concat(
         F.lit("Found "), number.cast("string"), F.lit(" tables across "), F.col("pages_processed").cast("string"),
         F.lit(" pages, but no text content could be extracted."),
     )
-    return joined.select(
-        KEY,
-        F.coalesce(F.nullif("content", F.lit("")), note).alias("extracted_content"),
+    in_pieces = F.col("table_text").isNull() & (number > 0)
+    return [
+        F.when(~in_pieces, F.coalesce(F.nullif("table_text", F.lit("")), note)).alias("extracted_content"),
+        in_pieces.alias("content_in_pieces"),
         number.alias("total_tables"),
-        "pages_processed",
-        "processing_time",
+        F.col("pages_processed"),
+        F.col("processing_time"),
         F.lit(fixed.TABLE_CONFIDENCE).alias("confidence"),
         F.lit("table").alias("extraction_type"),
+    ]
+
+
+def table_result(tokens: DataFrame, pages: DataFrame | None = None, max_chars: int = MAX_CHARS) -> DataFrame:
+    """One row per document: rendered tables, their number, fixed confidence."""
+    rendered = render_tables(group_rows(tokens), long_documents(tokens, max_chars))
+    return (
+        document_figures(tokens, 0.0, pages)
+        .join(table_counts(table_levels(tokens)), KEY, "left")
+        .join(rendered, KEY, "left")
+        .select(KEY, *_table_columns())
     )
 
 
@@ -237,57 +251,70 @@ def structure_elements(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("element_type", F.expr(texts.classify_element("text")))
 
 
-def structure_result(tokens: DataFrame, pages: DataFrame | None = None, max_chars: int = MAX_CHARS) -> DataFrame:
-    """One row per document: all tokens as lines, counts per element type, mean confidence."""
-    piece = F.struct("page", F.floor(F.col("pos") / PIECE).alias("part"))
-    lines = whole_texts(text_pieces(tokens, ["pos"], piece, "text", "\\n"), "\\n", max_chars)
-    joined = document_figures(tokens, 0.0, pages).join(lines, KEY, "left")
+def _all_text(tokens: DataFrame, too_long: DataFrame) -> DataFrame:
+    lines = whole_texts(_position_pieces(tokens, "\\n"), "\\n", too_long)
+    return lines.select(KEY, F.expr(texts.strip("content")).alias("all_text"))
+
+
+def _structure_columns() -> list[Column]:
     note = F.concat(
         F.lit("Extracted structure from "), F.col("pages_processed").cast("string"),
         F.lit(" pages, but no text content could be extracted."),
     )
-    return joined.select(
-        KEY,
-        F.coalesce(F.nullif(F.expr(texts.strip("content")), F.lit("")), note).alias("extracted_content"),
+    in_pieces = F.col("all_text").isNull() & (F.col("total_items") > 0)
+    return [
+        F.when(~in_pieces, F.coalesce(F.nullif("all_text", F.lit("")), note)).alias("extracted_content"),
+        in_pieces.alias("content_in_pieces"),
         F.col("total_items").cast("int").alias("total_elements"),
         *[F.col(f"{k}s").cast("int").alias(f"{k}s") for k in _KINDS],
-        "pages_processed",
-        "processing_time",
+        F.col("pages_processed"),
+        F.col("processing_time"),
         F.coalesce(F.try_divide("confidence_sum", "total_items"), F.lit(0.0)).alias("confidence"),
         F.lit("structure").alias("extraction_type"),
-    )
+    ]
 
 
-def full_content(tokens: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """Text, tables and structure of a document side by side."""
-    parts = {
-        "text_extraction": assemble_text(tokens, pages=pages),
-        "table_extraction": table_result(tokens, pages),
-        "structure_extraction": structure_result(tokens, pages),
-    }
-    packed = [df.select(KEY, F.struct(*[c for c in df.columns if c != KEY]).alias(n)) for n, df in parts.items()]
-    joined = packed[0].join(packed[1], KEY, "full_outer").join(packed[2], KEY, "full_outer")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return joined.select(
+def structure_result(tokens: DataFrame, pages: DataFrame | None = None, max_chars: int = MAX_CHARS) -> DataFrame:
+    """One row per document: all tokens as lines, counts per element type, mean confidence."""
+    lines = _all_text(tokens, long_documents(tokens, max_chars))
+    return document_figures(tokens, 0.0, pages).join(lines, KEY, "left").select(KEY, *_structure_columns())
+
+
+def full_content(
+    tokens: DataFrame,
+    threshold: float = fixed.TOKEN_CONFIDENCE,
+    pages: DataFrame | None = None,
+    max_chars: int = MAX_CHARS,
+) -> DataFrame:
+    """Text, tables and structure of a document side by side, over one set of figures."""
+    too_long = long_documents(tokens, max_chars)
+    joined = (
+        document_figures(tokens, threshold, pages)
+        .join(table_counts(table_levels(tokens)), KEY, "left")
+        .join(_sure_text(tokens, threshold, too_long), KEY, "left")
+        .join(render_tables(group_rows(tokens), too_long), KEY, "left")
+        .join(_all_text(tokens, too_long), KEY, "left")
+    )
+    parts = joined.select(
+        KEY,
+        "pages_processed",
+        F.struct(*_text_columns()).alias("text_extraction"),
+        F.struct(*_table_columns()).alias("table_extraction"),
+        F.struct(*_structure_columns()).alias("structure_extraction"),
+    )
+    three = lambda name: " + ".join(f"{p}_extraction.{name}" for p in ("text", "table", "structure"))
+    return parts.select(
         KEY,
         F.col("text_extraction.extracted_content").alias("extracted_content"),
-        *parts,
-        (
-            zero("text_extraction.filtered_items")
-            + zero("table_extraction.total_tables")
-            + zero("structure_extraction.total_elements")
-        ).alias("total_elements"),
-        (
-            zero("text_extraction.processing_time")
-            + zero("table_extraction.processing_time")
-            + zero("structure_extraction.processing_time")
-        ).alias("processing_time"),
-        F.col("text_extraction.pages_processed").alias("pages_processed"),
+        "text_extraction",
+        "table_extraction",
+        "structure_extraction",
         F.expr(
-            "aggregate(filter(array(text_extraction.confidence, table_extraction.confidence, "
-            "structure_extraction.confidence), c -> c IS NOT NULL), named_struct('s', 0D, 'n', 0), "
-            "(a, c) -> named_struct('s', a.s + c, 'n', a.n + 1), a -> coalesce(try_divide(a.s, a.n), 0.8D))"
-        ).alias("confidence"),
+            "text_extraction.filtered_items + table_extraction.total_tables + structure_extraction.total_elements"
+        ).alias("total_elements"),
+        F.expr(three("processing_time")).alias("processing_time"),
+        "pages_processed",
+        F.expr(f"({three('confidence')}) / 3").alias("confidence"),
         F.lit("full").alias("extraction_type"),
     )
 

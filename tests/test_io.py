@@ -143,6 +143,13 @@ def test_combine_pages(spark, monkeypatch, per_part):
     assert rows[2].extracted_content == "" and rows[2].average_confidence == 0.0
 
 
+def test_long_page_sequences_stay_in_parts(spark):
+    parts = results.page_parts(spark.createDataFrame(page_rows(), PAGES))
+    rows = {r.doc_id: r for r in results.fold_parts(parts, max_chars=5).collect()}
+    assert rows[1].content_in_pieces and rows[1].extracted_content is None and rows[1].pages_processed == 3
+    assert rows[2].extracted_content == "" and not rows[2].content_in_pieces
+
+
 def test_stream_with_watermark_closes_parts(spark, folder):
     source, out = folder + "/in", folder + "/out"
     pages = spark.createDataFrame(page_rows(), PAGES).withColumn("ts", F.timestamp_seconds(F.lit(1700000000) + F.col("page")))
