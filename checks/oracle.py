@@ -566,6 +566,9 @@ def oracle() -> dict[str, str]:
         f"""SELECT doc_id, CAST(COUNT(*) AS INT) AS before, string_agg(k, '|' ORDER BY k) FILTER (WHERE NOT starts_with(k, '_')) AS names
            FROM (SELECT doc_id, UNNEST(json_keys(response)) AS k FROM llm_responses WHERE {_IS_OBJECT}) GROUP BY doc_id""",
     )
+    sql["x16_drop_private_nested"] = with_views(
+        ["invoices"], """SELECT doc_id, '{"keep": {"b": [{"d": "' || invoice_number || '"}]}}' AS clean FROM invoices"""
+    )
     sql["x17_assemble_analysis"] = over_answers(
         f"""SELECT a.doc_id, {document_type('d.text_lc')} AS analysis_type, {category('d.text_lc')} AS category, {summary('a.text')} AS summary,
            {found('a.text', fixed.AMOUNT_IN_TEXT)} AS amounts, {found('a.text', fixed.EMAIL_IN_TEXT)} AS emails, {_CONFIDENCE} AS confidence_score,

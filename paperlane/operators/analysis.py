@@ -140,19 +140,20 @@ def parse_verdict(response: str) -> str:
     return first_value(verdict, "v", chosen)
 
 
-def plain_number(value: str) -> str:
-    """Decimal as text without exponent or trailing zeros."""
-    return f"regexp_replace(cast({value} AS string), {lit(r'\.?0+$')}, '')"
+def add_total_amount_numeric(members: str) -> str:
+    """Member `total_amount_numeric` beside `total_amount`, as a decimal; a total that is no string counts as 0.
 
-
-def add_total_amount_numeric(fields: str) -> str:
-    """Entry `total_amount_numeric` beside `total_amount`; a total that is no string counts as 0."""
-    total = f"try_element_at({fields}, 'total_amount')"
-    amount = f"IF({total}.kind = 'string', {values.money(f'{total}.value')}, cast(0 AS decimal(30,6)))"
-    text = f"coalesce(nullif({plain_number(amount)}, ''), '0')"
-    added = first_value(text, "n", f"map('total_amount_numeric', {jsontext.entry("'number'", 'n')})")
-    rest = f"map_filter({fields}, (k, v) -> k <> 'total_amount_numeric')"
-    return f"IF(map_contains_key({fields}, 'total_amount'), map_concat({rest}, {added}), {fields})"
+    `members` is a map of VARIANTs.
+    """
+    total = f"try_element_at({members}, 'total_amount')"
+    amount = values.money(f"try_variant_get({total}, '$', 'string')")
+    is_text = f"schema_of_variant({total}) = 'STRING'"
+    number = f"cast(IF({is_text}, {amount}, cast(0 AS decimal(30,6))) AS variant)"
+    rest = f"map_filter({members}, (k, v) -> k <> 'total_amount_numeric')"
+    return (
+        f"IF(map_contains_key({members}, 'total_amount'), "
+        f"map_concat({rest}, map('total_amount_numeric', {number})), {members})"
+    )
 
 
 def extract_error_record(error: str) -> str:
@@ -161,12 +162,21 @@ def extract_error_record(error: str) -> str:
 
 
 def with_fields(df: DataFrame, branch: str, record: str = "_record") -> DataFrame:
-    """Add `fields` and `items_total`, what validation needs, out of a record."""
+    """Finish a record: no private keys, the total as a number; add what validation needs of it.
+
+    Adds `record`, `fields` and `items_total`. Private keys below the top
+    level are a matter of `drop_private_nested`.
+    """
+    members = jsontext.drop_private_keys(f"try_variant_get({record}, '$', 'map<string,variant>')")
     return (
-        df.withColumn("_fields", F.expr(jsontext.drop_private_keys(jsontext.fields_of(record))))
-        .withColumn("fields", F.expr(f"IF({branch} = 'invoice', {add_total_amount_numeric('_fields')}, _fields)"))
+        df.withColumn("_members", F.expr(members))
+        .withColumn(
+            "record",
+            F.expr(f"to_variant_object(IF({branch} = 'invoice', {add_total_amount_numeric('_members')}, _members))"),
+        )
+        .withColumn("fields", F.expr(jsontext.fields_of("record")))
         .withColumn("items_total", F.expr(jsontext.items_total(record, values.money)))
-        .drop("_fields")
+        .drop("_members")
     )
 
 
@@ -217,7 +227,7 @@ def analyze(
         category=texts.categorize_document(text, "_lower"),
         summary=summary,
         entities=found,
-        detailed_analysis="_record",
+        detailed_analysis="record",
         confidence_score="coalesce(try_variant_get(_record, '$.confidence', 'double'), 0.8D)",
         text_stats=texts.text_stats(text),
     )

@@ -319,6 +319,12 @@ def full_content(
     )
 
 
+def extract(tokens: DataFrame, extraction_type: str = "text", **options) -> DataFrame:
+    """The result of one kind of extraction; only its branch is planned, an unknown kind means text."""
+    branches = {"table": table_result, "structure": structure_result, "full": full_content}
+    return branches.get(extraction_type, assemble_text)(tokens, **options)
+
+
 def overall_extraction_confidence(mean_score: str, confidence: str) -> str:
     """Mean of the mean token score and the stated confidence, whichever are there; 0.8 if neither is."""
     return (

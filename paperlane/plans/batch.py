@@ -38,7 +38,8 @@ def process_batch(
     refused = F.expr(
         f"IF(coalesce(length(document_path), 0) = 0, 'document_path is required', {rejection(**limits)})"
     )
-    judged = tasks.withColumn("_refused", refused)
+    # What is refused is carried along without its text, so no work is spent on it.
+    judged = tasks.withColumn("_refused", refused).withColumn("text", F.expr("IF(_refused IS NULL, text, NULL)"))
     compiled = results.compile_results(
         validation.validate(analysis.analyze(judged), as_of), extraction, carry=["_refused"]
     )

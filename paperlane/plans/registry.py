@@ -406,6 +406,15 @@ def x16_drop_private_keys(spark, sf_dir):
     return clean.selectExpr("doc_id", "before", _joined("array_sort(map_keys(f))", "names"))
 
 
+@query
+def x16_drop_private_nested(spark, sf_dir):
+    nested = view(spark, sf_dir, "invoices").selectExpr(
+        "doc_id",
+        "to_json(named_struct('keep', named_struct('_a', 1, 'b', array(named_struct('_c', 2, 'd', invoice_number))), '_x', 0)) AS raw",
+    )
+    return nested.select("doc_id", jsontext.drop_private_nested(F.col("raw")).alias("clean"))
+
+
 @query
 def x17_assemble_analysis(spark, sf_dir):
     return analysis.analyze(docs.answered_documents(spark, sf_dir)).selectExpr(

@@ -188,5 +188,7 @@ def test_prompts(spark):
     assert "y" * 3000 in brief and "y" * 3001 not in brief
     whole = evaluate(spark, [long], prompts.prompt("'invoice'", "x"))[0]
     assert whole.endswith(long) and "vendor_name" in whole
+    checked = evaluate(spark, ["{}"], prompts.validation_prompt("x", "'rules'"))[0]
+    assert "Information: {}" in checked and checked.endswith("Rules: rules")
     sent = evaluate(spark, ["q"], prompts.request("'summary'", "x", "m", "be brief"))[0]
     assert [m.role for m in sent.messages] == ["system", "user"] and sent.max_tokens == 300

@@ -70,7 +70,7 @@ def test_required_input(spark):
 
 def test_batch_rows_and_sinks(spark, folder):
     rows = [
-        (1, "Invoice $5.00", '{"vendor_name":"Acme","note":"é"}', "auto", "/in/1", 10, ".pdf"),
+        (1, "Invoice $5.00", '{"vendor_name":"Acme","note":"é","_p":1,"total_amount":"$12,345,678.50"}', "auto", "/in/1", 10, ".pdf"),
         (2, "", "x", "auto", "/in/2", 10, ".pdf"),
         (3, "text", "x", "auto", "/in/3", 10, ".exe"),
         (4, "text", None, "auto", "", 10, ".pdf"),
@@ -85,7 +85,10 @@ def test_batch_rows_and_sinks(spark, folder):
     compiled = batch.process_documents(tasks, documents.AS_OF)
     writers.write_json(compiled, folder + "/json")
     lines = [json.loads(line) for line in spark.read.text(folder + "/json").toPandas().value]
-    assert next(r for r in lines if r["doc_id"] == 1)["analysis_results"]["detailed_analysis"]["note"] == "é"
+    details = next(r for r in lines if r["doc_id"] == 1)["analysis_results"]["detailed_analysis"]
+    assert details["note"] == "é" and "_p" not in details and details["total_amount_numeric"] == 12345678.5
+    large = compiled.where("doc_id = 1").first().validation_results.issues
+    assert [i.field for i in large if i.code == "amount_too_large"] == ["total_amount", "total_amount_numeric"]
     pretty = writers.pretty_json(compiled.select("doc_id", "overall_confidence")).where("doc_id = 1").first().json
     assert json.loads(pretty)["doc_id"] == 1 and "\n" in pretty
     reports = writers.report_columns(compiled).where("doc_id = 1").first()

@@ -109,3 +109,9 @@ def test_page_time_counts_once(spark):
     rows = [(1, p, i, "t", 1.0, 0.0, 0.0) for p in (1, 2) for i in range(3)]
     frame = spark.createDataFrame(rows, SCHEMA).withColumn("processing_time", F.col("page") * 0.5)
     assert layout.assemble_text(frame).first().processing_time == 1.5
+
+
+def test_extraction_kinds(spark, tokens):
+    frame = spark.createDataFrame(tokens, SCHEMA)
+    kinds = {k: layout.extract(frame, k).first().extraction_type for k in ("text", "table", "structure", "full", "other")}
+    assert kinds == {"text": "text", "table": "table", "structure": "structure", "full": "full", "other": "text"}
