@@ -15,8 +15,8 @@ _END = "end-of-response"
 FIELDS = "map<string,struct<kind:string,value:string,filled:boolean>>"
 
 
-def strict_object(text: str) -> str:
-    """VARIANT of a string that is one JSON object and nothing else, else NULL.
+def _single_object(text: str) -> str:
+    """VARIANT of one JSON object, else NULL.
 
     The parser stops after the first value, so a marker is placed behind the
     text: it is found in second place only if the text was a single value.
@@ -28,13 +28,22 @@ def strict_object(text: str) -> str:
     return first_value(wrapped, "w", f"IF({alone} AND {is_object}, {value}, NULL)")
 
 
+def strict_object(text: str) -> str:
+    """VARIANT of a string that is one JSON object and nothing else, else NULL.
+
+    A failing parse is costly, so text without braces at both ends is not tried.
+    """
+    bare = f"btrim({text}, ' \\t\\n\\r')"
+    return f"IF(startswith({bare}, '{{') AND endswith({bare}, '}}'), {_single_object(text)}, NULL)"
+
+
 def brace_span(text: str) -> str:
     """From the first opening to the last closing brace; empty if there is none."""
     return f"regexp_extract({text}, {lit(r'(?s)\{.*\}')}, 0)"
 
 
 def span_object(text: str) -> str:
-    return strict_object(f"nullif({brace_span(text)}, '')")
+    return _single_object(f"nullif({brace_span(text)}, '')")
 
 
 def _kind(shape: str) -> str:
