@@ -27,25 +27,29 @@ BINS = 1 << 14
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
-def with_origin(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """Digest, size and origin of each payload.
+def payloads(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload (UTF-8 of html, null: empty), digest and size of every row."""
+    payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
+    rows = pages.select("page_id", "url", payload.alias("payload"))
+    return rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
+
+
+def origins(rows: DataFrame, least: int = 1000) -> DataFrame:
+    """(page_id, digest, refers_to) of the rows whose payload stands elsewhere; no payload is moved for it.
 
     Of rows with equal payloads of at least `least` bytes those with the largest page_id have no origin and the others
-    have that id; smaller payloads have none. Null html is an empty payload, null page_ids never are an origin.
+    have that id; smaller payloads have none. Null page_ids never are an origin.
     """
-    payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
-    rows = pages.select("page_id", "url", payload.alias("payload"))
-    rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
-    origins = rows.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("last_id"))
-    origin = F.when(~F.col("page_id").eqNullSafe(F.col("last_id")), F.col("last_id"))
-    return rows.join(origins, "digest", "left").select("page_id", "url", "payload", "digest", "size", origin.alias("refers_to"))
+    rows = rows.where(F.col("size") >= least).select("page_id", "digest")
+    last = rows.groupBy("digest").agg(F.max("page_id").alias("refers_to"))
+    return rows.distinct().join(last, "digest").where(F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to")))
 
 
-def shard_column(rows: DataFrame, shard_bytes: int) -> Column:
-    """Shard number of each row; what comes to the driver is one sum for each of at most `BINS` bins."""
+def shard_column(rows: DataFrame, shard_bytes: int) -> tuple[Column, int]:
+    """Shard number of each row and count of shards; what comes to the driver is one sum for each of at most `BINS` bins."""
     low, high = rows.agg(F.min("page_id"), F.max("page_id")).first()
     if low is None:
-        return F.lit(0)
+        return F.lit(0), 1
     width = -(-(high - low + 1) // BINS)
     bin_of = F.coalesce(F.floor((F.col("page_id") - low) / width), F.lit(0)).cast("int")
     sums = sorted(rows.groupBy(bin_of.alias("bin")).agg(F.sum(F.col("size") + 500).alias("n")).collect())
@@ -56,9 +60,9 @@ def shard_column(rows: DataFrame, shard_bytes: int) -> Column:
             edges.append(r["bin"])
         at += r["n"]
     if not edges:
-        return F.lit(0)
+        return F.lit(0), 1
     table = F.array(*[F.lit(e) for e in edges]) if len(edges) < 500 else F.split(F.lit(",".join(map(str, edges))), ",").cast("array<int>")
-    return F.size(F.filter(table, lambda e: e <= bin_of))
+    return F.size(F.filter(table, lambda e: e <= bin_of)), len(edges) + 1
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
@@ -90,13 +94,13 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write_warc(pages: DataFrame, folder: str, least: int = 1000, shard_bytes: int = 32 << 20, file_bytes: int = 16 << 20, level: int = 6, date: str = "2024-01-01T00:00:00Z") -> dict:
+def write_warc(pages: DataFrame, folder: str, least: int = 1000, shard_bytes: int = 16 << 20, file_bytes: int = 16 << 20, level: int = 6, date: str = "2024-01-01T00:00:00Z") -> dict:
     """Write page_id, url, html of every row as compressed WARC files; returns the manifest.
 
-    See `with_origin` for revisits. Null urls give records without a target, null ids records without an id; repeated rows are
+    See `origins` for revisits; each page's origin travels as a row of its own and meets the page by the sort, so payloads are shuffled once. Null urls give records without a target, null ids records without an id; repeated rows are
     repeated records; an empty table gives a manifest without files. Other columns are not looked at.
     """
-    rows = with_origin(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")), least)
+    rows = payloads(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")))
     sizes = pages.select(F.col("page_id").cast("long"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("size"))
     filesystem, path = file_system(folder)
     filesystem.create_dir(path)
@@ -112,9 +116,15 @@ def write_warc(pages: DataFrame, folder: str, least: int = 1000, shard_bytes: in
             files.move(state["temporary"], f"{where}/{state['name']}")
             return [{"name": state["name"], "records": state["records"], "bytes": state["bytes"], "sha1": state["sha1"].hexdigest()}]
 
-        done = []
+        done, told, told_of = [], {}, None
         for batch in slices(batches):
-            for shard, page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
+            for shard, page_id, kind, digest, url, payload, origin in zip(*(c.to_pylist() for c in batch.columns)):
+                if kind == 0:
+                    if page_id != told_of:
+                        told, told_of = {}, page_id
+                    told[digest] = origin
+                    continue
+                refers_to = told.get(digest) if page_id == told_of else None
                 if shard != state["shard"] or state["bytes"] >= file_bytes:
                     done += close()
                     number = 0 if shard != state["shard"] else state["number"] + 1
@@ -131,8 +141,12 @@ def write_warc(pages: DataFrame, folder: str, least: int = 1000, shard_bytes: in
         if done:
             yield pa.RecordBatch.from_pylist(done)
 
-    dealt = rows.withColumn("shard", shard_column(sizes, shard_bytes)).repartition("shard").sortWithinPartitions("shard", "page_id", "digest", "url")
-    found = dealt.select("shard", "page_id", "url", "payload", "digest", "refers_to").mapInArrow(write, "name string, records long, bytes long, sha1 string").collect()  # a row for each file
+    shard, shards = shard_column(sizes, shard_bytes)
+    known = origins(rows, least).select("page_id", F.lit(0).alias("kind"), "digest", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "refers_to")
+    full = rows.select("page_id", F.lit(1).alias("kind"), "digest", "url", "payload", F.lit(None).cast("long").alias("refers_to"))
+    order = ["shard", "page_id", "kind", "digest", "url"]
+    dealt = full.unionByName(known).withColumn("shard", shard).repartition(shards, "shard").sortWithinPartitions(*order)
+    found = dealt.select(*order, "payload", "refers_to").mapInArrow(write, "name string, records long, bytes long, sha1 string").collect()  # a row for each file
     manifest = {"files": [r.asDict() for r in sorted(found, key=lambda r: r["name"])]}
     put_file(filesystem, f"{path}/manifest.json", json.dumps(manifest).encode())
     return manifest
