@@ -44,12 +44,12 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", prefix: int
     pages = urls.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     known = rules.select(F.lower("host").alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), F.col("verdict").alias("r_verdict")).where("r_host is not null")
     known = known.withColumn("r_digest", _digest(F.col("r_host"), F.col("r_path"))).withColumn("short", F.substring("r_digest", 1, prefix))
-    # one row: the lengths that rules' paths have
-    lengths = known.agg(F.sort_array(F.collect_set(F.length("r_path"))).alias("lengths"))
-    seen = pages.select("host", "path").where("host <> ''").distinct().join(F.broadcast(lengths))
+    # the lengths that rules' paths have: at most as many as the longest path has characters
+    lengths = sorted(r["n"] for r in known.select(F.length("r_path").alias("n")).distinct().collect())
+    seen = pages.select("host", "path").where("host <> ''").distinct()
     labels = F.split("host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    fitting = F.filter("lengths", lambda n: n <= F.length("path"))
+    fitting = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("path"))
     expressions = seen.select("host", "path", fitting.alias("sizes"), F.explode(suffixes).alias("suffix"))
     expressions = expressions.select("host", "path", "suffix", F.explode("sizes").alias("n"))
     expressions = expressions.select("host", "path", _digest(F.col("suffix"), F.substring("path", F.lit(1), F.col("n"))).alias("digest"))
