@@ -17,8 +17,12 @@ def numeric_amount(value: str) -> str:
 
 
 def money(value: str) -> str:
-    """The same number as an exact decimal, for sums and comparisons within a cent."""
-    return f"coalesce(try_cast({_digits(value)} AS decimal(30,6)), cast(0 AS decimal(30,6)))"
+    """The same number as an exact decimal, for sums and comparisons within a cent.
+
+    A number of more digits than that is the largest decimal, so that it still counts as large.
+    """
+    exact, most = f"try_cast({_digits(value)} AS decimal(30,6))", f"cast('{'9' * 24}' AS decimal(30,6))"
+    return f"coalesce({exact}, IF({numeric_amount(value)} >= 1e24, {most}, cast(0 AS decimal(30,6))))"
 
 
 def parse_date(value: str) -> str:

@@ -20,7 +20,6 @@ from ..functions import fixed, text as texts
 KEY = "doc_id"
 PIECE = 4096  # tokens, cells or elements put together at once
 STRIP = 500  # width in pixels of the strips a row of cells is cut into
-MAX_CHARS = 256 * 1024 * 1024  # longest text put together as one value
 
 
 def filter_confidence(tokens: DataFrame, threshold: float = fixed.TOKEN_CONFIDENCE) -> DataFrame:
@@ -52,20 +51,12 @@ def text_pieces(tokens: DataFrame, order: list[str], piece: Column, text: str, s
     )
 
 
-def whole_texts(pieces: DataFrame, separator: str, too_long: DataFrame) -> DataFrame:
-    """Pieces joined to one text per document; documents in `too_long` are left to the pieces."""
-    joined = pieces.join(too_long, KEY, "left_anti").groupBy(KEY).agg(
-        F.collect_list(F.struct("piece", "text")).alias("items")
-    )
+def whole_texts(pieces: DataFrame, separator: str) -> DataFrame:
+    """Pieces joined to one text per document, whatever its length; `text_pieces` gives the same text as ordered rows."""
+    joined = pieces.groupBy(KEY).agg(F.collect_list(F.struct("piece", "text")).alias("items"))
     return joined.select(KEY, F.expr(f"array_join({_in_order('items', 'text')}, '{separator}')").alias("content"))
 
 
-def long_documents(tokens: DataFrame, max_chars: int) -> DataFrame:
-    """Documents whose tokens add up to more than one value should hold, with room for separators."""
-    chars = F.sum((F.length("text") + 3).cast("long"))
-    return tokens.groupBy(KEY).agg(chars.alias("chars")).where(F.col("chars") > max_chars).select(KEY)
-
-
 _KINDS = ["heading", "title", "paragraph", "text"]
 
 
@@ -101,16 +92,15 @@ def _position_pieces(tokens: DataFrame, separator: str) -> DataFrame:
     return text_pieces(tokens, ["pos"], piece, "text", separator)
 
 
-def _sure_text(tokens: DataFrame, threshold: float, too_long: DataFrame) -> DataFrame:
+def _sure_text(tokens: DataFrame, threshold: float) -> DataFrame:
     kept = filter_confidence(tokens, threshold)
-    return whole_texts(_position_pieces(kept, " "), " ", too_long).withColumnRenamed("content", "sure_text")
+    return whole_texts(_position_pieces(kept, " "), " ").withColumnRenamed("content", "sure_text")
 
 
 def _text_columns() -> list[Column]:
     kept = F.col("filtered_items") > 0
     return [
         F.when(kept, F.col("sure_text")).otherwise("").alias("extracted_content"),
-        (F.col("sure_text").isNull() & kept).alias("content_in_pieces"),
         F.col("total_items").cast("int").alias("total_items"),
         F.col("filtered_items").cast("int").alias("filtered_items"),
         F.when(kept, F.col("sure_sum") / F.col("filtered_items")).otherwise(F.lit(0.0)).alias("confidence"),
@@ -124,14 +114,12 @@ def assemble_text(
     tokens: DataFrame,
     threshold: float = fixed.TOKEN_CONFIDENCE,
     pages: DataFrame | None = None,
-    max_chars: int = MAX_CHARS,
 ) -> DataFrame:
     """One row per document: text of sure tokens in reading order, counts and mean confidence.
 
-    `total_items` counts all tokens, `filtered_items` the sure ones;
-    `content_in_pieces` marks documents too long for one value.
+    `total_items` counts all tokens, `filtered_items` the sure ones.
     """
-    content = _sure_text(tokens, threshold, long_documents(tokens, max_chars))
+    content = _sure_text(tokens, threshold)
     return document_figures(tokens, threshold, pages).join(content, KEY, "left").select(KEY, *_text_columns())
 
 
@@ -198,7 +186,7 @@ def group_rows(tokens: DataFrame, table_gap: float = fixed.TABLE_GAP, row_gap: f
     return numbered.withColumn("col_no", F.col("col_no").cast("int")).drop("strip")
 
 
-def render_tables(cells: DataFrame, too_long: DataFrame) -> DataFrame:
+def render_tables(cells: DataFrame) -> DataFrame:
     """Text of a document's tables: cells joined by a bar, rows on lines, a blank line between tables.
 
     Every cell carries the break before it, so pieces are simply concatenated.
@@ -208,7 +196,7 @@ def render_tables(cells: DataFrame, too_long: DataFrame) -> DataFrame:
     led = cells.withColumn("led", F.concat(lead, "text"))
     piece = F.struct("page", "table_no", "row_no", F.floor((F.col("col_no") - 1) / PIECE).alias("part"))
     pieces = text_pieces(led, ["col_no"], piece, "led", "")
-    return whole_texts(pieces, "", too_long).select(KEY, F.expr(texts.strip("content")).alias("table_text"))
+    return whole_texts(pieces, "").select(KEY, F.expr(texts.strip("content")).alias("table_text"))
 
 
 def table_counts(levels: DataFrame) -> DataFrame:
@@ -223,10 +211,8 @@ def _table_columns() -> list[Column]:
         F.lit("Found "), number.cast("string"), F.lit(" tables across "), F.col("pages_processed").cast("string"),
         F.lit(" pages, but no text content could be extracted."),
     )
-    in_pieces = F.col("table_text").isNull() & (number > 0)
     return [
-        F.when(~in_pieces, F.coalesce(F.nullif("table_text", F.lit("")), note)).alias("extracted_content"),
-        in_pieces.alias("content_in_pieces"),
+        F.coalesce(F.nullif("table_text", F.lit("")), note).alias("extracted_content"),
         number.alias("total_tables"),
         F.col("pages_processed"),
         F.col("processing_time"),
@@ -235,9 +221,9 @@ def _table_columns() -> list[Column]:
     ]
 
 
-def table_result(tokens: DataFrame, pages: DataFrame | None = None, max_chars: int = MAX_CHARS) -> DataFrame:
+def table_result(tokens: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """One row per document: rendered tables, their number, fixed confidence."""
-    rendered = render_tables(group_rows(tokens), long_documents(tokens, max_chars))
+    rendered = render_tables(group_rows(tokens))
     return (
         document_figures(tokens, 0.0, pages)
         .join(table_counts(table_levels(tokens)), KEY, "left")
@@ -251,8 +237,8 @@ def structure_elements(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("element_type", F.expr(texts.classify_element("text")))
 
 
-def _all_text(tokens: DataFrame, too_long: DataFrame) -> DataFrame:
-    lines = whole_texts(_position_pieces(tokens, "\\n"), "\\n", too_long)
+def _all_text(tokens: DataFrame) -> DataFrame:
+    lines = whole_texts(_position_pieces(tokens, "\\n"), "\\n")
     return lines.select(KEY, F.expr(texts.strip("content")).alias("all_text"))
 
 
@@ -261,10 +247,8 @@ def _structure_columns() -> list[Column]:
         F.lit("Extracted structure from "), F.col("pages_processed").cast("string"),
         F.lit(" pages, but no text content could be extracted."),
     )
-    in_pieces = F.col("all_text").isNull() & (F.col("total_items") > 0)
     return [
-        F.when(~in_pieces, F.coalesce(F.nullif("all_text", F.lit("")), note)).alias("extracted_content"),
-        in_pieces.alias("content_in_pieces"),
+        F.coalesce(F.nullif("all_text", F.lit("")), note).alias("extracted_content"),
         F.col("total_items").cast("int").alias("total_elements"),
         *[F.col(f"{k}s").cast("int").alias(f"{k}s") for k in _KINDS],
         F.col("pages_processed"),
@@ -274,9 +258,9 @@ def _structure_columns() -> list[Column]:
     ]
 
 
-def structure_result(tokens: DataFrame, pages: DataFrame | None = None, max_chars: int = MAX_CHARS) -> DataFrame:
+def structure_result(tokens: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """One row per document: all tokens as lines, counts per element type, mean confidence."""
-    lines = _all_text(tokens, long_documents(tokens, max_chars))
+    lines = _all_text(tokens)
     return document_figures(tokens, 0.0, pages).join(lines, KEY, "left").select(KEY, *_structure_columns())
 
 
@@ -284,16 +268,14 @@ def full_content(
     tokens: DataFrame,
     threshold: float = fixed.TOKEN_CONFIDENCE,
     pages: DataFrame | None = None,
-    max_chars: int = MAX_CHARS,
 ) -> DataFrame:
     """Text, tables and structure of a document side by side, over one set of figures."""
-    too_long = long_documents(tokens, max_chars)
     joined = (
         document_figures(tokens, threshold, pages)
         .join(table_counts(table_levels(tokens)), KEY, "left")
-        .join(_sure_text(tokens, threshold, too_long), KEY, "left")
-        .join(render_tables(group_rows(tokens), too_long), KEY, "left")
-        .join(_all_text(tokens, too_long), KEY, "left")
+        .join(_sure_text(tokens, threshold), KEY, "left")
+        .join(render_tables(group_rows(tokens)), KEY, "left")
+        .join(_all_text(tokens), KEY, "left")
     )
     parts = joined.select(
         KEY,

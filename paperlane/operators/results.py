@@ -189,7 +189,6 @@ def compile_results(
 
 
 PAGES_PER_PART = 1024
-MAX_CHARS = 256 * 1024 * 1024  # longest content put together as one value
 
 
 def page_parts(pages: DataFrame, extra_keys: list[Column] | None = None, key: str = "doc_id") -> DataFrame:
@@ -211,43 +210,23 @@ def page_parts(pages: DataFrame, extra_keys: list[Column] | None = None, key: st
     )
 
 
-def fold_parts(parts: DataFrame, key: str = "doc_id", max_chars: int = MAX_CHARS) -> DataFrame:
-    """Documents from their parts: text in page order, entity values, confidence over all pages.
+def fold_parts(parts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Documents from their parts, whatever their length: text in page order, entity values, confidence over all pages.
 
-    Documents whose text and entities together are longer than `max_chars`
-    have their figures here and `content_in_pieces`; their content stays in
-    the parts.
+    A part may come in several rows, of several sessions: pages keep their numbers, so their order does too.
     """
-    short = parts.select(
-        key,
-        "part",
-        F.expr("IF(size(texts) > 0, array_join(transform(texts, t -> t.extracted_content), ' '), NULL)").alias("text"),
-        F.expr("flatten(transform(found, f -> f.found))").alias("found"),
-        "confidence",
-        "pages",
-    )
-    chars = F.coalesce(F.length("text"), F.lit(0)) + F.length(F.array_join("found", " "))
-    figures = short.groupBy(key).agg(
+    folded = parts.groupBy(key).agg(
         (F.coalesce(F.sum("confidence"), F.lit(0.0)) / F.sum("pages")).alias("average_confidence"),
         F.sum("pages").alias("pages_processed"),
-        (F.sum(chars.cast("long")) > max_chars).alias("content_in_pieces"),
-    )
-    long_ones = figures.where("content_in_pieces").select(key)
-    contents = (
-        short.join(long_ones, key, "left_anti")
-        .groupBy(key)
-        .agg(
-            F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("part", "text")))).alias("texts"),
-            F.array_sort(F.collect_list(F.struct("part", "found"))).alias("found"),
-        )
+        F.array_sort(F.flatten(F.collect_list("texts"))).alias("texts"),
+        F.array_sort(F.flatten(F.collect_list("found"))).alias("found"),
     )
-    return figures.join(contents, key, "left").select(
+    return folded.select(
         key,
-        F.expr("array_join(transform(texts, t -> t.text), ' ')").alias("extracted_content"),
+        F.expr("array_join(transform(filter(texts, t -> t.extracted_content IS NOT NULL), t -> t.extracted_content), ' ')").alias("extracted_content"),
         F.expr("flatten(transform(found, f -> f.found))").alias("combined_entities"),
         "average_confidence",
         "pages_processed",
-        "content_in_pieces",
         F.lit(True).alias("streaming_workflow"),
     )
 

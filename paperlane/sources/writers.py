@@ -8,8 +8,8 @@ from ..functions import fixed
 
 
 def write_json(results: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One JSON object per line; VARIANT columns are written as the JSON they hold."""
-    results.write.mode(mode).json(path)
+    """One JSON object per line, keys with null too; VARIANT columns are written as the JSON they hold."""
+    results.write.mode(mode).json(path, ignoreNullFields=False)
 
 
 def pretty_json(results: DataFrame, key: str = "doc_id") -> DataFrame:

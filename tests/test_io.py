@@ -146,11 +146,11 @@ def test_combine_pages(spark, monkeypatch, per_part):
     assert rows[2].extracted_content == "" and rows[2].average_confidence == 0.0
 
 
-def test_long_page_sequences_stay_in_parts(spark):
-    parts = results.page_parts(spark.createDataFrame(page_rows(), PAGES))
-    rows = {r.doc_id: r for r in results.fold_parts(parts, max_chars=5).collect()}
-    assert rows[1].content_in_pieces and rows[1].extracted_content is None and rows[1].pages_processed == 3
-    assert rows[2].extracted_content == "" and not rows[2].content_in_pieces
+def test_sessions_of_one_part_keep_page_order(spark):
+    pages = spark.createDataFrame(page_rows(), PAGES)
+    parts = results.page_parts(pages.where("page % 2 = 0")).union(results.page_parts(pages.where("page % 2 = 1")))
+    rows = {r.doc_id: r for r in results.fold_parts(parts).collect()}
+    assert rows[1].extracted_content == "a b" and rows[1].pages_processed == 3 and rows[2].extracted_content == ""
 
 
 def test_stream_with_watermark_closes_parts(spark, folder):

@@ -84,11 +84,12 @@ def test_pieces_give_the_same_text(spark, tokens, monkeypatch):
         assert content == " ".join(words) and n == len(words)
 
 
-def test_long_documents_stay_in_pieces(spark):
-    rows = [(1, 1, i, "word", 1.0, 0.0, 0.0) for i in range(50)] + [(2, 1, 0, "word", 1.0, 0.0, 0.0)]
-    found = {r.doc_id: r for r in layout.assemble_text(spark.createDataFrame(rows, SCHEMA), max_chars=100).collect()}
-    assert found[1].content_in_pieces and found[1].extracted_content is None and found[1].total_items == 50
-    assert found[2].extracted_content == "word" and not found[2].content_in_pieces
+def test_long_documents_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(layout, "PIECE", 7)
+    rows = [(1, 1 + i // 20, i % 20, f"word{i}", 1.0, 0.0, 0.0) for i in range(50)] + [(2, 1, 0, "word", 1.0, 0.0, 0.0)]
+    found = {r.doc_id: r for r in layout.assemble_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found[1].extracted_content == " ".join(f"word{i}" for i in range(50)) and found[1].total_items == 50
+    assert found[2].extracted_content == "word"
 
 
 def test_pages_without_tokens_and_empty_results(spark):

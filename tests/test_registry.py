@@ -46,7 +46,8 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_only_the_file_catalog_has_no_sql(spark):
-    assert set(QUERIES) - set(ANSWERS) == {"s1_document_catalog"}
+    own = {name for name in QUERIES if name != "pipeline" and not name.startswith("op")}
+    assert own - set(ANSWERS) == {"s1_document_catalog"}
     rows = QUERIES["s1_document_catalog"](spark, DATA).collect()
     assert {"orders.parquet", "documents.parquet"} <= {r.filename for r in rows}
 
