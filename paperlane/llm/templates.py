@@ -25,17 +25,17 @@ def raw_tokens(text: Column) -> Column:
     A name is a capitalised word after a word, a comma or a semicolon: not at the start of a sentence.
     """
     t = F.translate(F.coalesce(text, F.lit("")), "#", " ")
-    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;]\s)(?=\p{Lu}\p{Ll})", "#")
-    t = F.regexp_replace(t, r"(?<=\p{N})(?=\p{L})", " ")
+    # patterns start with what is rare or cheap to test; what stands before is looked at last
+    t = F.regexp_replace(t, r"(\s)(?=\p{Lu}\p{Ll})(?<=[\p{L}\p{N},;]\s)", "$1#")
+    t = F.regexp_replace(t, r"([0-9])(?=\p{L})", "$1 ")
     return F.filter(F.split(t, r"[^\p{L}\p{N}#]+"), lambda w: w != "")
 
 
 def template_tokens(raw: Column) -> Column:
     def placeholder(w: Column, i: Column) -> Column:
-        after_number = (i > 0) & F.get(raw, i - 1).substr(1, 1).between("0", "9")
+        digit = lambda x: F.ascii(x).between(48, 57)
         lower = F.lower(w)
-        first = w.substr(1, 1)
-        return F.when(first == "#", "#p").when(first.between("0", "9"), "#n").when(after_number & lower.isin(UNITS), "#u").otherwise(lower)
+        return F.when(F.ascii(w) == 35, "#p").when(digit(w), "#n").when((i > 0) & digit(F.get(raw, i - 1)) & lower.isin(UNITS), "#u").otherwise(lower)
 
     return F.transform(raw, placeholder)
 
