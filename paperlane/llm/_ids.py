@@ -9,8 +9,8 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 
-#: Words remembered per Python worker; only speed depends on it.
-WORDS_KEPT = 300_000
+#: Words remembered per Python worker in each of two generations; only speed depends on it.
+WORDS_KEPT = 600_000
 
 
 class Encoder:
@@ -31,21 +31,47 @@ class Encoder:
         self.by_word &= self.tokenizer.normalizer is None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids of tokens that start with a space
+        for token, i in vocabulary.items():
+            self.spaced[i] = token.startswith("\u0120")
 
     def _fresh(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words with the space before them, many in one text: each space starts a word and a token."""
+        alone = [w for w in words if len(w) < 2 or w[0] != " "]
+        found = dict(zip(alone, self._fresh(alone)))
+        rest = [w for w in words if w not in found]
+        parts = [rest[i : i + 500] for i in range(0, len(rest), 500)]
+        for part, ids in zip(parts, self._fresh(["".join(p) for p in parts])):
+            at = np.flatnonzero(self.spaced[np.frombuffer(ids, "<u4")]) * 4
+            if len(at) != len(part) or at[0] != 0:
+                found.update(zip(part, self._fresh(part)))
+                continue
+            edges = [*at.tolist(), len(ids)]
+            found.update((w, ids[a:b]) for w, a, b in zip(part, edges, edges[1:]))
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._fresh(texts)
         split = [None if "  " in t or any(s in t for s in self.special) else t.replace(" ", "\0 ").split("\0") for t in texts]
         split = [None if s is None or "\0" in t else s for s, t in zip(split, texts)]
+        if len(self.known) > WORDS_KEPT:  # words met again come back from the older generation, others are forgotten with it
+            self.known, self.older = {}, self.known
         missing = list(set().union(*(s for s in split if s)).difference(self.known))
-        if len(self.known) + len(missing) > WORDS_KEPT:
-            self.known = {}
-            missing = list(set().union(*(s for s in split if s)))
-        self.known.update(zip(missing, self._fresh(missing)))
+        fresh = []
+        for word in missing:
+            ids = self.older.get(word)
+            if ids is None:
+                fresh.append(word)
+            else:
+                self.known[word] = ids
+        self.known.update(self._words(fresh))
         get = self.known.__getitem__
         return [self._fresh([t])[0] if s is None else b"".join(map(get, s)) for s, t in zip(split, texts)]
 
