@@ -39,7 +39,10 @@ def train_dictionary(docs: DataFrame, tokenizer: str, samples: int = 512, sample
     frames depends on it. Too little text for training gives the raw bytes of the sample.
     """
     order = F.xxhash64("doc_id", "text")
-    texts = [r[0] for r in docs.select(F.coalesce("text", F.lit("")).alias("t"), order.alias("h")).orderBy("h", "t").limit(samples).select(F.substring("t", 1, 8 * sample_ids)).collect()]
+    # hashes alone are ranked, so that tasks send no texts that are not in the sample
+    first = docs.select(order.alias("h")).orderBy("h").limit(samples).collect()
+    chosen = docs.where(order <= (first[-1]["h"] if first else 0)).select(order.alias("h"), F.substring(F.coalesce("text", F.lit("")), 1, 8 * sample_ids).alias("t"))
+    texts = [r["t"] for r in chosen.dropDuplicates(["h"]).orderBy("h").limit(samples).collect()]
     arrays = [_packed(x[: 4 * sample_ids], width) for x in encoder(tokenizer).encode([t for t in texts if t])] if texts else []
     arrays = [x for x in arrays if x]
     try:
