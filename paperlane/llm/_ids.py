@@ -33,6 +33,7 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.narrow = max(vocabulary.values(), default=0) < 1 << 16  # ids fit two bytes
         self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids of tokens that start with a space
         for token, i in vocabulary.items():
             self.spaced[i] = token.startswith("\u0120")

@@ -4,6 +4,9 @@ Each document is hashed to a vector of signed word counts, projected to a few di
 Hilbert curve; documents are range-sorted by their place, so like follows like. The sorted ids are one stream,
 cut every `length` ids; what is left at the end is cut at powers of two. So no sequence needs padding, and
 neighbours on the curve share sequences.
+
+Texts are encoded once: their ids stand in the written table of places, two bytes each if the vocabulary allows it, and
+only the ids meet the sorted starts.
 """
 
 from __future__ import annotations
@@ -114,16 +117,20 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, w
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("text_hash", F.xxhash64("text"))
+    width = "<u2" if encoder(tokenizer).narrow else "<u4"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, buckets = encoder(tokenizer), _Buckets()
         for b in slices(batches):
             texts = b.column(2).to_pylist()
-            sizes = [len(x) // 4 + 1 for x in code.encode(texts)]
+            ids = code.encode(texts)
+            sizes = [len(x) // 4 + 1 for x in ids]
+            if width == "<u2":
+                ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
             at = project(texts, buckets)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), *(pa.array(at[:, d]) for d in range(DIMENSIONS))], ["doc_id", "text_hash", "doc_tokens", *(f"p{d}" for d in range(DIMENSIONS))])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), *(pa.array(at[:, d]) for d in range(DIMENSIONS)), pa.array(ids, pa.binary())], ["doc_id", "text_hash", "doc_tokens", *(f"p{d}" for d in range(DIMENSIONS)), "ids"])
 
-    schema = "doc_id long, text_hash long, doc_tokens long" + "".join(f", p{d} double" for d in range(DIMENSIONS))
+    schema = "doc_id long, text_hash long, doc_tokens long" + "".join(f", p{d} double" for d in range(DIMENSIONS)) + ", ids binary"
     placed = written(docs.select("doc_id", "text_hash", "text").mapInArrow(place, schema), "placed")
     stats = placed.agg(*(f(f"p{d}") for d in range(DIMENSIONS) for f in (F.avg, F.stddev_pop))).first()
     middle = [(stats[2 * d] or 0.0, stats[2 * d + 1] or 1.0) for d in range(DIMENSIONS)]
@@ -135,15 +142,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, w
             grid = np.minimum(share(np.round(z, 6)).astype(float) * (1 << BITS), (1 << BITS) - 1).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(hilbert_key(grid, BITS))], ["doc_id", "text_hash", "doc_tokens", "curve"])
 
-    rows = placed.mapInArrow(keyed, "doc_id long, text_hash long, doc_tokens long, curve long")
+    rows = placed.drop("ids").mapInArrow(keyed, "doc_id long, text_hash long, doc_tokens long, curve long")
     rows = rows.groupBy("doc_id", "text_hash", "doc_tokens", "curve").agg(F.count(F.lit(1)).alias("times"))
     rows = rows.withColumn("size", F.col("doc_tokens") * F.col("times"))
     starts, total = running_start(rows, ["curve", "doc_id", "text_hash"], "size")
     row_key = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("row_key")
     starts = starts.select(row_key, "text_hash", "doc_tokens", "start")
     nth = F.row_number().over(W.partitionBy("row_key", "text_hash").orderBy("start")) - 1
-    at = docs.select("*", row_key).join(starts, ["row_key", "text_hash"])
-    at = at.select("doc_id", "text", (F.col("start") + nth * F.col("doc_tokens")).alias("start"))
+    at = placed.select("doc_id", "text_hash", "ids", row_key).join(starts, ["row_key", "text_hash"])
+    at = at.select("doc_id", "ids", (F.col("start") + nth * F.col("doc_tokens")).alias("start"))
     # whole sequences, then the powers of two that the rest is made of
     whole, rest = divmod(total, length)
     cuts = [whole * length]
@@ -153,11 +160,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, w
     tail = np.array(cuts[1:], np.int64)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4").tobytes()
         for b in slices(batches):
             rows, pieces = [], []
-            for doc, ids, begin in zip(b.column(0).to_pylist(), code.encode(b.column(1).to_pylist()), b.column(2).to_pylist()):
-                ids += end
+            for doc, ids, begin in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                ids = np.frombuffer(ids, width).astype("<u4").tobytes() + end
                 n = len(ids) // 4
                 inner = np.arange((begin // length + 1) * length, min(begin + n, whole * length + 1), length)
                 edges = [begin, *(int(x) for x in inner if x < begin + n), *(int(x) for x in tail if max(begin, whole * length) < x < begin + n), begin + n]
