@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ._ids import slices
+from ._store import written
 
 SIZES = (2, 3, 4)
 HASHES = 4
@@ -104,7 +105,7 @@ def learn(docs: DataFrame, least_share: float = 1e-5, of_most: float = 0.5) -> F
     A gram belongs to a language if it makes up `least_share` of the language's grams and `of_most` of its largest share
     in any language. At most 1/least_share grams of a language can pass, which bounds what comes to the driver.
     """
-    counted = count_grams(docs.where("text is not null and lang is not null"))
+    counted = written(count_grams(docs.where("text is not null and lang is not null")), "grams")  # read twice
     totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # a row for each language
     if not totals:
         return Filters.build([], [])
