@@ -1,6 +1,7 @@
 """Slots for a user's own code: a recogniser, a model client, anything per document or per page.
 
-The only place where rows reach Python workers. A row whose code raises
+The only place where rows reach Python workers. Values arrive as plain Python
+ones: whole numbers stay exact and NULL is None. A row whose code raises
 becomes an error row; the others go on.
 """
 
@@ -8,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def apply_per_document(
@@ -26,13 +29,15 @@ def apply_per_document(
         f"result struct<{result_schema}>"
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    arrow = to_arrow_schema(StructType.fromDDL(envelope))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import datetime
         import time
 
         for batch in batches:
             out = []
-            for row in batch.to_dict("records"):
+            for row in batch.to_pylist():
                 start, began = datetime.datetime.now(datetime.timezone.utc), time.perf_counter()
                 result, error = None, None
                 try:
@@ -53,9 +58,9 @@ def apply_per_document(
                         "result": result,
                     }
                 )
-            yield pd.DataFrame(out, columns=[key, "agent", "success", "status", "error", "start", "duration", "result"])
+            yield from pa.Table.from_pylist(out, schema=arrow).to_batches()
 
-    return df.mapInPandas(run, envelope)
+    return df.mapInArrow(run, envelope)
 
 
 def apply_in_batches(
@@ -82,14 +87,16 @@ def apply_in_batches(
             pass
         return [[]] if len(rows) == 1 else [attempt([row])[0] for row in rows]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = f"{key_types}, items array<struct<{item_schema}>>"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_dict("records")
+            rows = batch.to_pylist()
             items = []
             for at in range(0, len(rows), batch_size):
                 items += attempt(rows[at : at + batch_size])
-            out = batch[keys].copy()
-            out["items"] = pd.Series(items, index=out.index, dtype=object)
-            yield out
+            out = [{**{k: row[k] for k in keys}, "items": found} for row, found in zip(rows, items)]
+            yield from pa.Table.from_pylist(out, schema=arrow).to_batches()
 
-    return df.mapInPandas(run, f"{key_types}, items array<struct<{item_schema}>>")
+    return df.mapInArrow(run, schema)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,8 +11,10 @@ from ..operators import layout, results
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared checkpoint folder; a local one only if the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
+    """A fresh folder in the shared folder that `spark.checkpoint.dir` names; sessions without one are refused."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

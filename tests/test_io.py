@@ -112,6 +112,12 @@ def test_user_code_errors_become_rows(spark):
     assert rows[3].error.message == "three" and rows[4].status == "error" and rows[3].result is None
 
 
+def test_user_code_gets_exact_integers_and_none(spark):
+    frame = spark.sql("SELECT * FROM VALUES (1L, 9007199254740993L), (2L, NULL) AS t(doc_id, n)").coalesce(1)
+    seen = {r.doc_id: r.result.seen for r in userfn.apply_per_document(frame, lambda row: {"seen": repr(row["n"])}, "seen string").collect()}
+    assert seen == {1: "9007199254740993", 2: "None"}
+
+
 def test_batches_isolate_failures(spark):
     frame = spark.range(11).selectExpr("id AS doc_id", "1 AS page").repartition(2)
 
