@@ -305,9 +305,45 @@ _ELEMENT = f"""CASE WHEN length({strip('text')}) < 100 AND upper({strip('text')}
 _TABLE_COUNT = "SELECT doc_id, COUNT(DISTINCT (page, table_no)) AS n FROM cells GROUP BY doc_id"
 
 
+_RENDERED = f"""SELECT doc_id, {strip("string_agg(t, chr(10) || chr(10) ORDER BY page, table_no)")} AS t FROM (
+    SELECT doc_id, page, table_no, string_agg(t, chr(10) ORDER BY row_no) AS t FROM (
+      SELECT doc_id, page, table_no, row_no, string_agg(text, ' | ' ORDER BY col_no) AS t FROM cells GROUP BY ALL) GROUP BY ALL) GROUP BY doc_id"""
+_KIND_COUNTS = ", ".join(
+    f"CAST(COUNT(*) FILTER (WHERE e = '{k}') AS INT) AS {k}s" for k in ("heading", "title", "paragraph", "text")
+)
+# Contents of the three branches, one row per document that has tokens.
+_BRANCHES = f"""SELECT fig.*, ROUND(tim.t, 6) AS t, CAST(COALESCE(tabs.n, 0) AS INT) AS total_tables, headings, titles, paragraphs, texts,
+    COALESCE(NULLIF(ren.t, ''), 'Found ' || CAST(COALESCE(tabs.n, 0) AS VARCHAR) || ' tables across '
+      || CAST(pages_processed AS VARCHAR) || ' pages, but no text content could be extracted.') AS table_content,
+    COALESCE(NULLIF({strip('all_text')}, ''), 'Extracted structure from ' || CAST(pages_processed AS VARCHAR)
+      || ' pages, but no text content could be extracted.') AS structure_content
+    FROM fig JOIN tim ON tim.doc_id = fig.doc_id LEFT JOIN tabs ON tabs.doc_id = fig.doc_id LEFT JOIN ren ON ren.doc_id = fig.doc_id
+    JOIN (SELECT doc_id, {_KIND_COUNTS} FROM (SELECT doc_id, {_ELEMENT} AS e FROM tok) GROUP BY doc_id) k ON k.doc_id = fig.doc_id"""
+_LAYOUT = {**_CELLS, "fig": _FIGURES, "tim": _TIMES, "tabs": _TABLE_COUNT, "ren": _RENDERED, "br": _BRANCHES}
+
+
 def over_tokens(body: str, *more: str) -> str:
-    ctes = {"tok": _TOKENS, **_CELLS, "fig": _FIGURES, "tim": _TIMES, "tabs": _TABLE_COUNT}
-    return with_views(["ocr_tokens"], body, **ctes)
+    return with_views(["ocr_tokens"], body, tok=_TOKENS, **_LAYOUT)
+
+
+# Invoices recognised line by line; what each branch makes of them, and the documents that have a text then.
+_LINE_TOKENS = """SELECT doc_id, CAST(i - 1 AS INT) AS pos, CAST(FLOOR((i - 1) / 4) AS INT) + 1 AS page, string_split(text, chr(10))[i] AS text,
+    CAST(50 + (doc_id * 31 + (i - 1) * 17) % 50 AS DOUBLE) / 100 AS confidence,
+    CAST(((i - 1) % 4) * 25 + CASE WHEN (doc_id + i - 1) % 4 = 0 THEN 40 ELSE 0 END AS DOUBLE) AS y_min,
+    CAST((doc_id * 7 + (i - 1) * 13) % 600 AS DOUBLE) AS x_min, 0.25::DOUBLE AS processing_time
+    FROM (SELECT doc_id, text, UNNEST(RANGE(1, LEN(string_split(text, chr(10))) + 1)) AS i FROM src WHERE doc_id % 13 <> 0)"""
+_CHOSEN = """SELECT s.doc_id, s.response, s.branch, br.doc_id IS NOT NULL AS seen, pages_processed, total_items, t * CASE WHEN branch = 'full' THEN 3 ELSE 1 END AS t,
+    CASE branch WHEN 'table' THEN table_content WHEN 'structure' THEN structure_content ELSE sure_text END AS text,
+    CASE WHEN br.doc_id IS NULL THEN NULL WHEN branch = 'table' THEN 0.85 WHEN branch = 'structure' THEN mean WHEN branch = 'full' THEN (sure_mean + 0.85 + mean) / 3 ELSE sure_mean END::DOUBLE AS c
+    FROM (SELECT *, CASE doc_id % 5 WHEN 1 THEN 'table' WHEN 2 THEN 'structure' WHEN 3 THEN 'full' ELSE 'text' END AS branch FROM src) s
+    LEFT JOIN br ON br.doc_id = s.doc_id"""
+
+
+def over_recognised(body: str, **extra: str) -> str:
+    return with_views(
+        ["invoice_texts", "llm_responses"], body, src=ANSWERED, tok=_LINE_TOKENS, **_LAYOUT, ex=_CHOSEN,
+        a="SELECT doc_id, text, response FROM ex WHERE seen AND text <> ''", f=record_fields("a"), d=ANSWERED_D, **validation_ctes(), **extra,
+    )
 
 
 _STATUS = """SELECT agent, COUNT(*) AS total_tasks, COUNT(*) FILTER (WHERE status = 'error') AS error_count,
@@ -388,9 +424,6 @@ _SCORED = """SELECT doc_id, score AS validation, is_valid, CAST(70 + doc_id % 31
     CAST(50 + doc_id % 50 AS DOUBLE) / 100 AS analysis FROM val"""
 _QUALITY = "ROUND(ocr * 0.3::DOUBLE + analysis * 0.3::DOUBLE + validation * 0.4::DOUBLE, 12)"
 _LEVEL = "CASE WHEN {s} >= 0.9 THEN 'excellent' WHEN {s} >= 0.8 THEN 'good' WHEN {s} >= 0.7 THEN 'fair' ELSE 'poor' END"
-_INV_TOKENS = """SELECT doc_id, i - 1 AS pos, string_split(text, chr(10))[i] AS line,
-    CAST(50 + (doc_id * 31 + i - 1) * 1 % 50 AS DOUBLE) AS unused FROM
-    (SELECT doc_id, text, UNNEST(RANGE(1, LEN(string_split(text, chr(10))) + 1)) AS i FROM a WHERE doc_id % 13 <> 0)"""
 
 
 def oracle() -> dict[str, str]:
@@ -439,32 +472,21 @@ def oracle() -> dict[str, str]:
         FROM (SELECT doc_id, text, UNNEST(RANGE(1, LEN(string_split(text, chr(10) || chr(10))) + 1)) AS i FROM documents)"""
     sql["l3_segment_tables"] = over_tokens("SELECT doc_id, page, pos, table_no FROM cells")
     sql["l4_group_rows"] = over_tokens("SELECT doc_id, page, pos, table_no, row_no, col_no FROM cells")
-    rendered = f"""SELECT doc_id, {strip("string_agg(t, chr(10) || chr(10) ORDER BY page, table_no)")} AS t FROM (
-        SELECT doc_id, page, table_no, string_agg(t, chr(10) ORDER BY row_no) AS t FROM (
-          SELECT doc_id, page, table_no, row_no, string_agg(text, ' | ' ORDER BY col_no) AS t FROM cells GROUP BY ALL) GROUP BY ALL) GROUP BY doc_id"""
-    sql["l5_render_tables"] = over_tokens(
-        f"""SELECT fig.doc_id, COALESCE(NULLIF(r.t, ''), 'Found ' || CAST(COALESCE(tabs.n, 0) AS VARCHAR) || ' tables across '
-           || CAST(pages_processed AS VARCHAR) || ' pages, but no text content could be extracted.') AS extracted_content
-           FROM fig LEFT JOIN tabs ON tabs.doc_id = fig.doc_id LEFT JOIN ({rendered}) r ON r.doc_id = fig.doc_id"""
-    )
+    sql["l5_render_tables"] = over_tokens("SELECT doc_id, table_content AS extracted_content FROM br")
     sql["l6_table_result"] = over_tokens(
-        """SELECT fig.doc_id, CAST(COALESCE(n, 0) AS INT) AS total_tables, pages_processed, 0.85::DOUBLE AS confidence,
-           ROUND(t, 6) AS processing_time FROM fig JOIN tim ON tim.doc_id = fig.doc_id LEFT JOIN tabs ON tabs.doc_id = fig.doc_id"""
+        """SELECT doc_id, table_content AS extracted_content, total_tables, pages_processed, 0.85::DOUBLE AS confidence,
+           t AS processing_time, 'table' AS extraction_type FROM br"""
     )
     sql["l7_classify_element"] = with_views(["ocr_tokens"], f"SELECT doc_id, pos, {_ELEMENT} AS element_type FROM ocr_tokens")
-    kinds = ", ".join(
-        f"CAST(COUNT(*) FILTER (WHERE e = '{k}') AS INT) AS {k}s" for k in ("heading", "title", "paragraph", "text")
-    )
     sql["l8_structure_result"] = over_tokens(
-        f"""SELECT fig.doc_id, COALESCE(NULLIF({strip('all_text')}, ''), 'Extracted structure from ' || CAST(pages_processed AS VARCHAR)
-           || ' pages, but no text content could be extracted.') AS extracted_content, total_items AS total_elements,
-           headings, titles, paragraphs, texts, pages_processed, ROUND(mean, 6) AS confidence
-           FROM fig JOIN (SELECT doc_id, {kinds} FROM (SELECT doc_id, {_ELEMENT} AS e FROM tok) GROUP BY doc_id) k ON k.doc_id = fig.doc_id"""
+        """SELECT doc_id, structure_content AS extracted_content, total_items AS total_elements, headings, titles, paragraphs, texts,
+           pages_processed, ROUND(mean, 6) AS confidence, t AS processing_time, 'structure' AS extraction_type FROM br"""
     )
     sql["l9_full_content"] = over_tokens(
-        """SELECT fig.doc_id, CAST(filtered_items + COALESCE(n, 0) + total_items AS INT) AS total_elements, pages_processed,
-           ROUND((sure_mean + 0.85 + mean) / 3, 6) AS confidence, ROUND(3 * t, 6) AS processing_time
-           FROM fig JOIN tim ON tim.doc_id = fig.doc_id LEFT JOIN tabs ON tabs.doc_id = fig.doc_id"""
+        """SELECT doc_id, sure_text AS extracted_content, CAST(filtered_items + total_tables + total_items AS INT) AS total_elements, pages_processed,
+           ROUND((sure_mean + 0.85 + mean) / 3, 6) AS confidence, ROUND(3 * t, 6) AS processing_time, 'full' AS extraction_type, table_content,
+           total_tables, structure_content, total_items AS elements, headings, titles, paragraphs, texts, total_items, filtered_items,
+           ROUND(sure_mean, 6) AS text_confidence, ROUND(mean, 6) AS structure_confidence FROM br"""
     )
     sql["l10_extraction_confidence"] = over_tokens(
         """SELECT doc_id, ROUND(CASE WHEN doc_id % 3 = 0 AND filtered_items = 0 THEN 0.8 WHEN doc_id % 3 = 0 THEN sure_mean
@@ -639,18 +661,21 @@ def oracle() -> dict[str, str]:
         f"SELECT doc_id, COALESCE(string_agg({advice}, '|' ORDER BY {order}) FILTER (WHERE failed), '') AS recommendations FROM cat GROUP BY doc_id"
     )
 
-    sql["r1_compile_results"] = over_answers(
-        f"""SELECT a.doc_id, COALESCE(e.n, 0) AS items_extracted, COALESCE(e.p, 0) AS pages_processed, ROUND(COALESCE(e.c, 0), 6) AS extraction_confidence,
-           COALESCE(e.chars, 0) AS extracted_chars, {document_type('d.text_lc')} AS document_type, {category('d.text_lc')} AS category,
-           {_CONFIDENCE} AS analysis_confidence, is_valid, ROUND(score, 6) AS validation_score, CAST(issues AS INT) AS issues,
-           COALESCE(m.l, '') AS missing_fields, {words('a.text')} AS total_words, ROUND({_QUALITY_R1}, 6) AS quality_score, {_LEVEL.format(s=_QUALITY_R1)} AS quality_level,
-           ROUND(least(1, COALESCE(e.c, 0.8) * 0.25::DOUBLE + {_CONFIDENCE} * 0.35::DOUBLE + score * 0.4::DOUBLE), 6) AS overall_confidence
-           FROM a JOIN d ON d.doc_id = a.doc_id JOIN val ON val.doc_id = a.doc_id
-           LEFT JOIN {by_code('missing', place.format('field'))} m ON m.doc_id = a.doc_id LEFT JOIN e ON e.doc_id = a.doc_id""",
-        it="""SELECT doc_id, i - 1 AS pos, string_split(text, chr(10))[i] AS line, CAST(50 + (doc_id * 31 + (i - 1) * 17) % 50 AS DOUBLE) / 100 AS confidence
-            FROM (SELECT doc_id, text, UNNEST(RANGE(1, LEN(string_split(text, chr(10))) + 1)) AS i FROM a WHERE doc_id % 13 <> 0)""",
-        e="""SELECT doc_id, CAST(COUNT(*) AS INT) AS n, 1 AS p, COALESCE(AVG(confidence) FILTER (WHERE confidence >= 0.8), 0) AS c,
-            CAST(length(COALESCE(string_agg(line, ' ' ORDER BY pos) FILTER (WHERE confidence >= 0.8), '')) AS INT) AS chars FROM it GROUP BY doc_id""",
+    sure = f"CASE WHEN d.doc_id IS NULL THEN 0::DOUBLE ELSE {_CONFIDENCE} END"
+    quality = f"ROUND(COALESCE(c, 0) * 0.3::DOUBLE + {sure} * 0.3::DOUBLE + COALESCE(score, 0) * 0.4::DOUBLE, 12)"
+    certain = (
+        f"ROUND(least(1, COALESCE(c, 0.8) * 0.25::DOUBLE + CASE WHEN d.doc_id IS NULL THEN 0.8::DOUBLE ELSE {_CONFIDENCE} END * 0.35::DOUBLE"
+        " + COALESCE(score, 0.8) * 0.4::DOUBLE), 6)"
+    )
+    sql["r1_compile_results"] = over_recognised(
+        f"""SELECT ex.doc_id, COALESCE(total_items, 0) AS items_extracted, COALESCE(pages_processed, 0) AS pages_processed,
+           CASE WHEN seen THEN branch ELSE 'text' END AS extraction_type, COALESCE(ex.text, '') AS extracted_text, ROUND(COALESCE(c, 0), 6) AS extraction_confidence,
+           ROUND(COALESCE(t, 0), 6) AS processing_time, 'invoice' AS document_type, CASE WHEN d.doc_id IS NULL THEN 'general' ELSE {category('d.text_lc')} END AS category,
+           {sure} AS analysis_confidence, COALESCE(is_valid, false) AS is_valid, ROUND(COALESCE(score, 0), 6) AS validation_score, CAST(COALESCE(issues, 0) AS INT) AS issues,
+           CASE WHEN d.doc_id IS NULL THEN 'summary' ELSE COALESCE(m.l, '') END AS missing_fields, COALESCE({words('ex.text')}, 0) AS total_words,
+           ROUND({quality}, 6) AS quality_score, {_LEVEL.format(s=quality)} AS quality_level, {certain} AS overall_confidence
+           FROM ex LEFT JOIN d ON d.doc_id = ex.doc_id LEFT JOIN val ON val.doc_id = ex.doc_id
+           LEFT JOIN {by_code('missing', place.format('field'))} m ON m.doc_id = ex.doc_id"""
     )
     scored = {"sc": _SCORED, "qs": f"SELECT *, {_QUALITY} AS s FROM sc"}
     over_scores = lambda body: with_views(["invoice_texts"], body, f=INVOICE_F, d=INVOICE_D, **validation_ctes(), **scored)
@@ -672,16 +697,21 @@ def oracle() -> dict[str, str]:
     total = f"ROUND(least(1, 0.8::DOUBLE * 0.25::DOUBLE + {_CONFIDENCE} * 0.35::DOUBLE + score * 0.4::DOUBLE), 6)"
     sql["r6_run_metadata"] = over_answers(
         f"""SELECT a.doc_id, 'text' AS extraction_type, 'json' AS output_format, 'standard' AS workflow_type, 'ocr|analysis|validation' AS agents_involved,
+           CASE WHEN a.doc_id % 9 <> 0 THEN ROUND(CAST(a.doc_id % 50 AS DOUBLE) / 10, 6) END AS processing_time,
+           CASE WHEN a.doc_id % 9 <> 0 THEN strftime(TIMESTAMP '2000-01-01' + INTERVAL 1 SECOND * (a.doc_id + a.doc_id % 50 // 10), '%Y-%m-%d %H:%M:%S') END AS timestamp,
            {total} AS overall_confidence FROM a JOIN val ON val.doc_id = a.doc_id"""
     )
     sql["r7_combine_pages"] = folded(_PAGES, ["ocr_tokens"])
-    refused = """CASE WHEN a.doc_id % 23 = 0 THEN 'document_path is required' WHEN a.doc_id % 29 = 0 THEN 'File size exceeds maximum allowed (50MB)'
-        WHEN a.doc_id % 31 = 0 THEN 'Unsupported file format: .exe' ELSE '' END"""
-    sql["r8_process_batch"] = over_answers(
-        f"""SELECT a.doc_id, {refused} = '' AS success, CASE WHEN {refused} = '' THEN 'completed' ELSE 'error' END AS status, {refused} AS message,
-           CASE WHEN {refused} = '' THEN {document_type('d.text_lc')} ELSE '' END AS document_type,
-           CASE WHEN {refused} = '' THEN ROUND(score, 6) ELSE -1 END AS validation_score, CASE WHEN {refused} = '' THEN {total} ELSE 0 END AS confidence
-           FROM a JOIN d ON d.doc_id = a.doc_id JOIN val ON val.doc_id = a.doc_id"""
+    refused = """CASE WHEN ex.doc_id % 23 = 0 THEN 'document_path is required' WHEN ex.doc_id % 29 = 0 THEN 'File size exceeds maximum allowed (50MB)'
+        WHEN ex.doc_id % 31 = 0 THEN 'Unsupported file format: .exe' ELSE '' END"""
+    sql["r8_process_batch"] = over_recognised(
+        f"""SELECT ex.doc_id, ROW_NUMBER() OVER (ORDER BY ex.doc_id) - 1 AS position, CASE WHEN ex.doc_id % 23 = 0 THEN '' ELSE '/in/' || CAST(ex.doc_id AS VARCHAR) END AS document_path,
+           {refused} = '' AS success, CASE WHEN {refused} = '' THEN 'completed' ELSE 'error' END AS status, {refused} AS message,
+           CASE WHEN {refused} <> '' THEN '' WHEN seen THEN branch ELSE 'text' END AS extraction_type,
+           CASE WHEN {refused} = '' THEN CAST(length(COALESCE(ex.text, '')) AS INT) END AS extracted_chars,
+           CASE WHEN {refused} = '' THEN 'invoice' ELSE '' END AS document_type,
+           CASE WHEN {refused} = '' THEN ROUND(COALESCE(score, 0), 6) ELSE -1 END AS validation_score, CASE WHEN {refused} = '' THEN {certain} ELSE 0 END AS confidence
+           FROM ex LEFT JOIN d ON d.doc_id = ex.doc_id LEFT JOIN val ON val.doc_id = ex.doc_id"""
     )
 
     no_ocr = f"ROUND({_CONFIDENCE} * 0.3::DOUBLE + score * 0.4::DOUBLE, 12)"
@@ -746,5 +776,3 @@ def oracle() -> dict[str, str]:
     sql["u2_apply_in_batches"] = f"SELECT doc_id, 1 AS page, CASE WHEN doc_id % 10 = 3 THEN 0 ELSE {words('text')} END AS items FROM documents"
     return sql
 
-
-_QUALITY_R1 = f"ROUND(COALESCE(e.c, 0) * 0.3::DOUBLE + {_CONFIDENCE} * 0.3::DOUBLE + score * 0.4::DOUBLE, 12)"

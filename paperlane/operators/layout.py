@@ -6,9 +6,10 @@ Tokens: `doc_id`, `page` (from 1), `pos` (order of recognition), `text`,
 
 A document or a page may hold a large share of all tokens. Sums and counts are
 combined before they are shuffled. Ordered work is done in pieces: runs of
-positions, strips of a row, runs of cells; what comes before a piece is known
-from totals of the pieces before it. Only whole strings are put together per document, and only where they fit in a value;
-the pieces of longer documents are available from `text_pieces`.
+positions, stretches of a row, runs of cells; what comes before a piece is known
+from the counts of the pieces before it. One summary of the runs of a document holds
+counts, sums and texts, so text and structure come out of one pass. Only whole strings are put
+together per document, and only where they fit in a value; the pieces of longer documents are available from `text_pieces`.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed, text as texts
+from .admission import extraction_branch
 
 KEY = "doc_id"
 PIECE = 4096  # tokens, cells or elements put together at once
-STRIP = 500  # width in pixels of the strips a row of cells is cut into
+STRETCH = 8  # width in pixels of the stretches in which the cells of a row are counted
 
 
 def filter_confidence(tokens: DataFrame, threshold: float = fixed.TOKEN_CONFIDENCE) -> DataFrame:
@@ -51,50 +53,89 @@ def text_pieces(tokens: DataFrame, order: list[str], piece: Column, text: str, s
     )
 
 
-def whole_texts(pieces: DataFrame, separator: str) -> DataFrame:
-    """Pieces joined to one text per document, whatever its length; `text_pieces` gives the same text as ordered rows."""
-    joined = pieces.groupBy(KEY).agg(F.collect_list(F.struct("piece", "text")).alias("items"))
-    return joined.select(KEY, F.expr(f"array_join({_in_order('items', 'text')}, '{separator}')").alias("content"))
-
-
 _KINDS = ["heading", "title", "paragraph", "text"]
 
 
-def document_figures(tokens: DataFrame, threshold: float, pages: DataFrame | None = None) -> DataFrame:
-    """Counts, sums and times per document, by way of its pages; all combined before they are shuffled.
-
-    Every token carries its page's recognition time, which counts once.
-    `pages` (doc_id, page) also lists pages without tokens.
-    """
-    time = F.col("processing_time") if "processing_time" in tokens.columns else F.lit(0.0)
+def _run_sums(tokens: DataFrame, threshold: float) -> dict[str, Column]:
     sure = F.col("confidence") >= threshold
     kind = F.expr(texts.classify_element("text"))
-    sums = {
+    return {
         "total_items": F.count(F.lit(1)),
         "filtered_items": F.count_if(sure),
         "sure_sum": F.sum(F.when(sure, F.col("confidence"))),
         "confidence_sum": F.sum("confidence"),
         **{f"{k}s": F.count_if(kind == k) for k in _KINDS},
     }
-    by_page = tokens.groupBy(KEY, "page").agg(F.max(time).alias("page_time"), *[c.alias(n) for n, c in sums.items()])
-    if pages is not None:
-        by_page = pages.select(KEY, "page").distinct().join(by_page, [KEY, "page"], "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return by_page.groupBy(KEY).agg(
-        F.count("page").cast("int").alias("pages_processed"),
-        zero(F.sum("page_time")).cast("double").alias("processing_time"),
-        *[zero(F.sum(n)).alias(n) for n in sums],
+
+
+_FIGURES = ["total_items", "filtered_items", "sure_sum", "confidence_sum", *[f"{k}s" for k in _KINDS]]
+
+
+def run_summary(
+    tokens: DataFrame, threshold: float, all_text: Column | bool = False, pages: DataFrame | None = None
+) -> DataFrame:
+    """Counts, sums and texts of every run of positions of a page; summaries of more runs simply add up.
+
+    One row per document, page and `part`: the sums of its tokens, `page_time`, `sure_text` of its sure tokens (NULL without one)
+    and, where `all_text` holds, the lines of all of them. `all_text` may differ from
+    document to document, so that each carries only the text it needs. `pages` (doc_id, page) also lists pages without tokens.
+    """
+    wanted = F.lit(all_text) if isinstance(all_text, bool) else all_text
+    time = F.col("processing_time") if "processing_time" in tokens.columns else F.lit(0.0)
+    kept = tokens.withColumns({"_sure": F.col("confidence") >= threshold, "_all": wanted})
+    item = F.when(F.col("_sure") | F.col("_all"), F.struct("pos", "_sure", "text"))
+    runs = kept.groupBy(KEY, "page", F.floor(F.col("pos") / PIECE).alias("part")).agg(
+        F.max(time).alias("page_time"),
+        F.bool_or("_all").alias("_all"),
+        F.array_sort(F.collect_list(item)).alias("_items"),
+        *[c.alias(n) for n, c in _run_sums(tokens, threshold).items()],
     )
+    runs = runs.select(
+        KEY, "page", "part", "page_time", *_FIGURES,
+        F.expr("IF(filtered_items > 0, array_join(transform(filter(_items, i -> i._sure), i -> i.text), ' '), NULL)").alias("sure_text"),
+        F.expr("IF(_all, array_join(transform(_items, i -> i.text), '\\n'), NULL)").alias("all_text"),
+    )
+    if pages is None:
+        return runs
+    return runs.unionByName(pages.select(KEY, "page").distinct(), allowMissingColumns=True)
 
 
-def _position_pieces(tokens: DataFrame, separator: str) -> DataFrame:
-    piece = F.struct("page", F.floor(F.col("pos") / PIECE).alias("part"))
-    return text_pieces(tokens, ["pos"], piece, "text", separator)
+def fold_runs(runs: DataFrame, texts_of: tuple[str, ...] = ("sure_text",)) -> DataFrame:
+    """Documents out of their runs: figures, `pages_processed`, `processing_time`, and the named texts in reading order.
 
+    Every run carries its page's recognition time, which counts once.
+    """
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    grouped = runs.groupBy(KEY).agg(
+        F.array_sort(F.collect_list(F.struct("page", "part", "page_time", *texts_of))).alias("runs"),
+        *[zero(F.sum(n)).alias(n) for n in _FIGURES],
+    )
+    time = """aggregate(runs, named_struct('page', int(NULL), 'high', 0D, 'done', 0D), (s, r) -> IF(s.page <=> int(r.page),
+        named_struct('page', s.page, 'high', greatest(s.high, coalesce(double(r.page_time), 0D)), 'done', s.done),
+        named_struct('page', int(r.page), 'high', coalesce(double(r.page_time), 0D), 'done', s.done + s.high)), s -> s.done + s.high)"""
+    joined = {
+        "sure_text": "array_join(transform(filter(runs, r -> r.sure_text IS NOT NULL), r -> r.sure_text), ' ')",
+        "all_text": texts.strip("array_join(transform(filter(runs, r -> r.all_text IS NOT NULL), r -> r.all_text), '\\n')"),
+    }
+    return grouped.select(
+        KEY,
+        F.expr("size(array_distinct(transform(runs, r -> r.page)))").alias("pages_processed"),
+        F.expr(time).alias("processing_time"),
+        *_FIGURES,
+        *[F.expr(joined[t]).alias(t) for t in texts_of],
+    )
 
-def _sure_text(tokens: DataFrame, threshold: float) -> DataFrame:
-    kept = filter_confidence(tokens, threshold)
-    return whole_texts(_position_pieces(kept, " "), " ").withColumnRenamed("content", "sure_text")
+
+def document_times(tokens: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Pages and recognition time per document, by way of its pages; texts are not read."""
+    time = F.col("processing_time") if "processing_time" in tokens.columns else F.lit(0.0)
+    by_page = tokens.groupBy(KEY, "page").agg(F.max(time).alias("page_time"))
+    if pages is not None:
+        by_page = pages.select(KEY, "page").distinct().join(by_page, [KEY, "page"], "left")
+    return by_page.groupBy(KEY).agg(
+        F.count("page").cast("int").alias("pages_processed"),
+        F.coalesce(F.sum("page_time"), F.lit(0)).cast("double").alias("processing_time"),
+    )
 
 
 def _text_columns() -> list[Column]:
@@ -119,8 +160,7 @@ def assemble_text(
 
     `total_items` counts all tokens, `filtered_items` the sure ones.
     """
-    content = _sure_text(tokens, threshold)
-    return document_figures(tokens, threshold, pages).join(content, KEY, "left").select(KEY, *_text_columns())
+    return fold_runs(run_summary(tokens, threshold, pages=pages)).select(KEY, *_text_columns())
 
 
 def confidence_scores(tokens: DataFrame, threshold: float = fixed.TOKEN_CONFIDENCE) -> DataFrame:
@@ -128,23 +168,6 @@ def confidence_scores(tokens: DataFrame, threshold: float = fixed.TOKEN_CONFIDEN
     return filter_confidence(tokens, threshold).select(KEY, "page", "pos", "confidence")
 
 
-def running_totals(df: DataFrame, keys: list[str], strip: str, order: list[str], sums: dict[str, Column]) -> DataFrame:
-    """Running sums within `keys` in the order of (`strip`, `order`), strip by strip.
-
-    A window covers one strip of a key; what the strips before add up to is
-    summed over the strips' totals and joined back.
-    """
-    within = Window.partitionBy(*keys, strip).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy(strip).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*keys, strip).agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
-    carried = totals.select(
-        *keys, strip, *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums]
-    )
-    local = df.withColumns({n: F.sum(c).over(within) for n, c in sums.items()})
-    joined = local.join(carried, [*keys, strip])
-    return joined.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop(*[f"_{n}" for n in sums])
-
-
 def table_levels(tokens: DataFrame, table_gap: float = fixed.TABLE_GAP, row_gap: float = fixed.ROW_GAP) -> DataFrame:
     """(document, page, y_min) of every height that lies in a table, with its table and row number.
 
@@ -178,31 +201,71 @@ def segment_tables(tokens: DataFrame, table_gap: float = fixed.TABLE_GAP, row_ga
     return tokens.join(table_levels(tokens, table_gap, row_gap), [KEY, "page", "y_min"])
 
 
+def _stretch() -> Column:
+    return F.coalesce(F.floor(F.col("x_min") / STRETCH), F.lit(-(1 << 40)))
+
+
+def table_stretches(tokens: DataFrame, table_gap: float = fixed.TABLE_GAP, row_gap: float = fixed.ROW_GAP) -> DataFrame:
+    """What `table_levels` gives, for every stretch of a height, with the number of cells of its row further left.
+
+    Tokens are first counted per height and stretch of `STRETCH` pixels. A page then has at most as many rows as it has
+    such boxes, and gaps, tables, rows and the cells before a stretch are all prefix sums over these counts.
+    """
+    boxes = tokens.groupBy(KEY, "page", "y_min", _stretch().alias("stretch")).agg(F.count(F.lit(1)).alias("n"))
+    down = Window.partitionBy(KEY, "page").orderBy("y_min", "stretch")
+    so_far = down.rowsBetween(Window.unboundedPreceding, 0)
+    group = Window.partitionBy(KEY, "page", "group_no")
+    left = Window.partitionBy(KEY, "page", "group_no", "row_at").orderBy("stretch").rangeBetween(Window.unboundedPreceding, -1)
+    gap = F.coalesce(F.col("y_min") - F.lag("y_min").over(down), F.lit(float("inf")))
+    starts = lambda limit: (F.col("gap") >= limit).cast("int")
+    grouped = (
+        boxes.withColumn("gap", gap)
+        .withColumns({"group_no": F.sum(starts(table_gap)).over(so_far), "row_at": F.sum(starts(row_gap)).over(so_far)})
+        .withColumns({"tokens": F.sum("n").over(group), "first_row": F.min("row_at").over(group)})
+        .where(F.col("tokens") > 1)
+    )
+    numbered = grouped.withColumns(
+        {
+            "table_no": F.dense_rank().over(Window.partitionBy(KEY, "page").orderBy("group_no")),
+            "cells_left": F.coalesce(F.sum("n").over(left), F.lit(0)),
+        }
+    )
+    row_no = (F.col("row_at") - F.col("first_row") + 1).cast("int").alias("row_no")
+    return numbered.select(KEY, "page", "y_min", "stretch", "table_no", row_no, "cells_left")
+
+
 def group_rows(tokens: DataFrame, table_gap: float = fixed.TABLE_GAP, row_gap: float = fixed.ROW_GAP) -> DataFrame:
-    """Cells of all tables: table, row and column number, columns ordered from left to right."""
-    cells = segment_tables(tokens, table_gap, row_gap).withColumn("strip", F.floor(F.col("x_min") / STRIP))
-    row = [KEY, "page", "table_no", "row_no"]
-    numbered = running_totals(cells, row, "strip", ["x_min", "y_min", "pos"], {"col_no": F.lit(1)})
-    return numbered.withColumn("col_no", F.col("col_no").cast("int")).drop("strip")
+    """Cells of all tables: table, row and column number, columns ordered from left to right.
+
+    Only the tokens of one stretch of a row are put in order against each other; a crowded row is spread over
+    as many tasks as it has stretches.
+    """
+    boxes = table_stretches(tokens, table_gap, row_gap)
+    cells = tokens.withColumn("stretch", _stretch()).join(boxes, [KEY, "page", "y_min", "stretch"])
+    within = Window.partitionBy(KEY, "page", "table_no", "row_no", "stretch").orderBy("x_min", "y_min", "pos")
+    numbered = cells.withColumn("col_no", (F.col("cells_left") + F.row_number().over(within)).cast("int"))
+    return numbered.select(*tokens.columns, "table_no", "row_no", "col_no")
 
 
 def render_tables(cells: DataFrame) -> DataFrame:
-    """Text of a document's tables: cells joined by a bar, rows on lines, a blank line between tables.
+    """`table_text` and number of `tables` per document: cells joined by a bar, rows on lines, a blank line between tables.
 
     Every cell carries the break before it, so pieces are simply concatenated.
     """
     first_cell = F.col("col_no") == 1
-    lead = F.when(first_cell & (F.col("row_no") == 1), "\n\n").when(first_cell, "\n").otherwise(" | ")
-    led = cells.withColumn("led", F.concat(lead, "text"))
+    first_of_table = first_cell & (F.col("row_no") == 1)
+    lead = F.when(first_of_table, "\n\n").when(first_cell, "\n").otherwise(" | ")
     piece = F.struct("page", "table_no", "row_no", F.floor((F.col("col_no") - 1) / PIECE).alias("part"))
-    pieces = text_pieces(led, ["col_no"], piece, "led", "")
-    return whole_texts(pieces, "").select(KEY, F.expr(texts.strip("content")).alias("table_text"))
-
-
-def table_counts(levels: DataFrame) -> DataFrame:
-    """Number of tables per document that has any."""
-    by_page = levels.groupBy(KEY, "page").agg(F.max("table_no").alias("n"))
-    return by_page.groupBy(KEY).agg(F.sum("n").cast("int").alias("tables"))
+    pieces = cells.groupBy(KEY, piece.alias("piece")).agg(
+        F.collect_list(F.struct("col_no", F.concat(lead, "text").alias("led"))).alias("items"),
+        F.count_if(first_of_table).alias("tables"),
+    )
+    pieces = pieces.select(KEY, "piece", "tables", F.expr(f"array_join({_in_order('items', 'led')}, '')").alias("text"))
+    joined = pieces.groupBy(KEY).agg(
+        F.collect_list(F.struct("piece", "text")).alias("items"), F.sum("tables").cast("int").alias("tables")
+    )
+    whole = joined.select(KEY, "tables", F.expr(f"array_join({_in_order('items', 'text')}, '')").alias("content"))
+    return whole.select(KEY, "tables", F.expr(texts.strip("content")).alias("table_text"))
 
 
 def _table_columns() -> list[Column]:
@@ -224,12 +287,7 @@ def _table_columns() -> list[Column]:
 def table_result(tokens: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """One row per document: rendered tables, their number, fixed confidence."""
     rendered = render_tables(group_rows(tokens))
-    return (
-        document_figures(tokens, 0.0, pages)
-        .join(table_counts(table_levels(tokens)), KEY, "left")
-        .join(rendered, KEY, "left")
-        .select(KEY, *_table_columns())
-    )
+    return document_times(tokens, pages).join(rendered, KEY, "left").select(KEY, *_table_columns())
 
 
 def structure_elements(tokens: DataFrame) -> DataFrame:
@@ -237,11 +295,6 @@ def structure_elements(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("element_type", F.expr(texts.classify_element("text")))
 
 
-def _all_text(tokens: DataFrame) -> DataFrame:
-    lines = whole_texts(_position_pieces(tokens, "\\n"), "\\n")
-    return lines.select(KEY, F.expr(texts.strip("content")).alias("all_text"))
-
-
 def _structure_columns() -> list[Column]:
     note = F.concat(
         F.lit("Extracted structure from "), F.col("pages_processed").cast("string"),
@@ -260,8 +313,8 @@ def _structure_columns() -> list[Column]:
 
 def structure_result(tokens: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """One row per document: all tokens as lines, counts per element type, mean confidence."""
-    lines = _all_text(tokens)
-    return document_figures(tokens, 0.0, pages).join(lines, KEY, "left").select(KEY, *_structure_columns())
+    runs = run_summary(tokens, 0.0, True, pages)
+    return fold_runs(runs, ("all_text",)).select(KEY, *_structure_columns())
 
 
 def full_content(
@@ -269,14 +322,9 @@ def full_content(
     threshold: float = fixed.TOKEN_CONFIDENCE,
     pages: DataFrame | None = None,
 ) -> DataFrame:
-    """Text, tables and structure of a document side by side, over one set of figures."""
-    joined = (
-        document_figures(tokens, threshold, pages)
-        .join(table_counts(table_levels(tokens)), KEY, "left")
-        .join(_sure_text(tokens, threshold), KEY, "left")
-        .join(render_tables(group_rows(tokens)), KEY, "left")
-        .join(_all_text(tokens), KEY, "left")
-    )
+    """Text, tables and structure of a document side by side: one summary of its runs beside its tables."""
+    runs = run_summary(tokens, threshold, True, pages)
+    joined = fold_runs(runs, ("sure_text", "all_text")).join(render_tables(group_rows(tokens)), KEY, "left")
     parts = joined.select(
         KEY,
         "pages_processed",
@@ -307,6 +355,49 @@ def extract(tokens: DataFrame, extraction_type: str = "text", **options) -> Data
     return branches.get(extraction_type, assemble_text)(tokens, **options)
 
 
+def extract_each(
+    tokens: DataFrame, asked: DataFrame, threshold: float = fixed.TOKEN_CONFIDENCE, extraction_type: str = "extraction_type"
+) -> DataFrame:
+    """One `extraction` struct per document of `asked`, each by the branch that its own `extraction_type` names.
+
+    All branches share one summary of runs, which holds only the text that a document's branch gives back; only the
+    documents that ask for tables are laid out. Unknown types mean text. A document without tokens has a NULL extraction.
+    """
+    kinds = asked.select(KEY, F.expr(extraction_branch(extraction_type)).alias("branch"))
+    routed = tokens.join(kinds, KEY)
+    runs = run_summary(routed, threshold, F.col("branch") == "structure")
+    tabled = tokens.join(kinds.where("branch IN ('table', 'full')").select(KEY), KEY, "left_semi")
+    joined = (
+        kinds.join(fold_runs(runs, ("sure_text", "all_text")), KEY, "left")
+        .join(render_tables(group_rows(tabled)), KEY, "left")
+        .select(
+            KEY,
+            "branch",
+            F.struct(*_text_columns()).alias("text"),
+            F.struct(*_table_columns()).alias("table"),
+            F.struct(*_structure_columns()).alias("structure"),
+        )
+    )
+    three = lambda name: f"(text.{name} + table.{name} + structure.{name})"
+    chosen = lambda name: (
+        f"CASE branch WHEN 'table' THEN table.{name} WHEN 'structure' THEN structure.{name} ELSE text.{name} END"
+    )
+    members = {
+        "extracted_content": chosen("extracted_content"),
+        "confidence": f"IF(branch = 'full', {three('confidence')} / 3, {chosen('confidence')})",
+        "pages_processed": "text.pages_processed",
+        "processing_time": f"IF(branch = 'full', {three('processing_time')}, text.processing_time)",
+        "extraction_type": "branch",
+        "total_items": "text.total_items",
+        "filtered_items": "text.filtered_items",
+        "total_tables": "IF(branch IN ('table', 'full'), table.total_tables, NULL)",
+        "total_elements": "CASE branch WHEN 'structure' THEN structure.total_elements WHEN 'full' "
+        "THEN text.filtered_items + table.total_tables + structure.total_elements END",
+    }
+    packed = ", ".join(f"'{n}', {e}" for n, e in members.items())
+    return joined.selectExpr(KEY, f"IF(text.pages_processed IS NULL, NULL, named_struct({packed})) AS extraction")
+
+
 def overall_extraction_confidence(mean_score: str, confidence: str) -> str:
     """Mean of the mean token score and the stated confidence, whichever are there; 0.8 if neither is."""
     return (

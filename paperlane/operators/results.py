@@ -81,15 +81,26 @@ def envelope(
     )
 
 
-def run_metadata(df: DataFrame, start: Column, workflow_type: str = "standard", output_format: str = "json") -> DataFrame:
-    """Add `metadata`: what was run, when and how long; not part of any compared result."""
-    now = F.current_timestamp()
-    seconds = (F.unix_micros(now) - F.unix_micros(start)).cast("double") / 1000000
+def run_metadata(
+    df: DataFrame,
+    start: Column | None = None,
+    end: Column | None = None,
+    workflow_type: str = "standard",
+    output_format: str = "json",
+) -> DataFrame:
+    """Add `metadata`: what was run, when and how long.
+
+    `start` and `end` are what the rows themselves say about their work; what is not known is NULL. One clock for the whole query would
+    give all documents the same time.
+    """
+    unknown = F.lit(None).cast("timestamp")
+    began, ended = (unknown if c is None else c for c in (start, end))
+    seconds = (F.unix_micros(ended) - F.unix_micros(began)).cast("double") / 1000000
     return df.withColumn(
         "metadata",
         F.struct(
             seconds.alias("processing_time"),
-            now.alias("timestamp"),
+            ended.alias("timestamp"),
             F.col("document_information.filename").alias("document_path"),
             F.col("extraction_results.extraction_type").alias("extraction_type"),
             F.lit(output_format).alias("output_format"),

@@ -83,13 +83,25 @@ def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def invoice_tokens(documents: DataFrame) -> DataFrame:
-    """Lines of invoice texts as tokens of one page; every 13th document was not recognised."""
+    """Lines of invoice texts as tokens, four to a page; every 13th document was not recognised."""
     return (
         documents.where("doc_id % 13 <> 0")
         .select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
         .selectExpr(
-            "doc_id", "pos", "1 AS page", "text",
+            "doc_id", "pos", "cast(floor(pos / 4) AS int) + 1 AS page", "text",
             "cast(50 + (doc_id * 31 + pos * 17) % 50 AS double) / 100D AS confidence",
+            "cast((pos % 4) * 25 + IF((doc_id + pos) % 4 = 0, 40, 0) AS double) AS y_min",
+            "cast((doc_id * 7 + pos * 13) % 600 AS double) AS x_min",
             "0.25D AS processing_time",
         )
     )
+
+
+EXTRACTION_TYPE = "CASE doc_id % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'table' WHEN 2 THEN 'structure' WHEN 3 THEN 'full' ELSE 'other' END"
+
+
+def recognised_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Invoices to be extracted from tokens, each by its own type, with the response of a model; and the tokens."""
+    answered = answered_documents(spark, sf_dir)
+    tasks = answered.selectExpr("doc_id", "response", "'invoice' AS requested_type", f"{EXTRACTION_TYPE} AS extraction_type")
+    return tasks, invoice_tokens(answered)

@@ -163,8 +163,9 @@ def l5_render_tables(spark, sf_dir):
 @query
 def l6_table_result(spark, sf_dir):
     return layout.table_result(docs.page_tokens(spark, sf_dir)).selectExpr(
-        "doc_id", "total_tables", "pages_processed", *_rounded("confidence", "processing_time")
-    )
+        "doc_id", "extracted_content", "total_tables", "pages_processed", *_rounded("confidence", "processing_time"),
+        "extraction_type",
+    )
 
 
 @query
@@ -176,15 +177,21 @@ def l7_classify_element(spark, sf_dir):
 def l8_structure_result(spark, sf_dir):
     return layout.structure_result(docs.page_tokens(spark, sf_dir)).selectExpr(
         "doc_id", "extracted_content", "total_elements", "headings", "titles", "paragraphs", "texts",
-        "pages_processed", *_rounded("confidence"),
+        "pages_processed", *_rounded("confidence", "processing_time"), "extraction_type",
     )
 
 
 @query
 def l9_full_content(spark, sf_dir):
     return layout.full_content(docs.page_tokens(spark, sf_dir)).selectExpr(
-        "doc_id", "total_elements", "pages_processed", *_rounded("confidence", "processing_time")
-    )
+        "doc_id", "extracted_content", "total_elements", "pages_processed", *_rounded("confidence", "processing_time"),
+        "extraction_type", "table_extraction.extracted_content AS table_content", "table_extraction.total_tables",
+        "structure_extraction.extracted_content AS structure_content", "structure_extraction.total_elements AS elements",
+        "structure_extraction.headings", "structure_extraction.titles", "structure_extraction.paragraphs",
+        "structure_extraction.texts", "text_extraction.total_items", "text_extraction.filtered_items",
+        "round(text_extraction.confidence, 6) AS text_confidence",
+        "round(structure_extraction.confidence, 6) AS structure_confidence",
+    )
 
 
 @query
@@ -588,17 +595,16 @@ def v25_recommendations(spark, sf_dir):
 
 @query
 def r1_compile_results(spark, sf_dir):
-    answered = docs.answered_documents(spark, sf_dir)
-    extraction = layout.assemble_text(docs.invoice_tokens(answered))
-    compiled = process_documents(answered, AS_OF, extraction)
+    tasks, tokens = docs.recognised_documents(spark, sf_dir)
+    compiled = process_documents(tasks, AS_OF, tokens=tokens)
     return compiled.selectExpr(
         "doc_id", "extraction_results.items_extracted", "extraction_results.pages_processed",
-        "round(extraction_results.extraction_confidence, 6) AS extraction_confidence",
-        "length(extraction_results.extracted_text) AS extracted_chars",
+        "extraction_results.extraction_type", "extraction_results.extracted_text",
+        *_rounded("extraction_results.extraction_confidence", "extraction_results.processing_time"),
         "analysis_results.document_type", "analysis_results.category", "analysis_results.analysis_confidence",
         "validation_results.is_valid", "round(validation_results.validation_score, 6) AS validation_score",
         "size(validation_results.issues) AS issues", _joined("validation_results.missing_fields", "missing_fields"),
-        "text_statistics.total_words AS total_words",
+        "coalesce(text_statistics.total_words, 0) AS total_words",
         "round(quality_metrics.overall_quality_score, 6) AS quality_score", "quality_metrics.quality_level",
         "round(overall_confidence, 6) AS overall_confidence",
     )
@@ -655,10 +661,15 @@ def r5_envelope(spark, sf_dir):
 
 @query
 def r6_run_metadata(spark, sf_dir):
-    compiled = process_documents(docs.answered_documents(spark, sf_dir), AS_OF)
-    return results.run_metadata(compiled, F.current_timestamp()).selectExpr(
+    clocked = docs.answered_documents(spark, sf_dir).selectExpr(
+        "*", "timestamp_seconds(946684800 + doc_id) AS started_at",
+        "IF(doc_id % 9 = 0, NULL, timestamp_millis((946684800 + doc_id) * 1000 + doc_id % 50 * 100)) AS finished_at",
+    )
+    compiled = process_documents(clocked, AS_OF, carry=["started_at", "finished_at"])
+    return results.run_metadata(compiled, F.col("started_at"), F.col("finished_at")).selectExpr(
         "doc_id", "metadata.extraction_type", "metadata.output_format", "metadata.workflow_type",
-        _joined("metadata.agents_involved", "agents_involved"),
+        _joined("metadata.agents_involved", "agents_involved"), *_rounded("metadata.processing_time"),
+        "date_format(metadata.timestamp, 'yyyy-MM-dd HH:mm:ss') AS timestamp",
         "round(metadata.overall_confidence, 6) AS overall_confidence",
     )
 
@@ -691,12 +702,15 @@ def r7_combine_pages(spark, sf_dir):
 
 @query
 def r8_process_batch(spark, sf_dir):
-    tasks = docs.answered_documents(spark, sf_dir).selectExpr(
+    tasks, tokens = docs.recognised_documents(spark, sf_dir)
+    tasks = tasks.selectExpr(
         "*", "IF(doc_id % 23 = 0, '', concat('/in/', doc_id)) AS document_path",
         "IF(doc_id % 29 = 0, 60, 1) * 1048576 AS size_bytes", "IF(doc_id % 31 = 0, '.exe', '.pdf') AS extension",
     )
-    return process_batch(tasks, AS_OF).selectExpr(
-        "doc_id", "success", "status", "coalesce(error.message, '') AS message",
+    return process_batch(tasks, AS_OF, tokens=tokens, order=["doc_id"]).selectExpr(
+        "doc_id", "position", "document_path", "success", "status", "coalesce(error.message, '') AS message",
+        "coalesce(result.extraction_results.extraction_type, '') AS extraction_type",
+        "length(result.extraction_results.extracted_text) AS extracted_chars",
         "coalesce(result.analysis_results.document_type, '') AS document_type",
         "coalesce(round(result.validation_results.validation_score, 6), -1D) AS validation_score",
         "round(metrics.confidence, 6) AS confidence",

@@ -206,3 +206,34 @@ def test_empty_log(spark):
     log = spark.createDataFrame([], "task_id long, agent int, start_ts timestamp, duration double, status string, error string, document_type string")
     totals = metrics.overall_statistics(metrics.agent_status(log)).first()
     assert (totals.total_tasks_processed, totals.overall_success_rate) == (0, 0.0)
+
+
+def test_positions_are_dense_over_many_ranges(spark):
+    rows = spark.range(0, 5000, numPartitions=7).selectExpr("(id * 7919) % 5003 AS doc_id", "id AS n")
+    got = {r.doc_id: r.position for r in batch.dense_position(rows.repartition(16), ["doc_id"]).collect()}
+    assert got == {d: i for i, d in enumerate(sorted(got))} and len(got) == 5000
+    ties = spark.createDataFrame([(1,), (None,), (1,), (0,)], "doc_id long")
+    assert sorted((r.doc_id is not None, r.doc_id, r.position) for r in batch.dense_position(ties, ["doc_id"]).collect()) == [(False, None, 0), (True, 0, 1), (True, 1, 2), (True, 1, 3)]
+    assert batch.dense_position(ties.limit(0), ["doc_id"]).count() == 0
+
+
+def test_batch_from_tokens_keeps_every_task(spark):
+    tasks = spark.createDataFrame(
+        [(3, "/in/c", 1, ".pdf", "invoice", "table", '{"total_amount": "$5.00", "summary": "s"}', 2.0), (1, "", 1, ".pdf", "invoice", "text", "x", None),
+         (2, "/in/b", 1, ".pdf", "invoice", "text", '{"total_amount": "$5.00"}', 0.5), (4, "/in/d", 1, ".exe", "auto", "text", "x", 1.0), (5, "/in/e", 1, ".pdf", "auto", "full", None, None)],
+        "doc_id long, document_path string, size_bytes long, extension string, requested_type string, extraction_type string, response string, seconds double",
+    )
+    tokens = spark.createDataFrame(
+        [(3, 1, i, t, 0.9, 0.0, float(i)) for i, t in enumerate(["total", "$5.00"])] + [(1, 1, 0, "never read", 0.9, 0.0, 0.0), (5, 1, 0, "LOW", 0.1, 0.0, 0.0)],
+        "doc_id long, page int, pos int, text string, confidence double, y_min double, x_min double",
+    )
+    start = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    end = F.timestamp_micros((F.unix_micros(start) + F.col("seconds") * 1000000).cast("long"))
+    rows = {r.doc_id: r for r in batch.process_batch(tasks, documents.AS_OF, start, end, tokens=tokens, order=["document_path"]).collect()}
+    assert {d: (r.position, r.document_path, r.success) for d, r in rows.items()} == {1: (0, "", False), 2: (1, "/in/b", True), 3: (2, "/in/c", True), 4: (3, "/in/d", False), 5: (4, "/in/e", True)}
+    assert rows[3].result.extraction_results.extracted_text == "total | $5.00" and rows[3].result.extraction_results.extraction_type == "table"
+    assert rows[3].result.validation_results.is_valid is not None and rows[3].metrics.processing_time == 2.0
+    assert rows[2].result.extraction_results.extracted_text == "" and rows[2].result.validation_results.validation_status == "unknown"
+    assert rows[1].error.message == "document_path is required" and rows[1].result is None
+    assert rows[4].error.message.startswith("Unsupported") and rows[4].timestamp.duration == 1.0
+    assert rows[5].timestamp.duration is None and rows[5].result.extraction_results.extracted_text == ""

@@ -74,7 +74,7 @@ def test_pieces_give_the_same_text(spark, tokens, monkeypatch):
     whole = {r.doc_id: (r.extracted_content, r.total_items, r.filtered_items) for r in layout.assemble_text(frame).collect()}
     tables = {r.doc_id: r.extracted_content for r in layout.table_result(frame).collect()}
     monkeypatch.setattr(layout, "PIECE", 3)
-    monkeypatch.setattr(layout, "STRIP", 7)
+    monkeypatch.setattr(layout, "STRETCH", 7)
     again = {r.doc_id: (r.extracted_content, r.total_items, r.filtered_items) for r in layout.assemble_text(frame).collect()}
     assert again == whole
     assert {r.doc_id: r.extracted_content for r in layout.table_result(frame).collect()} == tables
@@ -116,3 +116,45 @@ def test_extraction_kinds(spark, tokens):
     frame = spark.createDataFrame(tokens, SCHEMA)
     kinds = {k: layout.extract(frame, k).first().extraction_type for k in ("text", "table", "structure", "full", "other")}
     assert kinds == {"text": "text", "table": "table", "structure": "structure", "full": "full", "other": "text"}
+
+
+def test_a_crowded_row_is_numbered_in_stretches(spark):
+    rng = random.Random(11)
+    rows = [(1, 1, i, f"w{i}", 1.0, float(rng.choice([0, 0, 10, 20])), rng.choice([float(rng.randrange(0, 600)), 77.0, 77.25, -3.5])) for i in range(40_000)]
+    rows += [(1, 2, i, f"v{i}", 1.0, float(i % 2 * 200), float(i % 7)) for i in range(500)] + [(2, 1, 0, "one", 1.0, 5.0, None), (2, 1, 1, "two", 1.0, 5.0, 3.0)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.doc_id, r.page, r.pos): (r.table_no, r.row_no, r.col_no) for r in layout.group_rows(frame).collect()}
+    for doc, page in ((1, 1), (1, 2)):
+        listed = [{"pos": p, "y_min": y, "x_min": x} for d, g, p, _, _, y, x in rows if (d, g) == (doc, page)]
+        want = loop_tables(listed)
+        # tokens of one x keep the order of height, then of recognition
+        assert {p: got[doc, page, p] for p in want} == want and len(want) == sum(k[:2] == (doc, page) for k in got)
+    assert [got[2, 1, 0], got[2, 1, 1]] == [(1, 1, 1), (1, 1, 2)]
+    boxes = layout.table_stretches(frame).where("doc_id = 1 AND page = 1")
+    assert boxes.count() < 600 and boxes.agg(F.max("cells_left")).first()[0] > 39_000
+
+
+def test_scans(spark, folder):
+    spark.createDataFrame([(1, 1, 0, "t", 1.0, 0.0, 0.0)], SCHEMA).write.parquet(folder + "/tokens")
+    tokens = spark.read.parquet(folder + "/tokens")
+    scans = lambda df: df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+    assert scans(layout.assemble_text(tokens)) == scans(layout.structure_result(tokens)) == 1
+    assert scans(layout.group_rows(tokens)) == 2
+    assert scans(layout.full_content(tokens)) == 3
+
+
+def test_each_document_takes_its_own_branch(spark, tokens):
+    frame = spark.createDataFrame(tokens, SCHEMA).withColumn("processing_time", F.col("page") * 0.5)
+    kinds = ["text", "table", "structure", "full", "other", None, "text"]
+    asked = spark.createDataFrame(list(enumerate(kinds)), "doc_id long, extraction_type string")
+    got = {r.doc_id: r.extraction for r in layout.extract_each(frame, asked).collect()}
+    assert set(got) == set(range(7)) and got[6] is None  # no tokens
+    for doc, kind in enumerate(kinds[:6]):
+        alone = layout.extract(frame.where(F.col("doc_id") == doc), kind or "text").first()
+        found = got[doc]
+        assert found.extraction_type == alone.extraction_type
+        assert (found.extracted_content, found.pages_processed) == (alone.extracted_content, alone.pages_processed)
+        assert (found.confidence, found.processing_time) == pytest.approx((alone.confidence, alone.processing_time))
+        assert found.total_tables == (alone.asDict().get("total_tables") if kind != "full" else alone.table_extraction.total_tables)
+        assert found.total_elements == alone.asDict().get("total_elements")
+    assert layout.extract_each(frame.limit(0), asked).where("extraction IS NOT NULL").count() == 0
