@@ -243,7 +243,7 @@ _LAST_AMOUNT = "COALESCE(regexp_extract_all(response, '\\$\\s*[\\d,]+\\.\\d{2}')
 def record_fields(source: str) -> str:
     """Fields of the strict or fallback invoice record of every response, private keys left out."""
     parsed = (
-        f"SELECT doc_id, k AS name, CASE WHEN k = 'confidence' THEN 'number' ELSE 'string' END AS kind, "
+        f"SELECT doc_id, k AS name, CASE k WHEN 'confidence' THEN 'number' WHEN 'meta' THEN 'object' ELSE 'string' END AS kind, "
         "json_extract_string(response, '$.' || k) AS value "
         f"FROM (SELECT doc_id, response, UNNEST(json_keys(response)) AS k FROM {source} WHERE {_IS_OBJECT}) WHERE NOT starts_with(k, '_')"
     )
@@ -259,7 +259,7 @@ def record_fields(source: str) -> str:
     listed = " UNION ALL ".join([parsed, *rows])
     numeric = f"SELECT doc_id, 'total_amount_numeric', 'number', CAST({money('value')} AS VARCHAR) FROM listed WHERE name = 'total_amount'"
     filled = (
-        "CASE kind WHEN 'string' THEN value <> '' WHEN 'number' THEN CAST(value AS DOUBLE) <> 0 ELSE value <> '[]' END"
+        "CASE kind WHEN 'string' THEN value <> '' WHEN 'number' THEN CAST(value AS DOUBLE) <> 0 WHEN 'object' THEN value <> '{}' ELSE value <> '[]' END"
     )
     return (
         f"WITH listed AS ({listed}) SELECT *, {filled} AS filled FROM "
@@ -366,21 +366,20 @@ _FOUND_ROWS = " UNION ALL ".join(
     f"SELECT doc_id, '{k}' AS entity_type, UNNEST(regexp_extract_all(text, {q(p)})) AS entity FROM invoice_texts"
     for k, p in _ENTITY_PATTERN.items()
 )
-_PAGES = """SELECT doc_id, page, (doc_id + page) % 7 <> 0 AS success, string_agg(text, ' ' ORDER BY pos) AS extracted_content,
+_PAGES = """SELECT doc_id, page, (doc_id + page) % 7 <> 0 AS success, (doc_id + page) % 5 <> 0 AS analysis_success, string_agg(text, ' ' ORDER BY pos) AS extracted_content,
     AVG(confidence) AS confidence FROM ocr_tokens GROUP BY doc_id, page"""
 _STREAM_PAGES = """SELECT doc_id, i AS page, (doc_id + i - 1) % 7 <> 0 AS success, string_split(text, chr(10) || chr(10))[i] AS extracted_content,
     CAST(50 + (doc_id + i - 1) % 50 AS DOUBLE) / 100 AS confidence
     FROM (SELECT doc_id, text, UNNEST(RANGE(1, LEN(string_split(text, chr(10) || chr(10))) + 1)) AS i FROM documents)"""
 
 
-def folded(pages: str, views: list[str]) -> str:
+def folded(pages: str, views: list[str], analysed: str = "success") -> str:
     # Kinds are concatenated in the order of the entity map: dates, amounts, emails.
-    pages_found = "p.success AND len(found) > 0"
     lists = ", ".join(f"regexp_extract_all(extracted_content, {q(_ENTITY_PATTERN[k])})" for k in ("dates", "amounts", "emails"))
     return with_views(
         views,
         f"""SELECT doc_id, COALESCE(string_agg(extracted_content, ' ' ORDER BY page) FILTER (WHERE success), '') AS extracted_content,
-          COALESCE(string_agg(array_to_string(found, '|'), '|' ORDER BY page) FILTER (WHERE success AND len(found) > 0), '') AS combined_entities,
+          COALESCE(string_agg(array_to_string(found, '|'), '|' ORDER BY page) FILTER (WHERE {analysed} AND len(found) > 0), '') AS combined_entities,
           ROUND(COALESCE(SUM(confidence) FILTER (WHERE success), 0) / COUNT(*), 6) AS average_confidence,
           COUNT(*) AS pages_processed FROM pf GROUP BY doc_id""",
         p=pages,
@@ -539,17 +538,19 @@ def oracle() -> dict[str, str]:
         f"SELECT doc_id, {_FIRST_DATE} AS invoice_date, {_LAST_AMOUNT} AS total_amount, '' AS vendor_name, 0 AS items, 0.5::DOUBLE AS confidence FROM c",
         c="SELECT t.doc_id, r.response || chr(10) || t.text AS response FROM invoice_texts t JOIN llm_responses r ON r.doc_id = t.doc_id",
     )
+    own = lambda v: f"CASE WHEN NOT {_IS_OBJECT} THEN '{v}' END"
+    n_own = lambda n: f"CASE WHEN {_IS_OBJECT} THEN 5 ELSE {n} END"
     sql["x5_fallback_contract"] = with_views(
         ["llm_responses"],
-        "SELECT doc_id, '[]' AS parties, '' AS contract_date, 'array' AS obligations_kind, 0.5::DOUBLE AS confidence, 6 AS fields FROM llm_responses",
+        f"SELECT doc_id, {own('[]')} AS parties, {own('')} AS contract_date, {own('array')} AS obligations_kind, {_CONFIDENCE} AS confidence, {n_own(6)} AS fields FROM llm_responses",
     )
     sql["x6_fallback_form"] = with_views(
         ["llm_responses"],
-        "SELECT doc_id, 'unknown' AS form_type, 0 AS total_fields, 'array' AS form_fields_kind, 0.5::DOUBLE AS confidence, 5 AS fields FROM llm_responses",
+        f"SELECT doc_id, {own('unknown')} AS form_type, CAST({own('0')} AS INT) AS total_fields, {own('array')} AS form_fields_kind, {_CONFIDENCE} AS confidence, {n_own(5)} AS fields FROM llm_responses",
     )
     sql["x7_fallback_report"] = with_views(
         ["llm_responses"],
-        "SELECT doc_id, 'unknown' AS report_type, '' AS executive_summary, 'array' AS data_points_kind, 0.5::DOUBLE AS confidence, 6 AS fields FROM llm_responses",
+        f"SELECT doc_id, {own('unknown')} AS report_type, {own('')} AS executive_summary, {own('array')} AS data_points_kind, {_CONFIDENCE} AS confidence, {n_own(6)} AS fields FROM llm_responses",
     )
     problem = "CASE WHEN doc_id % 5 = 0 THEN 'extracted_text is required for analysis task' WHEN doc_id % 7 = 0 THEN 'no model response' ELSE '' END"
     sql["x8_extract_error_record"] = over_answers(
@@ -586,10 +587,13 @@ def oracle() -> dict[str, str]:
     sql["x16_drop_private_keys"] = with_views(
         ["llm_responses"],
         f"""SELECT doc_id, CAST(COUNT(*) AS INT) AS before, string_agg(k, '|' ORDER BY k) FILTER (WHERE NOT starts_with(k, '_')) AS names
-           FROM (SELECT doc_id, UNNEST(json_keys(response)) AS k FROM llm_responses WHERE {_IS_OBJECT}) GROUP BY doc_id""",
+           FROM (SELECT doc_id, UNNEST(json_keys(response)) AS k FROM llm_responses WHERE {_IS_OBJECT}) GROUP BY doc_id
+           UNION ALL SELECT doc_id, 0, '' FROM llm_responses WHERE NOT {_IS_OBJECT}""",
     )
     sql["x16_drop_private_nested"] = with_views(
-        ["invoices"], """SELECT doc_id, '{"keep": {"b": [{"d": "' || invoice_number || '"}]}}' AS clean FROM invoices"""
+        ["invoices"],
+        """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '{"keep":{"_a":1,"b":[{"_c":2,"d":"' || invoice_number || '"}]},"_x":0} and more'
+           ELSE '{"keep":{"b":[{"d":"' || invoice_number || '"}]}}' END AS clean FROM invoices""",
     )
     sql["x17_assemble_analysis"] = over_answers(
         f"""SELECT a.doc_id, {document_type('d.text_lc')} AS analysis_type, {category('d.text_lc')} AS category, {summary('a.text')} AS summary,
@@ -615,8 +619,10 @@ def oracle() -> dict[str, str]:
         sql[name] = with_views([source], f"SELECT doc_id, {column} AS value, {_FORMAT[rule](column)} AS ok FROM {source}")
     sql["v8_check_items_total"] = issues_of("items_total_mismatch")
     sql["v9_check_tax_sum"] = issues_of("tax_sum_mismatch")
-    sql["v10_check_date_order"] = over_invoices(
-        "SELECT doc_id, broken AS failed, COALESCE(invoice_day > due_day, false) AS after_due FROM broken"
+    sql["v10_check_date_order"] = with_views(
+        ["invoices"],
+        "SELECT doc_id, COALESCE(invoice_date <> '' AND due_date <> '' AND (a IS NULL OR b IS NULL), false) AS failed, COALESCE(a > b, false) AS after_due FROM r",
+        r=f"SELECT doc_id, invoice_date, due_date, {pdate('invoice_date')} AS a, {pdate('due_date')} AS b FROM invoices",
     )
     sql["v11_check_future_dates"] = over_invoices(
         f"SELECT doc_id, 'too_far_in_future' AS code, name AS field, value AS observed FROM days WHERE day - {DAY} > 30"
@@ -629,7 +635,9 @@ def oracle() -> dict[str, str]:
     sql["v17_check_date_ranges"] = issues_of("date_too_old", "date_too_far_ahead")
     sql["v18_check_vendor"] = issues_of("vendor_too_short", "vendor_too_long")
     sql["v19_check_tax_rate"] = issues_of("tax_rate_unreasonable")
-    sql["v20_score_business_rules"] = category_score("business_rules")
+    sql["v20_score_business_rules"] = category_score("business_rules").replace(
+        "AS confidence FROM cat", f"AS confidence, '{'|'.join(fixed.BUSINESS_RULES)}' AS applied_rules FROM cat"
+    )
     sql["v21_required_fields"] = with_views(
         ["typed_docs"], f"SELECT *, {required('kind')} AS required FROM k", t=lowered, k=f"SELECT doc_id, {validation_kind('lc')} AS kind FROM t"
     )
@@ -649,7 +657,7 @@ def oracle() -> dict[str, str]:
            FROM (SELECT t.doc_id, ANY_VALUE(o) AS o, COUNT(*) AS k, COUNT(*) FILTER (WHERE kind = 'string' AND {strip('value')} <> ''
              AND NOT contains(lower(o), lower(value))) AS n FROM t JOIN f ON f.doc_id = t.doc_id GROUP BY t.doc_id)""",
         f=INVOICE_F,
-        t="SELECT doc_id, replace(text, chr(10), ' ') AS o FROM invoice_texts WHERE doc_id % 13 <> 0",
+        t="SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN '' ELSE replace(text, chr(10), ' ') END AS o FROM invoice_texts",
     )
     sql["v24_overall_score"] = over_invoices(
         f"""SELECT val.doc_id, ROUND(score, 6) AS overall_score, is_valid, l AS validated_fields FROM val
@@ -701,7 +709,7 @@ def oracle() -> dict[str, str]:
            CASE WHEN a.doc_id % 9 <> 0 THEN strftime(TIMESTAMP '2000-01-01' + INTERVAL 1 SECOND * (a.doc_id + a.doc_id % 50 // 10), '%Y-%m-%d %H:%M:%S') END AS timestamp,
            {total} AS overall_confidence FROM a JOIN val ON val.doc_id = a.doc_id"""
     )
-    sql["r7_combine_pages"] = folded(_PAGES, ["ocr_tokens"])
+    sql["r7_combine_pages"] = folded(_PAGES, ["ocr_tokens"], "analysis_success")
     refused = """CASE WHEN ex.doc_id % 23 = 0 THEN 'document_path is required' WHEN ex.doc_id % 29 = 0 THEN 'File size exceeds maximum allowed (50MB)'
         WHEN ex.doc_id % 31 = 0 THEN 'Unsupported file format: .exe' ELSE '' END"""
     sql["r8_process_batch"] = over_recognised(
@@ -716,7 +724,8 @@ def oracle() -> dict[str, str]:
 
     no_ocr = f"ROUND({_CONFIDENCE} * 0.3::DOUBLE + score * 0.4::DOUBLE, 12)"
     sql["k1_write_json"] = over_answers(
-        f"""SELECT a.doc_id, {_LEVEL.format(s=no_ocr)} AS quality_level, {category('d.text_lc')} AS category, {_CONFIDENCE} AS confidence
+        f"""SELECT a.doc_id, {_LEVEL.format(s=no_ocr)} AS quality_level, {category('d.text_lc')} AS category, {_CONFIDENCE} AS confidence,
+           CASE WHEN {_IS_OBJECT} THEN '{{"tags":[{{"y":1.25}}]}}' END AS meta
            FROM a JOIN d ON d.doc_id = a.doc_id JOIN val ON val.doc_id = a.doc_id"""
     )
     sql["k2_render_markdown"] = with_views(["typed_docs"], f"SELECT doc_id, {_report_sql(fixed.MARKDOWN_REPORT, 500, False)} AS report FROM typed_docs")

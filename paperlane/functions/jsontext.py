@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
-from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
-
+from . import values
 from .sql import case, first_value, lit, struct
 
 _END = "end-of-response"
@@ -15,13 +10,17 @@ _END = "end-of-response"
 FIELDS = "map<string,struct<kind:string,value:string,filled:boolean>>"
 
 
-def _single_object(text: str) -> str:
-    """VARIANT of one JSON object, else NULL.
+def _wrapped(text: str) -> str:
+    """The text in an array with a marker behind it.
 
-    The parser stops after the first value, so a marker is placed behind the
-    text: it is found in second place only if the text was a single value.
+    The parser stops after the first value; the marker is found in second place only if the text was a single value.
     """
-    wrapped = f"try_parse_json(concat('[', {text}, {lit(f',"{_END}"]')}))"
+    return f"try_parse_json(concat('[', {text}, {lit(f',"{_END}"]')}))"
+
+
+def _single_object(text: str) -> str:
+    """VARIANT of one JSON object, else NULL."""
+    wrapped = _wrapped(text)
     alone = f"try_variant_get(w, '$[1]', 'string') = '{_END}'"
     value = "try_variant_get(w, '$[0]', 'variant')"
     is_object = f"startswith(schema_of_variant({value}), 'OBJECT')"
@@ -80,14 +79,16 @@ def entry(kind: str, value: str) -> str:
 def fields_of(record: str) -> str:
     """Top level of a VARIANT object as map<name, (kind, value, filled)>.
 
-    An absent key is absent from the map; a JSON null is an entry of kind `null`.
+    An absent key is absent from the map; a JSON null is an entry of kind `null`. Numbers are written without exponent.
     """
     members = f"try_variant_get({record}, '$', 'map<string,variant>')"
     typed = first_value(
         struct(shape="schema_of_variant(v)", value="try_variant_get(v, '$', 'string')"),
         "t",
         first_value(
-            struct(kind=_kind("t.shape"), value="t.value"), "u", entry("u.kind", "u.value")
+            struct(kind=_kind("t.shape"), value="t.value"),
+            "u",
+            first_value(f"IF(u.kind = 'number', {values.plain_number('u.value')}, u.value)", "plain", entry("u.kind", "plain")),
         ),
     )
     return f"transform_values({members}, (k, v) -> {typed})"
@@ -98,32 +99,55 @@ def drop_private_keys(members: str) -> str:
     return f"map_filter({members}, (k, v) -> NOT startswith(k, '_'))"
 
 
-def drop_private_nested(text: Column) -> Column:
-    """JSON text without underscore keys at any depth; text that is no JSON is left alone.
+_PRIVATE = r'"(_|\\u005[fF])'  # how a private key begins, as it is or as an escape
+_TOKEN = r'"(?:[^"\\]|\\.)*"\s*:?|[{}\[\],]|[^\s{}\[\],":]+'
+
 
-    A VARIANT cannot be rewritten by built-in functions, hence a vectorised helper.
+def has_private(text: str) -> str:
+    return f"{text} RLIKE {lit(_PRIVATE)}"
+
+
+def _without_private(text: str) -> str:
+    """Valid JSON text without private members, numbers as they were written, no blanks between tokens.
+
+    One pass over the tokens with the depth so far and, within a private member, the depth it stands at. The comma
+    behind such a member goes with it; a comma that is left before a closing brace is taken back.
     """
+    state = lambda out, depth, drop: struct(out=out, depth=depth, drop=drop)
+    deeper = "s.depth + IF(t IN ('{', '['), 1, IF(t IN ('}', ']'), -1, 0))"
+    private = f"(endswith(t, ':') AND t RLIKE {lit('^' + _PRIVATE)})"
+    taken = "concat(IF(t = '}' AND endswith(s.out, ','), left(s.out, length(s.out) - 1), s.out), t)"
+    step = case(
+        [
+            (f"s.drop IS NULL AND {private}", state("s.out", "s.depth", "s.depth")),
+            ("s.drop IS NULL", state(taken, deeper, "int(NULL)")),
+            ("s.drop = s.depth AND t = ','", state("s.out", "s.depth", "int(NULL)")),
+            ("s.drop = s.depth AND t = '}'", state(taken, "s.depth - 1", "int(NULL)")),
+        ],
+        state("s.out", deeper, "s.drop"),
+    )
+    tokens = f"regexp_extract_all({text}, {lit(_TOKEN)}, 0)"
+    return f"aggregate({tokens}, {state("''", '0', 'int(NULL)')}, (s, t) -> {step}, s -> s.out)"
 
-    def without(node):
-        if isinstance(node, dict):
-            return {k: without(v) for k, v in node.items() if not k.startswith("_")}
-        return [without(v) for v in node] if isinstance(node, list) else node
 
-    def one(raw):
-        try:
-            return None if raw is None else json.dumps(without(json.loads(raw)), ensure_ascii=False)
-        except (ValueError, RecursionError):
-            return raw
+def drop_private_nested(text: str) -> str:
+    """JSON text without underscore keys at any depth; text without such keys, or that is no JSON, is left alone."""
+    is_json = f"coalesce(try_variant_get({_wrapped(text)}, '$[1]', 'string') = '{_END}', false)"
+    return f"CASE WHEN {has_private(text)} AND {is_json} THEN {_without_private(text)} ELSE {text} END"
 
-    def column(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
 
-    return F.pandas_udf(column, StringType())(text)
+def public_object(text: str) -> str:
+    """`strict_object` without private keys at any depth."""
+    clean = f"try_parse_json({_without_private(text)})"
+    return first_value(strict_object(text), "o", f"CASE WHEN o IS NOT NULL AND {has_private(text)} THEN {clean} ELSE o END")
 
 
 def items_total(record: str, amount) -> str:
-    """Sum of the line items' `total_price`; NULL if `items` is absent or no list."""
+    """Sum of the line items' `total_price`; NULL if `items` is absent or no list, or if the sum is too large to be exact."""
     items = f"try_variant_get({record}, '$.items', 'array<variant>')"
-    zero = "cast(0 AS decimal(30,6))"
-    price = amount("try_variant_get(item, '$.total_price', 'string')")
-    return f"aggregate({items}, {zero}, (total, item) -> cast(total + coalesce({price}, {zero}) AS decimal(30,6)))"
+    zero = f"cast(0 AS {values.MONEY})"
+    price = "try_variant_get(item, '$.total_price', 'variant')"
+    written = f"try_variant_get({price}, '$', 'string')"
+    written = f"IF(schema_of_variant({price}) = 'STRING', {written}, {values.plain_number(written)})"
+    added = f"try_cast(total + IF({price} IS NULL, {zero}, {amount(written)}) AS {values.MONEY})"
+    return f"aggregate({items}, {zero}, (total, item) -> {added})"

@@ -16,13 +16,44 @@ def numeric_amount(value: str) -> str:
     return f"coalesce(try_cast({_digits(value)} AS double), 0D)"
 
 
+MONEY = "decimal(38,8)"
+
+
 def money(value: str) -> str:
-    """The same number as an exact decimal, for sums and comparisons within a cent.
+    """The same number as an exact decimal, for sums and comparisons within a cent; what is no number is 0.
+
+    Thirty digits before the point and eight behind it are exact. NULL if the number is longer, see `money_too_large`.
+    """
+    exact = f"try_cast({_digits(value)} AS {MONEY})"
+    return f"coalesce({exact}, IF({_digits(value)} RLIKE {lit(_NUMBER)}, NULL, cast(0 AS {MONEY})))"
+
+
+_NUMBER = r"^(\d+\.?\d*|\.\d+)$"
+
+
+def money_too_large(value: str) -> str:
+    """Whether a number has more than thirty digits before the point, so that its cents cannot be compared."""
+    return f"coalesce({_digits(value)} RLIKE {lit(_NUMBER)} AND try_cast({_digits(value)} AS {MONEY}) IS NULL, false)"
+
+
+def plain_number(value: str) -> str:
+    """A number's text without an exponent: mantissa and exponent written out as digits; other text as it is.
 
-    A number of more digits than that is the largest decimal, so that it still counts as large.
+    An exponent beyond 400 counts as 400, more than any amount that can be told from another.
     """
-    exact, most = f"try_cast({_digits(value)} AS decimal(30,6))", f"cast('{'9' * 24}' AS decimal(30,6))"
-    return f"coalesce({exact}, IF({numeric_amount(value)} >= 1e24, {most}, cast(0 AS decimal(30,6))))"
+    part = lambda i: f"regexp_extract({value}, {lit(r'^(-?\d+)\.?(\d*)[eE]([+-]?\d+)$')}, {i})"
+    whole, sign = "ltrim('-', n.whole)", "IF(startswith(n.whole, '-'), '-', '')"
+    shift = "greatest(-400, least(400, coalesce(try_cast(n.shift AS int), IF(startswith(n.shift, '-'), -400, 400))))"
+    digits, point = f"concat({whole}, n.rest)", f"(length({whole}) + {shift})"
+    written = case(
+        [
+            (f"{point} <= 0", f"concat({sign}, '0.', repeat('0', -{point}), {digits})"),
+            (f"{point} >= length({digits})", f"concat({sign}, rpad({digits}, {point}, '0'))"),
+        ],
+        f"concat({sign}, substring({digits}, 1, {point}), '.', substring({digits}, {point} + 1))",
+    )
+    parts = f"named_struct('whole', {part(1)}, 'rest', {part(2)}, 'shift', {part(3)})"
+    return f"IF({value} RLIKE '[eE]', {first_value(parts, 'n', f"IF(n.shift = '', {value}, {written})")}, {value})"
 
 
 def parse_date(value: str) -> str:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 
 def settle(df: DataFrame, keep: list[str], names: list[str]) -> DataFrame:
     """The frame's `keep` columns with `names` worked out once, row by row.
 
     The optimizer rewrites a later filter in terms of what its columns are made
-    of, which for stacked expressions multiplies work and plan size. It does not
-    look through a generator, so the values pass through one that yields a
-    single row.
+    of, which for stacked expressions multiplies work and plan size. It leaves
+    alone what depends on the task, so the values pass through a test of the partition's
+    number that always holds. A column that nobody reads is still left out of the plan.
     """
-    members = ", ".join(f"'{n}', `{n}`" for n in names)
-    return df.selectExpr(*[f"`{c}`" for c in keep], f"inline(array(named_struct({members})))")
+    passed = [F.expr(f"IF(spark_partition_id() >= 0, `{n}`, NULL)").alias(n) for n in names]
+    return df.select(*[F.col(f"`{c}`") for c in keep], *passed)

@@ -83,8 +83,8 @@ def fallback_record(response: str, branch: str) -> str:
 
 
 def parse_response_strict(response: str, branch: str) -> str:
-    """The response's own JSON object if it is nothing else, otherwise the fallback record."""
-    return f"coalesce({jsontext.strict_object(response)}, {fallback_record(response, branch)})"
+    """The response's own JSON object, without private keys, if it is nothing else; otherwise the fallback record."""
+    return f"coalesce({jsontext.public_object(response)}, {fallback_record(response, branch)})"
 
 
 def parse_response_span(df: DataFrame, response: str = "response", kind: str = "kind") -> DataFrame:
@@ -141,14 +141,15 @@ def parse_verdict(response: str) -> str:
 
 
 def add_total_amount_numeric(members: str) -> str:
-    """Member `total_amount_numeric` beside `total_amount`, as a decimal; a total that is no string counts as 0.
+    """Member `total_amount_numeric` beside `total_amount`, as a decimal, beyond its digits as a double; a total that is no string counts as 0.
 
     `members` is a map of VARIANTs.
     """
     total = f"try_element_at({members}, 'total_amount')"
-    amount = values.money(f"try_variant_get({total}, '$', 'string')")
+    written = f"try_variant_get({total}, '$', 'string')"
+    amount = f"coalesce(cast({values.money(written)} AS variant), cast({values.numeric_amount(written)} AS variant))"
     is_text = f"schema_of_variant({total}) = 'STRING'"
-    number = f"cast(IF({is_text}, {amount}, cast(0 AS decimal(30,6))) AS variant)"
+    number = f"IF({is_text}, {amount}, cast(cast(0 AS {values.MONEY}) AS variant))"
     rest = f"map_filter({members}, (k, v) -> k <> 'total_amount_numeric')"
     return (
         f"IF(map_contains_key({members}, 'total_amount'), "
@@ -162,10 +163,10 @@ def extract_error_record(error: str) -> str:
 
 
 def with_fields(df: DataFrame, branch: str, record: str = "_record") -> DataFrame:
-    """Finish a record: no private keys, the total as a number; add what validation needs of it.
+    """Finish a record: no private keys on its top level, the total as a number; add what validation needs of it.
 
     Adds `record`, `fields` and `items_total`. Private keys below the top
-    level are a matter of `drop_private_nested`.
+    level went when the response was parsed.
     """
     members = jsontext.drop_private_keys(f"try_variant_get({record}, '$', 'map<string,variant>')")
     return (

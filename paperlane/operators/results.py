@@ -206,14 +206,16 @@ def page_parts(pages: DataFrame, extra_keys: list[Column] | None = None, key: st
     """Page results of a document folded over runs of pages; also the state of a page stream.
 
     Pages carry `page`, `success`, `extracted_content`, `confidence` and
-    `entities`, a map from kind to found strings.
+    `entities`, a map from kind to found strings. A page has two outcomes: text and confidence count if it was
+    read (`success`), entities if it was analysed (`analysis_success`; without that column, if it was read).
     """
     ok = F.col("success")
+    analysed = F.col("analysis_success") if "analysis_success" in pages.columns else ok
     found = F.expr("flatten(map_values(entities))")
     part = F.floor((F.col("page") - 1) / PAGES_PER_PART)
     return pages.groupBy(key, part.alias("part"), *(extra_keys or [])).agg(
         F.array_sort(F.collect_list(F.when(ok, F.struct("page", "extracted_content")))).alias("texts"),
-        F.array_sort(F.collect_list(F.when(ok & F.col("entities").isNotNull(), F.struct("page", found.alias("found"))))).alias(
+        F.array_sort(F.collect_list(F.when(analysed & F.col("entities").isNotNull(), F.struct("page", found.alias("found"))))).alias(
             "found"
         ),
         F.sum(F.when(ok, F.col("confidence"))).alias("confidence"),

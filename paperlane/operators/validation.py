@@ -86,16 +86,26 @@ def prepare(df: DataFrame, fields: str = "fields", text: str = "text") -> DataFr
 
 
 def check_items_total(items_total: str = "items_total") -> str:
+    """Items that do not add up to the total; sums that are too long for exact cents are said to be so."""
     off = f"abs({items_total} - {money_of('total_amount')}) > {_CENT}"
     found = issue("amounts", "items_total_mismatch", "'total_amount'", value_of("total_amount"), "sum of items")
-    return case([(f"{has('items')} AND {has('total_amount')} AND {off}", found)])
+    applies = f"{has('items')} AND {has('total_amount')}"
+    unsummed = f"({items_total} IS NULL AND try_element_at(_f, 'items').kind = 'array')"
+    too_large = f"({unsummed} OR {values.money_too_large(value_of('total_amount'))})"
+    return case([(f"{applies} AND {too_large}", _not_compared()), (f"{applies} AND {off}", found)])
+
+
+def _not_compared() -> str:
+    return issue("amounts", "amount_not_comparable", "'total_amount'", value_of("total_amount"), "at most 30 digits")
 
 
 def check_tax_sum() -> str:
     off = f"abs({money_of('subtotal')} + {money_of('tax_amount')} - {money_of('total_amount')}) > {_CENT}"
     found = issue("amounts", "tax_sum_mismatch", "'total_amount'", value_of("total_amount"), "subtotal + tax")
-    applies = " AND ".join(has(n) for n in ("subtotal", "tax_amount", "total_amount"))
-    return case([(f"{applies} AND {off}", found)])
+    names = ("subtotal", "tax_amount", "total_amount")
+    applies = " AND ".join(has(n) for n in names)
+    too_large = any_of(values.money_too_large(value_of(n)) for n in names)
+    return case([(f"{applies} AND {too_large}", _not_compared()), (f"{applies} AND {off}", found)])
 
 
 def date_order_failed() -> str:
@@ -352,6 +362,7 @@ def validate(
         required_fields="_required",
         missing_fields="_missing",
         low_quality_fields="_weak",
+        applied_rules=f"IF(size(_f) > 0 AND {requested} IN ('comprehensive', 'business_rules'), {array(fixed.BUSINESS_RULES)}, {array([])})",
         rule_violations="transform(_business, i -> concat_ws(': ', i.field, i.code))",
         completeness_percentage=completeness_percentage(),
     )

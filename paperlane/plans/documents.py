@@ -44,7 +44,7 @@ def invoice_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         f"{INVOICE_TEXT} AS text",
         f"{fields_from_columns(INVOICE_FIELDS, {'items': 'n_items > 0'})} AS fields",
-        "IF(n_items > 0, cast(item_sum AS decimal(30,6)), NULL) AS items_total",
+        "IF(n_items > 0, cast(item_sum AS decimal(38,8)), NULL) AS items_total",
     )
 
 
@@ -64,7 +64,7 @@ INVOICE_RESPONSE = """
       ELSE '' END"""
 _JSON = (
     "'{\"vendor_name\":\"' || coalesce(vendor_name, '') || '\",\"invoice_date\":\"' || invoice_date "
-    "|| '\",\"total_amount\":\"' || total_amount || '\",\"_trace\":\"x\",\"confidence\":0.9}'"
+    "|| '\",\"total_amount\":\"' || total_amount || '\",\"_trace\":\"x\",\"meta\":{\"_id\":1,\"tags\":[{\"_x\":[{}],\"y\":1.25}]},\"confidence\":0.9}'"
 )
 
 

@@ -296,8 +296,8 @@ def x4_fallback_invoice(spark, sf_dir):
 
 
 def _fixed_record(spark, sf_dir, branch):
-    """The record of a branch for every response, as the JSON it holds."""
-    record = analysis.fallback_record("response", f"'{branch}'")
+    """The record of a branch for every response: its own JSON where it is some, else the fixed shape."""
+    record = analysis.parse_response_strict("response", f"'{branch}'")
     found = view(spark, sf_dir, "llm_responses").selectExpr("doc_id", f"{record} AS v")
     return found.selectExpr("doc_id", f"{jsontext.fields_of('v')} AS f")
 
@@ -408,8 +408,8 @@ def x15_parse_verdict(spark, sf_dir):
 @query
 def x16_drop_private_keys(spark, sf_dir):
     objects = view(spark, sf_dir, "llm_responses").withColumn("o", F.expr(jsontext.strict_object("response")))
-    found = objects.where("o IS NOT NULL").selectExpr("doc_id", f"{jsontext.fields_of('o')} AS f")
-    clean = found.selectExpr("doc_id", "size(f) AS before", f"{jsontext.drop_private_keys('f')} AS f")
+    found = objects.selectExpr("doc_id", f"{jsontext.fields_of('o')} AS f")
+    clean = found.selectExpr("doc_id", "coalesce(size(f), 0) AS before", f"{jsontext.drop_private_keys('f')} AS f")
     return clean.selectExpr("doc_id", "before", _joined("array_sort(map_keys(f))", "names"))
 
 
@@ -418,8 +418,8 @@ def x16_drop_private_nested(spark, sf_dir):
     nested = view(spark, sf_dir, "invoices").selectExpr(
         "doc_id",
         "to_json(named_struct('keep', named_struct('_a', 1, 'b', array(named_struct('_c', 2, 'd', invoice_number))), '_x', 0)) AS raw",
-    )
-    return nested.select("doc_id", jsontext.drop_private_nested(F.col("raw")).alias("clean"))
+    ).selectExpr("doc_id", "IF(doc_id % 4 = 0, concat(raw, ' and more'), raw) AS raw")
+    return nested.selectExpr("doc_id", f"{jsontext.drop_private_nested('raw')} AS clean")
 
 
 @query
@@ -546,7 +546,10 @@ def v19_check_tax_rate(spark, sf_dir):
 
 @query
 def v20_score_business_rules(spark, sf_dir):
-    return _category_score(spark, sf_dir, "business_rules")
+    one = _validated(spark, sf_dir, "business_rules").selectExpr("doc_id", "validation.categories[0] AS c", "validation.applied_rules")
+    return one.selectExpr(
+        "doc_id", "c.status", "size(c.issues) AS issues", *_rounded("c.confidence"), _joined("applied_rules", "applied_rules")
+    )
 
 
 @query
@@ -570,7 +573,7 @@ def v22_check_completeness(spark, sf_dir):
 def v23_check_ocr_presence(spark, sf_dir):
     invoices = docs.invoice_documents(spark, sf_dir)
     recognised = layout.assemble_text(docs.invoice_tokens(invoices), threshold=0.0).select("doc_id", "extracted_content")
-    compared = rules.text_against_ocr(invoices.join(recognised, "doc_id"), "extracted_content")
+    compared = rules.text_against_ocr(invoices.join(recognised, "doc_id", "left"), "extracted_content")
     return compared.selectExpr(
         "doc_id", "ocr_consistency.status", "size(ocr_consistency.issues) AS issues",
         *_rounded("ocr_consistency.confidence"), "ocr_text_length", "extracted_fields",
@@ -683,7 +686,8 @@ def _page_results(spark, sf_dir):
         .selectExpr("doc_id", "page", "array_join(transform(t, x -> x.text), ' ') AS extracted_content", "confidence")
     )
     return pages.selectExpr(
-        "doc_id", "page", "(doc_id + page) % 7 <> 0 AS success", "extracted_content", "confidence",
+        "doc_id", "page", "(doc_id + page) % 7 <> 0 AS success", "(doc_id + page) % 5 <> 0 AS analysis_success",
+        "extracted_content", "confidence",
         f"{entities.extract_entities('extracted_content')} AS entities",
     )
 
@@ -729,10 +733,10 @@ def _compiled(spark, sf_dir):
 def k1_write_json(spark, sf_dir):
     path = streams.work_folder(spark, "json")
     writers.write_json(_compiled(spark, sf_dir), path)
-    schema = "doc_id long, quality_metrics struct<quality_level:string>, analysis_results struct<category:string,detailed_analysis:struct<confidence:double>>"
+    schema = "doc_id long, quality_metrics struct<quality_level:string>, analysis_results struct<category:string,detailed_analysis:struct<confidence:double,meta:string>>"
     return spark.read.schema(schema).json(path).selectExpr(
         "doc_id", "quality_metrics.quality_level", "analysis_results.category",
-        "analysis_results.detailed_analysis.confidence AS confidence",
+        "analysis_results.detailed_analysis.confidence AS confidence", "analysis_results.detailed_analysis.meta AS meta",
     )
 
 

@@ -51,7 +51,7 @@ VIEW_SQL = {
         FROM invoices""",
     "llm_responses": """
         WITH j AS (SELECT doc_id, '{{"vendor_name":"' || COALESCE(vendor_name, '') || '","invoice_date":"' || invoice_date
-            || '","total_amount":"' || total_amount || '","_trace":"x","confidence":0.9}}' AS js, total_amount FROM invoices)
+            || '","total_amount":"' || total_amount || '","_trace":"x","meta":{{"_id":1,"tags":[{{"_x":[{{}}],"y":1.25}}]}},"confidence":0.9}}' AS js, total_amount FROM invoices)
         SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN js
           WHEN 1 THEN 'Here is the result: ' || js || ' Done.'
           WHEN 2 THEN js || ' and {{"b":2}}'

@@ -1,6 +1,7 @@
 """Hand-worked values of the row expressions."""
 
 import datetime as dt
+import json
 import re
 
 import pytest
@@ -8,6 +9,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from paperlane.functions import entities, fixed, jsontext, prompts, text, values
+from paperlane.operators import validation
 
 
 def evaluate(spark, inputs, *expressions):
@@ -170,9 +172,88 @@ def test_fields_keep_presence_kind_and_emptiness(spark):
 
 
 def test_private_keys_at_any_depth(spark):
-    frame = spark.createDataFrame([('{"a":[{"_x":1,"b":{"_y":2,"c":"é"}}],"_z":0}',), ("no json",), (None,)], "x string")
-    found = [r[0] for r in frame.select(jsontext.drop_private_nested(F.col("x"))).collect()]
-    assert found == ['{"a": [{"b": {"c": "é"}}]}', "no json", None]
+    cases = {
+        '{"a":[{"_x":1,"b":{"_y":2,"c":"é"}}],"_z":0}': '{"a":[{"b":{"c":"é"}}]}',
+        '{"_a": {"x": [1, {"_b": "}"}]}, "k" : 1.50, "_l": null }': '{"k" :1.50}',
+        '{"_only":[[],{}]}': "{}",
+        '[{"_a":1},{"_a":1,"b":2},{"b":2,"_a":1,"_c":"],"}]': '[{},{"b":2},{"b":2}]',
+        '{"u":"say \\"_x\\": 1","\\u005fp":{"q":1},"v":"_no key"}': '{"u":"say \\"_x\\": 1","v":"_no key"}',
+        '{"d":{"d":{"d":{"d":{"_e":1,"f":12345678901234567890123.0}}}}}': '{"d":{"d":{"d":{"d":{"f":12345678901234567890123.0}}}}}',
+        '{"_a":1} and more': '{"_a":1} and more',
+        '{"_a":1': '{"_a":1',
+        '{"keep":  [1, 2]}': '{"keep":  [1, 2]}',
+        "no json": "no json",
+        None: None,
+    }
+    assert evaluate(spark, list(cases), jsontext.drop_private_nested("x")) == list(cases.values())
+    deep = '{"a":' * 300 + '{"_p":[1],"z":2}' + "}" * 300
+    assert evaluate(spark, [deep], jsontext.drop_private_nested("x")) == [deep.replace('"_p":[1],', "")]
+    kept = evaluate(spark, ['{"a":{"_b":1,"c":2}}', '{"_a":oops}', '{"c":1}'], f"string({jsontext.public_object('x')})")
+    assert kept == ['{"a":{"c":2}}', None, '{"c":1}']
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.recursive(st.none() | st.booleans() | st.integers() | st.text(max_size=5), lambda v: st.lists(v, max_size=3) | st.dictionaries(st.text("_ab\\\"},", max_size=3), v, max_size=3), max_leaves=12), min_size=20, max_size=20))
+def test_private_keys_like_a_parser(spark, values_of):
+    def without(node):
+        if isinstance(node, dict):
+            return {k: without(v) for k, v in node.items() if not k.startswith("_")}
+        return [without(v) for v in node] if isinstance(node, list) else node
+
+    raws = [json.dumps({"k": v}) for v in values_of]
+    found = evaluate(spark, raws, jsontext.drop_private_nested("x"))
+    assert [json.loads(f) for f in found] == [without(json.loads(r)) for r in raws]
+
+
+def test_exponents_are_written_out(spark):
+    cases = {"1.5e7": "15000000", "1.5E7": "15000000", "12.345e1": "123.45", "5e-3": "0.005", "1e2": "100", "-2.5E+3": "-2500", "1E0": "1", "12": "12", "1.0E30": "1" + "0" * 30, "text e": "text e", "1e999999999999": "1" + "0" * 400}
+    assert evaluate(spark, list(cases), values.plain_number("x")) == list(cases.values())
+    raw = '{"total_amount":1.5e7,"tax_amount":2.5E-1,"subtotal":"1.5e7"}'
+    found = evaluate(spark, [raw], jsontext.fields_of(jsontext.strict_object("x")))[0]
+    assert {k: v.value for k, v in found.items()} == {"total_amount": "15000000", "tax_amount": "0.25", "subtotal": "1.5e7"}
+
+
+def test_long_amounts_compare_exactly(spark):
+    longest = "9" * 30
+    raws = [longest, longest[:-1] + "8", "1" + "0" * 30, "0" * 40 + "5", "$1,0.1.2", "7" * 30 + ".12345678"]
+    found = evaluate(spark, raws, values.money("x"))
+    assert found[0] - found[1] == 1 and found[2] is None and found[3] == 5 and found[4] == 0 and str(found[5]).endswith(".12345678")
+    assert evaluate(spark, raws, values.money_too_large("x")) == [False, False, True, False, False, False]
+
+
+def test_rules_read_exponents_and_long_amounts(spark):
+    rows = [
+        '{"subtotal":1.4e7,"tax_amount":1e6,"total_amount":"15000000.00"}',
+        '{"subtotal":1.4e7,"tax_amount":1e6,"total_amount":"15000000.02"}',
+        '{"items":[{"total_price":1.5e2},{"total_price":"50"}],"total_amount":200}',
+        '{"items":[{"total_price":1.5e2},{"total_price":"50"}],"total_amount":2.01e2}',
+        '{"subtotal":"%s","tax_amount":"1","total_amount":"1%s"}' % ("9" * 29, "0" * 29),
+        '{"subtotal":"%s","tax_amount":"2","total_amount":"1%s"}' % ("9" * 29, "0" * 29),
+        '{"subtotal":1e40,"tax_amount":0,"total_amount":1e40}',
+        '{"items":[{"total_price":"%s"},{"total_price":"%s"}],"total_amount":1}' % ("9" * 30, "9" * 30),
+        '{"subtotal":1e1,"tax_amount":0.6E1,"total_amount":1.6e1}',
+    ]
+    frame = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "doc_id int, x string")
+    docs = frame.selectExpr("doc_id", "x", f"{jsontext.strict_object('x')} AS o").selectExpr(
+        "doc_id", "x AS text", f"{jsontext.fields_of('o')} AS fields", f"{jsontext.items_total('o', values.money)} AS items_total"
+    )
+    done = validation.validate(docs, dt.date(2000, 1, 1))
+    codes = {r.doc_id: {i.code for c in r.validation.categories for i in c.issues} & {"tax_sum_mismatch", "items_total_mismatch", "amount_not_comparable", "amount_too_large", "tax_rate_unreasonable"} for r in done.collect()}
+    assert codes == {
+        0: {"amount_too_large"}, 1: {"tax_sum_mismatch", "amount_too_large"}, 2: set(), 3: {"items_total_mismatch"}, 4: {"amount_too_large"},
+        5: {"tax_sum_mismatch", "amount_too_large"}, 6: {"amount_not_comparable", "amount_too_large"}, 7: {"amount_not_comparable"}, 8: {"tax_rate_unreasonable"},
+    }
+
+
+def test_unread_columns_leave_the_plan(spark):
+    from paperlane.operators import analysis
+
+    docs = spark.createDataFrame([(1, "text", "{}", "auto")], "doc_id int, text string, response string, requested_type string")
+    plan = validation.validate(analysis.analyze(docs), dt.date(2000, 1, 1)).select("doc_id", "validation.overall_score")
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "A-Z|a-z" not in text and "Filter" not in text  # the pattern of e-mail addresses in texts
+    filtered = plan.where("overall_score > 0.5")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(filtered) < 1.2 * len(text) + 1000
 
 
 def test_items_total(spark):
