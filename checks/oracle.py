@@ -777,8 +777,24 @@ def oracle() -> dict[str, str]:
     )
     sql["m12_issue_counts"] = over_invoices("SELECT doc_id, category, CAST(issues AS INT) AS issues FROM cat WHERE issues > 0")
 
-    sql["t1_stream_pages"] = f"""SELECT doc_id, length(text) > 0 AS success, {document_type('lower(text)')} AS document_type, {category('lower(text)')} AS category,
-        {words('text')} AS total_words, CAST(len(regexp_extract_all(text, {q(fixed.AMOUNT_IN_TEXT)})) AS INT) AS amounts FROM documents"""
+    paged = """SELECT doc_id, i AS page, string_split(text, chr(10) || chr(10))[i] AS text, doc_id * 100000 + i AS id, (doc_id + i - 1) % 11 <> 0 AS answered
+        FROM (SELECT doc_id, text, UNNEST(RANGE(1, LEN(string_split(text, chr(10) || chr(10))) + 1)) AS i FROM documents)"""
+    total = "'$' || CAST(doc_id % 1000 AS VARCHAR) || '.00'"
+    field = lambda n, k, v, more="": f"SELECT id AS doc_id, '{n}' AS name, '{k}' AS kind, {v} AS value, true AS filled FROM g WHERE answered AND text <> ''{more}"
+    fields = [
+        field("summary", "string", "'page ' || CAST(page AS VARCHAR)"), field("confidence", "number", "'0.9'"), field("total_amount", "string", total),
+        field("total_amount_numeric", "number", "CAST(doc_id % 1000 AS VARCHAR)", f" AND {document_type('lower(text)')} = 'invoice'").replace("true AS filled", "doc_id % 1000 <> 0 AS filled"),
+    ]
+    sql["t1_stream_pages"] = with_views(
+        [],
+        f"""SELECT g.doc_id, CAST(page AS INT) AS page, text <> '' AS success, val.doc_id IS NOT NULL AS analysis_success, val.doc_id IS NOT NULL AS validation_success,
+           CASE WHEN text = '' THEN 'extracted_text is required for analysis task' WHEN NOT answered THEN 'no model response' ELSE '' END AS error,
+           {document_type('lower(text)')} AS document_type, {category('lower(text)')} AS category, {words('text')} AS total_words,
+           CAST(len(regexp_extract_all(text, {q(fixed.AMOUNT_IN_TEXT)})) AS INT) AS amounts, ROUND(COALESCE(score, 0), 6) AS overall_score, COALESCE(is_valid, false) AS is_valid
+           FROM g LEFT JOIN val ON val.doc_id = g.id""",
+        g=paged, f=" UNION ALL ".join(fields),
+        d="SELECT id AS doc_id, lower(text) AS text_lc, CAST(NULL AS DECIMAL(30,6)) AS items_total FROM g WHERE answered AND text <> ''", **validation_ctes(),
+    )
     sql["t2_stream_combine"] = folded(_STREAM_PAGES, [])
     sql["u1_apply_per_document"] = """SELECT doc_id, doc_id % 10 <> 3 AS success, CASE WHEN doc_id % 10 = 3 THEN 'error' ELSE 'completed' END AS status,
         CASE WHEN doc_id % 10 = 3 THEN 'unreadable' ELSE '' END AS message, CASE WHEN doc_id % 10 = 3 THEN -1 ELSE CAST(length(text) AS INT) END AS chars FROM documents"""

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import entities, jsontext, prompts, text as texts, values
 from ..functions.sql import array, listed
 from ..operators import admission, analysis, layout, metrics, results, userfn, validation as rules
-from ..sources import readers, writers
+from ..sources import readers, versions, writers
 from ..streaming import pages as streams
 from . import documents as docs
 from .batch import process_batch, process_documents
@@ -732,9 +732,9 @@ def _compiled(spark, sf_dir):
 @query
 def k1_write_json(spark, sf_dir):
     path = streams.work_folder(spark, "json")
-    writers.write_json(_compiled(spark, sf_dir), path)
+    writers.write_json_run(_compiled(spark, sf_dir), path, "first")
     schema = "doc_id long, quality_metrics struct<quality_level:string>, analysis_results struct<category:string,detailed_analysis:struct<confidence:double,meta:string>>"
-    return spark.read.schema(schema).json(path).selectExpr(
+    return versions.read_versions(spark, path, schema, "json").selectExpr(
         "doc_id", "quality_metrics.quality_level", "analysis_results.category",
         "analysis_results.detailed_analysis.confidence AS confidence", "analysis_results.detailed_analysis.meta AS meta",
     )
@@ -772,8 +772,8 @@ def k5_write_events(spark, sf_dir):
     activity = log.selectExpr("*", "status AS activity", "document_type AS details")
     calls = log.selectExpr("*", "'/process' AS endpoint", "'POST' AS method", "IF(error IS NULL, 200, 500) AS status_code")
     for events in (writers.agent_activity_events(activity), writers.processing_events(log), writers.api_call_events(calls)):
-        writers.write_events(events, path)
-    return spark.read.parquet(path).groupBy("event_type").agg(
+        writers.write_events(events, path, "first")
+    return versions.read_versions(spark, path, writers.EVENTS).groupBy("event_type").agg(
         F.count(F.lit(1)).alias("events"),
         F.count_if(F.expr("get_json_object(payload, '$.success') = 'false'")).alias("failures"),
         F.count_if(F.expr("get_json_object(payload, '$.document_type') = 'unknown'")).alias("unknown"),
@@ -889,28 +889,42 @@ def m12_issue_counts(spark, sf_dir):
 _DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+def _arriving_pages(spark, sf_dir):
+    """Paragraphs of the documents as a stream of pages, with the number of pages their document has."""
+    arriving = streams.stream_pages(spark, sf_dir, _DOCUMENTS, "documents.parquet")
+    return arriving.selectExpr("doc_id", "size(split(text, '\\n\\n')) AS pages_total", "posexplode(split(text, '\\n\\n')) AS (at, text)").selectExpr(
+        "doc_id", "at + 1 AS page", "pages_total", "text",
+        # pages that get no response come first, so that their time has run out at the end
+        "timestamp_seconds(IF((doc_id + at) % 11 = 0, 946684800, 949276800)) AS ts",
+    )
+
+
 @query
 def t1_stream_pages(spark, sf_dir):
-    arriving = streams.stream_pages(spark, sf_dir, _DOCUMENTS, "documents.parquet")
+    pages = _arriving_pages(spark, sf_dir)
+    reply = "concat('{\"summary\":\"page ', page, '\",\"confidence\":0.9,\"total_amount\":\"$', doc_id % 1000, '.00\"}')"
+    responses = _arriving_pages(spark, sf_dir).where("(doc_id + page - 1) % 11 <> 0").selectExpr("doc_id", "page", "ts", f"{reply} AS response")
     folder = streams.work_folder(spark, "pages")
-    streams.run_to_table(streams.process_pages(arriving.select("doc_id", "text")), f"{folder}/out", f"{folder}/checkpoint")
+    done = streams.process_pages(streams.join_responses(pages, responses), AS_OF)
+    streams.run_to_table(done, f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out").selectExpr(
-        "doc_id", "success", "document_type", "category", "text_stats.total_words AS total_words",
-        "size(entities['amounts']) AS amounts",
+        "doc_id", "page", "success", "analysis_success", "validation_success", "coalesce(error, '') AS error", "document_type", "category",
+        "text_stats.total_words AS total_words", "size(entities['amounts']) AS amounts",
+        *_rounded("validation.overall_score"), "validation.is_valid",
     )
 
 
 @query
 def t2_stream_combine(spark, sf_dir):
-    arriving = streams.stream_pages(spark, sf_dir, _DOCUMENTS, "documents.parquet")
-    pages = arriving.selectExpr("doc_id", "posexplode(split(text, '\\n\\n')) AS (at, extracted_content)").selectExpr(
-        "doc_id", "at + 1 AS page", "(doc_id + at) % 7 <> 0 AS success", "extracted_content",
-        "cast(50 + (doc_id + at) % 50 AS double) / 100D AS confidence",
-        f"{entities.extract_entities('extracted_content')} AS entities",
-    )
-    folder = streams.work_folder(spark, "parts")
-    streams.run_to_table(streams.stream_parts(pages), f"{folder}/out", f"{folder}/checkpoint", "complete")
-    return _folded(results.fold_parts(spark.read.parquet(f"{folder}/out")))
+    pages = _arriving_pages(spark, sf_dir).selectExpr(
+        "doc_id", "page", "pages_total", "ts", "(doc_id + page - 1) % 7 <> 0 AS success", "text AS extracted_content",
+        "cast(50 + (doc_id + page - 1) % 50 AS double) / 100D AS confidence",
+        f"{entities.extract_entities('text')} AS entities",
+    )
+    folder = streams.work_folder(spark, "documents")
+    streams.run_to_table(streams.stream_documents(pages), f"{folder}/out", f"{folder}/checkpoint")
+    whole = spark.read.parquet(f"{folder}/out")
+    return _folded(results.combine_pages(whole.where("complete")))
 
 
 # --- user code ---------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
+from .versions import write_version
 
 
 def write_json(results: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -12,6 +13,11 @@ def write_json(results: DataFrame, path: str, mode: str = "errorifexists") -> No
     results.write.mode(mode).json(path, ignoreNullFields=False)
 
 
+def write_json_run(results: DataFrame, path: str, run: str) -> bool:
+    """The results of a run as a version of the table at `path`; a run that failed is simply written again."""
+    return write_version(results, path, run, "json", ignoreNullFields=False)
+
+
 def pretty_json(results: DataFrame, key: str = "doc_id") -> DataFrame:
     """The whole row as indented JSON text."""
     return results.select(key, F.to_json(F.struct("*"), {"pretty": "true"}).alias("json"))
@@ -106,6 +112,10 @@ def _event(kind: str, rows: DataFrame, payload: Column) -> DataFrame:
     )
 
 
-def write_events(events: DataFrame, path: str) -> None:
-    """Append to the event table, a folder per kind."""
-    events.write.mode("append").partitionBy("event_type").parquet(path)
+EVENTS = "task_id long, event_type string, payload string, timestamp timestamp"
+
+
+def write_events(events: DataFrame, path: str, run: str) -> bool:
+    """Add the events of one kind and run to the event table; a second time they are left out."""
+    kind = events.select("event_type").first()
+    return kind is not None and write_version(events, path, f"{run}-{kind[0]}")

@@ -1,14 +1,15 @@
 """Files in and out, streams, user code, logs."""
 
+import datetime as dt
 import json
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from paperlane.operators import admission, metrics, results, userfn
+from paperlane.operators import admission, layout, metrics, results, userfn
 from paperlane.plans import batch, documents
-from paperlane.sources import readers, writers
+from paperlane.sources import readers, versions, writers
 from paperlane.streaming import pages as streams
 
 
@@ -172,19 +173,101 @@ def test_stream_with_watermark_closes_parts(spark, folder):
     assert {r.doc_id: r.extracted_content for r in closed.collect()}[1] == "a b"
 
 
-def test_stream_layout_equals_batch(spark, folder):
-    from paperlane.operators import layout
+def arrive(spark, rows, schema, path):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
 
-    tokens = spark.range(40).selectExpr(
-        "id % 2 AS doc_id", "1 AS page", "int(id) AS pos", "concat('w', id) AS text", "1D AS confidence",
-        "double(id * 17 % 200) AS y_min", "double(id * 13 % 90) AS x_min",
-    )
-    tokens.write.parquet(folder + "/in")
-    stream = streams.stream_pages(spark, folder + "/in", tokens.schema.simpleString()[7:-1].replace(":", " "))
-    streams.stream_layout(stream, folder + "/out", folder + "/checkpoint").awaitTermination()
-    key = ["doc_id", "pos", "table_no", "row_no", "col_no"]
-    found = sorted(map(tuple, spark.read.parquet(folder + "/out").select(key).collect()))
-    assert found == sorted(map(tuple, layout.group_rows(tokens).select(key).collect())) and found
+
+TOKENS = "doc_id long, page int, pos int, text string, confidence double, y_min double, x_min double, page_tokens int, ts timestamp"
+
+
+def token_rows():
+    at = dt.datetime(2024, 1, 1)
+    return [(i % 2, 1 + i // 20, i, f"w{i}", 1.0, float(i * 17 % 200), float(i * 13 % 90), 10, at + dt.timedelta(seconds=i)) for i in range(40)]
+
+
+def test_a_page_spread_over_batches_is_laid_out_whole(spark, folder):
+    rows, source, out = token_rows(), folder + "/in", folder + "/out"
+    for some in (rows[:13], rows[13:29] + rows[:2], rows[29:]):  # a restart between them, two tokens twice
+        arrive(spark, some, TOKENS, source)
+        stream = streams.stream_pages(spark, source, TOKENS)
+        streams.stream_layout(stream, out, folder + "/checkpoint").awaitTermination()
+    batch_cells = layout.group_rows(spark.createDataFrame(rows, TOKENS))
+    cells = versions.read_versions(spark, out, batch_cells.schema)
+    key = ["doc_id", "page", "pos", "table_no", "row_no", "col_no"]
+    found = sorted(map(tuple, cells.select(key).collect()))
+    assert found == sorted(map(tuple, batch_cells.select(key).collect())) and found
+    assert len(versions.committed(spark, out)) >= 3
+
+
+def test_documents_leave_when_whole_or_out_of_time(spark, folder):
+    schema = "doc_id long, page int, pages_total int, success boolean, extracted_content string, confidence double, entities map<string,array<string>>, ts timestamp"
+    day = lambda n: dt.datetime(2024, 1, n)
+    page = lambda doc, n, of, at: (doc, n, of, True, f"{doc}.{n}", 0.5, {"emails": [f"e{n}"]}, at)
+    arrivals = [
+        [page(1, 2, 3, day(1)), page(2, 1, 2, day(1)), page(3, 1, 1, day(1))],
+        [page(1, 1, 3, day(1)), page(1, 2, 3, day(1)), page(3, 1, 1, day(1))],  # doc 3 was whole, its page comes again
+        [page(1, 3, 3, day(1)), page(4, 1, 2, day(9)), page(5, 1, None, day(9))],  # time passes: doc 2 lacks a page
+        [page(2, 2, 2, day(1)), page(6, 1, 1, day(20))],  # too late for doc 2
+    ]
+    left = []
+    for rows in arrivals:
+        arrive(spark, rows, schema, folder + "/in")
+        stream = streams.stream_documents(streams.stream_pages(spark, folder + "/in", schema), timeout_minutes=60)
+        streams.run_to_table(stream, folder + "/out", folder + "/checkpoint")
+        left.append({(r.doc_id, r.page, r.complete) for r in spark.read.parquet(folder + "/out").collect()})
+    assert left[0] == {(3, 1, True)} == left[1]
+    assert left[2] >= {(3, 1, True), (1, 1, True), (1, 2, True), (1, 3, True)}
+    assert left[3] == {(3, 1, True), *((1, p, True) for p in (1, 2, 3)), (2, 1, False), (4, 1, False), (5, 1, False), (6, 1, True)}
+    table = spark.read.parquet(folder + "/out")
+    assert table.count() == len(left[3]) and table.where("doc_id = 1 AND page = 2").first().ts == day(1)
+    folded = {r.doc_id: r for r in results.combine_pages(table).collect()}
+    assert folded[1].extracted_content == "1.1 1.2 1.3" and folded[1].combined_entities == ["e1", "e2", "e3"]
+
+
+def test_pages_meet_their_responses(spark, folder):
+    pages = "doc_id long, page int, text string, ts timestamp"
+    replies = "doc_id long, page int, response string, ts timestamp"
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    reply = '{"summary":"invoice total","total_amount":"$5.00","confidence":0.7}'
+    batches = [
+        ([(1, 1, "Invoice total $5.00", at(0)), (1, 2, "no reply ever", at(0)), (1, 3, "", at(0)), (2, 1, "late reply", at(0))], [(1, 3, reply, at(0))]),
+        ([(9, 9, "clock", at(0.2))], [(1, 1, reply, at(0.5)), (9, 9, "prose", at(0.3))]),
+        ([(8, 1, "clock", at(30))], [(8, 1, reply, at(30)), (2, 1, reply, at(29))]),
+        ([(7, 1, "clock", at(60))], [(7, 1, reply, at(60))]),
+    ]
+    for some, answers in batches:
+        arrive(spark, some, pages, folder + "/pages")
+        arrive(spark, answers, replies, folder + "/replies")
+        joined = streams.join_responses(streams.stream_pages(spark, folder + "/pages", pages), streams.stream_pages(spark, folder + "/replies", replies))
+        streams.run_to_table(streams.process_pages(joined, documents.AS_OF), folder + "/out", folder + "/checkpoint")
+    rows = {(r.doc_id, r.page): r for r in spark.read.parquet(folder + "/out").collect()}
+    outcome = {k: (r.success, r.analysis_success, r.validation_success) for k, r in rows.items() if k[0] < 7}
+    assert outcome == {(1, 1): (True, True, True), (1, 2): (True, False, False), (1, 3): (False, False, False), (2, 1): (True, False, False)}
+    assert rows[1, 1].document_type == "invoice" and rows[1, 1].validation.overall_score > 0 and rows[1, 1].confidence_score == 0.7
+    assert rows[1, 2].error == "no model response" and rows[1, 3].error.startswith("extracted_text") and rows[9, 9].analysis_success
+
+
+def test_versions_are_whole_or_not_there(spark, folder):
+    first, broken = spark.range(5), spark.range(5).selectExpr("id", "assert_true(id < 3)")
+    schema = "id long"
+    assert versions.read_versions(spark, folder + "/t", schema).count() == 0
+    assert versions.write_version(first, folder + "/t", "a")
+    with pytest.raises(Exception):
+        versions.write_version(broken, folder + "/t", "b")
+    assert versions.committed(spark, folder + "/t") == ["a"] and versions.read_versions(spark, folder + "/t", schema).count() == 5
+    assert versions.write_version(spark.range(7), folder + "/t", "b") and not versions.write_version(spark.range(9), folder + "/t", "b")
+    assert versions.read_versions(spark, folder + "/t", schema).count() == 12
+    assert versions.read_versions(spark, folder + "/t", schema, latest=True).count() == 7
+
+
+def test_a_second_run_of_complete_results_keeps_the_table_readable(spark, folder):
+    for batch_rows in (page_rows()[:2], page_rows()[2:]):
+        arrive(spark, batch_rows, PAGES, folder + "/in")
+        parts = streams.stream_parts(streams.stream_pages(spark, folder + "/in", PAGES))
+        streams.run_to_table(parts, folder + "/out", folder + "/checkpoint", "complete")
+    newest = versions.read_versions(spark, folder + "/out", parts.schema, latest=True)
+    rows = {r.doc_id: r for r in results.fold_parts(newest).collect()}
+    assert rows[1].extracted_content == "a b" and rows[1].pages_processed == 3 and set(rows) == {1, 2}
 
 
 def test_last_n_over_a_hot_agent(spark):
