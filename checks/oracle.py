@@ -728,6 +728,10 @@ def oracle() -> dict[str, str]:
            CASE WHEN {_IS_OBJECT} THEN '{{"tags":[{{"y":1.25}}]}}' END AS meta
            FROM a JOIN d ON d.doc_id = a.doc_id JOIN val ON val.doc_id = a.doc_id"""
     )
+    sql["k1_pretty_json"] = over_scores(
+        """SELECT doc_id, '{' || chr(10) || '  "doc_id" : ' || CAST(doc_id AS VARCHAR) || ',' || chr(10) || '  "is_valid" : ' || CAST(is_valid AS VARCHAR) || ',' || chr(10)
+           || '  "note" : "é ' || CAST(doc_id % 7 AS VARCHAR) || '",' || chr(10) || '  "counts" : [ ' || CAST(doc_id % 3 AS VARCHAR) || ', 1 ]' || chr(10) || '}' AS json FROM qs"""
+    )
     sql["k2_render_markdown"] = with_views(["typed_docs"], f"SELECT doc_id, {_report_sql(fixed.MARKDOWN_REPORT, 500, False)} AS report FROM typed_docs")
     sql["k3_write_entities_csv"] = with_views(
         ["invoice_texts"], 'SELECT doc_id, entity_type AS "Type", entity AS "Entity" FROM e', e=_FOUND_ROWS

@@ -24,21 +24,22 @@ def _cut(text: str, chars: int) -> str:
     return f"substring({text}, 1, {chars})"
 
 
-def prompt(kind: str, text: str, summary_chars: int = 300) -> str:
-    """Full request: the whole text, but for entities its beginning; unknown kinds ask in general."""
+def prompt(kind: str, text: str, summary_chars: int = 300, entity_chars: int = fixed.ENTITY_CHARS) -> str:
+    """Full request: the whole text, but for entities its first `entity_chars`; unknown kinds ask in general."""
     branches = []
     for name in ["invoice", "contract", "form", "report"]:
         branches.append((f"{kind} = '{name}'", _question(TASK[name], fixed.REQUEST_KEYS[name], text)))
-    short = _cut(text, fixed.ENTITY_CHARS)
+    short = _cut(text, entity_chars)
     branches.append((f"{kind} = 'entities'", _question(TASK["entities"], fixed.REQUEST_KEYS["entities"], short)))
     summary = f"concat({lit(f'Summarize this text in at most {summary_chars} characters:\n\n')}, {text})"
     branches.append((f"{kind} = 'summary'", summary))
     return case(branches, _question(TASK["general"], fixed.REQUEST_KEYS["general"], text))
 
 
-def brief_prompt(kind: str, text: str) -> str:
-    """Short request over the beginning of the text; unknown kinds ask in general."""
-    ask = lambda n: _question(TASK[n], fixed.BRIEF_KEYS[n], _cut(text, fixed.BRIEF_CHARS[n]))
+def brief_prompt(kind: str, text: str, chars: dict[str, int] | None = None) -> str:
+    """Short request over the beginning of the text, `chars` of it by kind; unknown kinds ask in general."""
+    chars = fixed.BRIEF_CHARS | (chars or {})
+    ask = lambda n: _question(TASK[n], fixed.BRIEF_KEYS[n], _cut(text, chars[n]))
     return case([(f"{kind} = '{n}'", ask(n)) for n in ["invoice", "contract", "form"]], ask("general"))
 
 

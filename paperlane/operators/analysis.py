@@ -12,7 +12,8 @@ _STRINGS = "cast(array() AS array<string>)"
 ENTITIES = "map<string,array<string>>"
 
 
-def fallback_general(response: str) -> str:
+def fallback_general(response: str, summary_chars: int = 200) -> str:
+    """Record for a response that is no JSON; its first `summary_chars` are the summary."""
     return struct(
         document_type="'general'",
         main_topics=_STRINGS,
@@ -20,7 +21,7 @@ def fallback_general(response: str) -> str:
         sentiment="'neutral'",
         urgency_level="'medium'",
         action_items=_STRINGS,
-        summary=f"substring({response}, 1, 200)",
+        summary=f"substring({response}, 1, {summary_chars})",
         confidence="0.5D",
     )
 
@@ -87,7 +88,7 @@ def parse_response_strict(response: str, branch: str) -> str:
     return f"coalesce({jsontext.public_object(response)}, {fallback_record(response, branch)})"
 
 
-def parse_response_span(df: DataFrame, response: str = "response", kind: str = "kind") -> DataFrame:
+def parse_response_span(df: DataFrame, response: str = "response", kind: str = "kind", summary_chars: int = 200) -> DataFrame:
     """JSON between the outer braces, else a record built from the raw response.
 
     Adds `parsed` (VARIANT or NULL), `raw_analysis`, `document_type`, `summary`,
@@ -103,7 +104,7 @@ def parse_response_span(df: DataFrame, response: str = "response", kind: str = "
         "*",
         f"{response} AS raw_analysis",
         f"{either('document_type', 'string', kind)} AS document_type",
-        f"{either('summary', 'string', f'substring({response}, 1, 200)')} AS summary",
+        f"{either('summary', 'string', f'substring({response}, 1, {summary_chars})')} AS summary",
         f"{either('confidence', 'double', '0.8D')} AS confidence",
         f"{either('entities', ENTITIES, short_entities)} AS entities",
         f"{either('key_points', 'array<string>', texts.key_points(response))} AS key_points",

@@ -7,7 +7,7 @@ counts are combined before the shuffle and "last n" is taken in two rounds.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 LAST = ["start_ts", "task_id"]
 
@@ -133,6 +133,21 @@ def run_report(results: DataFrame) -> DataFrame:
     )
 
 
+def observe_run(results: DataFrame, name: str = "run") -> tuple[DataFrame, Observation]:
+    """`results` as they are, and the figures of `run_report` as what was seen when they were written; no second pass.
+
+    Ask the observation after an action on the frame: it waits for the first one. Times come from the rows'
+    `processing_time`; a figure of no row is None.
+    """
+    seen = Observation(name)
+    ok = F.col("success")
+    figures = [F.count(F.lit(1)).alias("total_tests"), F.count_if(ok).alias("successful"), F.count_if(~ok).alias("failed")]
+    for column in ("processing_time", "confidence"):
+        value = F.when(ok, F.col(column))
+        figures += [F.avg(value).alias(f"avg_{column}"), F.min(value).alias(f"min_{column}"), F.max(value).alias(f"max_{column}")]
+    return results.observe(seen, *figures), seen
+
+
 def documents_per_type(results: DataFrame) -> DataFrame:
     return results.where("success").groupBy("document_type").agg(F.count(F.lit(1)).alias("documents"))
 

@@ -740,6 +740,13 @@ def k1_write_json(spark, sf_dir):
     )
 
 
+@query
+def k1_pretty_json(spark, sf_dir):
+    """Results as indented text, a document each."""
+    scored = _scored(spark, sf_dir).selectExpr("doc_id", "is_valid", "concat('é ', doc_id % 7) AS note", "array(doc_id % 3, 1L) AS counts")
+    return writers.pretty_json(scored)
+
+
 def _report_parts():
     return [
         F.substring("text", 1, 40), F.concat(F.lit("f<"), F.col("doc_id").cast("string"), F.lit(">.pdf")), F.lit("a&b"),

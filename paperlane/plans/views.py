@@ -17,8 +17,9 @@ VIEW_SQL = {
           CAST(l_extendedprice AS DECIMAL(15,2)) AS total_price
         FROM {lineitem} JOIN {part} ON p_partkey = l_partkey""",
     "invoices": """
-        WITH s AS (SELECT doc_id, COUNT(*) AS n, CAST(SUM(total_price) AS DECIMAL(18,2)) AS item_sum
-                   FROM invoice_items GROUP BY doc_id),
+        WITH s AS (SELECT l_orderkey AS doc_id, COUNT(*) AS n,
+                     CAST(SUM(CAST(l_extendedprice AS DECIMAL(15,2))) AS DECIMAL(18,2)) AS item_sum
+                   FROM {lineitem} GROUP BY l_orderkey),
         b AS (SELECT o_orderkey AS doc_id, c_name, COALESCE(n, 0) AS n_items,
                 COALESCE(item_sum, CAST(0 AS DECIMAL(18,2))) AS item_sum,
                 CAST(o_totalprice AS DECIMAL(18,2)) AS stated,
@@ -96,7 +97,7 @@ VIEW_SQL = {
 
 NEEDS = {
     "invoice_items": [],
-    "invoices": ["invoice_items"],
+    "invoices": [],
     "invoice_texts": ["invoices"],
     "llm_responses": ["invoices"],
     "typed_docs": [],

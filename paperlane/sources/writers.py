@@ -47,16 +47,22 @@ def _fill(template: str, cut: int, escape: bool, **parts: Column) -> Column:
     return F.concat(*pieces, F.lit(rest))
 
 
-def render_markdown(summary: Column, filename: Column, document_type: Column, confidence: Column, text: Column) -> Column:
+def render_markdown(
+    summary: Column, filename: Column, document_type: Column, confidence: Column, text: Column, chars: int = fixed.MARKDOWN_CHARS
+) -> Column:
+    """Report with the first `chars` of the text."""
     return _fill(
-        fixed.MARKDOWN_REPORT, fixed.MARKDOWN_CHARS, False,
+        fixed.MARKDOWN_REPORT, chars, False,
         summary=summary, filename=filename, type=document_type, confidence=two_decimals(confidence), text=text,
     )
 
 
-def render_html(summary: Column, filename: Column, document_type: Column, confidence: Column, text: Column) -> Column:
+def render_html(
+    summary: Column, filename: Column, document_type: Column, confidence: Column, text: Column, chars: int = fixed.HTML_CHARS
+) -> Column:
+    """Page with the first `chars` of the text, values escaped."""
     return _fill(
-        fixed.HTML_REPORT, fixed.HTML_CHARS, True,
+        fixed.HTML_REPORT, chars, True,
         summary=summary, filename=filename, type=document_type, confidence=two_decimals(confidence), text=text,
     )
 

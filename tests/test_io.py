@@ -320,3 +320,28 @@ def test_batch_from_tokens_keeps_every_task(spark):
     assert rows[1].error.message == "document_path is required" and rows[1].result is None
     assert rows[4].error.message.startswith("Unsupported") and rows[4].timestamp.duration == 1.0
     assert rows[5].timestamp.duration is None and rows[5].result.extraction_results.extracted_text == ""
+
+
+def test_a_run_is_observed_while_it_is_written(spark, folder):
+    runs = spark.createDataFrame([(True, 1.0, 0.5), (True, 3.0, 0.7), (False, 9.0, None)], "success boolean, processing_time double, confidence double")
+    seen_runs, seen = metrics.observe_run(runs)
+    seen_runs.write.parquet(folder + "/runs")
+    report = metrics.run_report(runs).first().asDict()
+    assert {k: v for k, v in report.items() if k != "success_rate"} == pytest.approx(seen.get)
+    nothing, seen = metrics.observe_run(runs.limit(0), "none")
+    nothing.write.parquet(folder + "/none")
+    assert seen.get["total_tests"] == 0 and seen.get["avg_confidence"] is None
+
+
+def test_cuts_are_parameters(spark):
+    from paperlane.functions import prompts
+
+    frame = spark.createDataFrame([("x" * 3000,)], "t string")
+    r = frame.selectExpr(
+        f"{prompts.prompt(chr(39) + 'entities' + chr(39), 't', entity_chars=17)} AS a",
+        f"{prompts.brief_prompt(chr(39) + 'invoice' + chr(39), 't', {'invoice': 19})} AS b",
+    ).first()
+    assert "x" * 17 in r.a and "x" * 18 not in r.a and "x" * 19 in r.b and "x" * 20 not in r.b
+    parts = [F.lit("s"), F.lit("f"), F.lit("d"), F.lit(0.5), F.col("t")]
+    md, html = frame.select(writers.render_markdown(*parts, chars=11), writers.render_html(*parts, chars=13)).first()
+    assert "x" * 11 in md and "x" * 12 not in md and "x" * 13 in html and "x" * 14 not in html
