@@ -100,7 +100,9 @@ def drop_private_keys(members: str) -> str:
 
 
 _PRIVATE = r'"(_|\\u005[fF])'  # how a private key begins, as it is or as an escape
-_TOKEN = r'"(?:[^"\\]|\\.)*"\s*:?|[{}\[\],]|[^\s{}\[\],":]+'
+_STRING, _SCALAR = r'"(?:[^"\\]|\\.)*"', r'[^\s{}\[\],":]+'
+# A public member with a plain value is one token with its comma; else a key with its colon, a brace, a comma or a value.
+_TOKEN = rf'"(?!_|\\u005[fF])(?:[^"\\]|\\.)*"\s*:\s*(?:{_STRING}|{_SCALAR})\s*,?|{_STRING}\s*:?|[{{}}\[\],]|{_SCALAR}'
 
 
 def has_private(text: str) -> str:
@@ -115,7 +117,7 @@ def _without_private(text: str) -> str:
     """
     state = lambda out, depth, drop: struct(out=out, depth=depth, drop=drop)
     deeper = "s.depth + IF(t IN ('{', '['), 1, IF(t IN ('}', ']'), -1, 0))"
-    private = f"(endswith(t, ':') AND t RLIKE {lit('^' + _PRIVATE)})"
+    private = f"(endswith(t, ':') AND (startswith(t, '\"_') OR startswith(t, {lit('"' + chr(92) + 'u005f')}) OR startswith(t, {lit('"' + chr(92) + 'u005F')})))"
     taken = "concat(IF(t = '}' AND endswith(s.out, ','), left(s.out, length(s.out) - 1), s.out), t)"
     step = case(
         [

@@ -22,18 +22,20 @@ MONEY = "decimal(38,8)"
 def money(value: str) -> str:
     """The same number as an exact decimal, for sums and comparisons within a cent; what is no number is 0.
 
-    Thirty digits before the point and eight behind it are exact. NULL if the number is longer, see `money_too_large`.
+    Thirty digits before the point and eight behind it are exact. A longer number has to be told apart by `money_too_large`.
     """
-    exact = f"try_cast({_digits(value)} AS {MONEY})"
-    return f"coalesce({exact}, IF({_digits(value)} RLIKE {lit(_NUMBER)}, NULL, cast(0 AS {MONEY})))"
-
-
-_NUMBER = r"^(\d+\.?\d*|\.\d+)$"
+    return f"coalesce(try_cast({_digits(value)} AS {MONEY}), cast(0 AS {MONEY}))"
 
 
 def money_too_large(value: str) -> str:
     """Whether a number has more than thirty digits before the point, so that its cents cannot be compared."""
-    return f"coalesce({_digits(value)} RLIKE {lit(_NUMBER)} AND try_cast({_digits(value)} AS {MONEY}) IS NULL, false)"
+    number = f"try_cast({_digits(value)} AS double)"
+    return f"(length({value}) > 30 AND {number} IS NOT NULL AND try_cast({_digits(value)} AS {MONEY}) IS NULL)"
+
+
+def money_or_null(value: str) -> str:
+    """`money`, but NULL for a number that is too large."""
+    return f"IF({money_too_large(value)}, NULL, {money(value)})"
 
 
 def plain_number(value: str) -> str:

