@@ -28,7 +28,8 @@ from ._ids import slices
 from ._store import written
 
 LONGEST = 5
-BLOCK = 4_000_000  # words of a block, after which it ends at the next break
+BLOCK = 2_000_000  # words of a block, after which it ends at the next break
+AT_ONCE = 500_000  # places of a block that are sorted at once
 KEYS = 1 << 20  # prefixes or phrases that one pass looks for: 8 MB
 EXACT = 1 << 20  # frequencies up to this are told apart when first words are dealt to rounds
 _BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n\n ")
@@ -122,6 +123,20 @@ def _inside(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys
 
 
+def _counted(parent: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (parent, last) and how often each occurs, sorted a stretch at a time."""
+    done = []
+    for start in range(0, len(parent), AT_ONCE):
+        p, w = parent[start : start + AT_ONCE], last[start : start + AT_ONCE]
+        _, first, n = np.unique(_mix(p, w), return_index=True, return_counts=True)
+        done.append((p[first], w[first], n))
+    if len(done) < 2:
+        return done[0] if done else (parent, last, np.zeros(0, np.int64))
+    parent, last, n = (np.concatenate(c) for c in zip(*done))
+    _, first, place = np.unique(_mix(parent, last), return_index=True, return_inverse=True)
+    return parent[first], last[first], np.bincount(place, n, len(first)).astype(np.int64)
+
+
 def _in_passes(keys: DataFrame, run: Callable[[np.ndarray], DataFrame]) -> DataFrame | None:
     """`run` over sorted arrays of at most KEYS or so of the column `key`, results put together."""
     keys = written(keys.select("key").distinct(), "keys")
@@ -151,9 +166,7 @@ def _grown(blocks: DataFrame, size: int, window: dict[str, tuple[int, int]], pre
                 if wanted is not None:
                     hit = _inside(parent, wanted)
                     at, parent = at[hit], parent[hit]
-                last = ids[at + size - 1]
-                _, first, n = np.unique(_mix(parent, last), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(parent[first]), pa.array(last[first]), pa.array(n, pa.int64())], ["parent", "last", "f"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in _counted(parent, ids[at + size - 1])], ["parent", "last", "f"])
 
         return blocks.mapInArrow(count, "parent long, last long, f long")
 
