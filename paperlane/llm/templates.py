@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ._store import written
+
 WINDOW = 8
 LEAST_WINDOWS = 3  # on one diagonal: ten tokens
 SHORTEST = 5
-BROADCAST_ROWS = 500_000
 
 # Units that count as such after a number
 UNITS = """mm cm m km in ft yd mi mg g kg t oz lb lbs ml l s sec secs second seconds min mins minute minutes h hr hrs hour hours
@@ -20,7 +21,7 @@ day days week weeks month months year years percent usd eur dollar dollars euro
 
 
 def raw_tokens(text: Column) -> Column:
-    """Runs of letters and digits, split where a digit meets a letter; a name starts with `#`.
+    """Runs of letters and digits, split where a digit meets a letter; a number keeps its points and commas, as `#`; a name starts with `#`.
 
     A name is a capitalised word after a word, a comma or a semicolon: not at the start of a sentence.
     """
@@ -28,6 +29,7 @@ def raw_tokens(text: Column) -> Column:
     # patterns start with what is rare or cheap to test; what stands before is looked at last
     t = F.regexp_replace(t, r"(\s)(?=\p{Lu}\p{Ll})(?<=[\p{L}\p{N},;]\s)", "$1#")
     t = F.regexp_replace(t, r"([0-9])(?=\p{L})", "$1 ")
+    t = F.regexp_replace(t, r"[.,](?=[0-9])(?<=[0-9].)", "#")
     return F.filter(F.split(t, r"[^\p{L}\p{N}#]+"), lambda w: w != "")
 
 
@@ -66,29 +68,26 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows (doc_id, text_hash, item_id, matched, windows, first_token, slots, replaced), one for each leaking document and item.
 
     Leaks are `LEAST_WINDOWS` matching windows on one diagonal, or all windows of an item that has fewer, with every value of a
-    placeholder always standing for the same value (`replaced`: how many stand for another one). Null and empty texts leak
+    kind of placeholder always standing for the same value, and no two for one (`replaced`: how many stand for another one). Null and empty texts leak
     nothing; items without `SHORTEST` tokens cannot be found; equal rows give one row, rows with one id and different texts a row each
-    by text hash. `docs` (doc_id, text) and `items` (item_id, text) may have other columns. The windows of the items are
-    broadcast if a count shows at most `BROADCAST_ROWS`, and joined by shuffle beyond.
+    by text hash. `docs` (doc_id, text) and `items` (item_id, text) may have other columns. A text is cut to tokens in its own row, whatever
+    its length; of several leaks of an item in a text the one with most windows counts, then the first. The windows of the
+    items and the matches are written tables, so Spark knows their size when it chooses how to join.
     """
     items = items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
-    known = item_windows(items)
+    known = written(item_windows(items), "item-windows")
     docs = docs.select("doc_id", F.col("text").alias("text"), F.xxhash64("text").alias("text_hash"))
-    sizes = {r["size"]: r["n"] for r in known.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each window size
-    few = sum(sizes.values()) <= BROADCAST_ROWS
+    sizes = [r["size"] for r in known.select("size").distinct().collect()]  # at most one for each size up to WINDOW
     # a column of its own for each step: inside lambdas it is read for every token
     templates = docs.select("doc_id", "text_hash", raw_tokens(F.col("text")).alias("raw"))
     templates = templates.select("doc_id", "text_hash", template_tokens(F.col("raw")).alias("tokens"))
     templates = templates.withColumn("hashes", F.transform("tokens", lambda w: F.xxhash64(w)))
-    hits = None
-    for size in sorted(sizes) or [WINDOW]:
-        own = known.where(F.col("size") == size).select("item_id", "at", "hash", "windows", "size")
-        seen = templates.select("doc_id", "text_hash", F.posexplode(_windows(F.col("tokens"), F.col("hashes"), size)).alias("doc_at", "hash"))
-        found = seen.join(F.broadcast(own) if few else own, "hash").drop("hash")
-        hits = found if hits is None else hits.unionByName(found)
+    by_size = [F.struct(F.lit(s).cast("int").alias("size"), _windows(F.col("tokens"), F.col("hashes"), s).alias("seen")) for s in sorted(sizes) or [WINDOW]]
+    seen = templates.select("doc_id", "text_hash", F.inline(F.array(*by_size))).select("doc_id", "text_hash", "size", F.posexplode("seen").alias("doc_at", "hash"))
+    hits = seen.join(known, ["size", "hash"])
     diagonal = (F.col("doc_at") - F.col("at")).alias("shift")
     runs = hits.groupBy("doc_id", "text_hash", "item_id", "windows", "size", diagonal).agg(F.countDistinct("at").alias("matched"), F.min("at").alias("low"), F.max("at").alias("high"))
-    runs = runs.where(F.col("matched") >= F.least("windows", F.lit(LEAST_WINDOWS)))
+    runs = written(runs.where(F.col("matched") >= F.least("windows", F.lit(LEAST_WINDOWS))), "runs")  # read twice; the documents are tokenized once
 
     texts = docs.join(runs.select("text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["doc_id", "text_hash"])
     texts = texts.select(F.col("doc_id").alias("its_id"), "text_hash", raw_tokens(F.col("text")).alias("doc_raw"))
@@ -97,9 +96,10 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     both = both.withColumns({"doc_tokens": template_tokens(F.col("doc_raw")), "item_tokens": template_tokens(F.col("item_raw"))})
     places = F.sequence(F.col("low"), F.col("high") + F.col("size") - 1)
     slot = lambda i: F.get("item_tokens", i).startswith("#") & (F.get("item_tokens", i) == F.get("doc_tokens", i + F.col("shift")))
-    pairs = F.transform(F.filter(places, slot), lambda i: F.struct(F.get("item_raw", i).alias("was"), F.get("doc_raw", i + F.col("shift")).alias("now")))
+    pairs = F.transform(F.filter(places, slot), lambda i: F.struct(F.get("item_tokens", i).alias("kind"), F.get("item_raw", i).alias("was"), F.get("doc_raw", i + F.col("shift")).alias("now")))
     both = both.withColumn("pairs", F.array_distinct(pairs))
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.col("pairs.was")))
+    different = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p[side]))))
+    consistent = (F.size("pairs") == different("was")) & (F.size("pairs") == different("now"))
     replaced = F.size(F.filter("pairs", lambda p: p["was"] != p["now"]))
     leaks = both.where(consistent).select("doc_id", "text_hash", "item_id", "matched", "windows", (F.col("low") + F.col("shift")).cast("long").alias("first_token"), F.size("pairs").cast("long").alias("slots"), replaced.cast("long").alias("replaced"))
     best = F.max(F.struct("matched", (-F.col("first_token")).alias("early"), "windows", "slots", "replaced"))
