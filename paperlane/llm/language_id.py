@@ -33,7 +33,13 @@ def grams(word: str) -> list[str]:
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters; signs for numbers, which the pattern takes for letters, part them."""
+    if not text:
+        return []
+    found = _WORD.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, found)):
+        return found
+    return [part for w in found for part in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 @dataclass
@@ -165,8 +171,8 @@ class Judge:
 def predict(docs: DataFrame, filters: Filters, keep: list[str] = ["doc_id"]) -> DataFrame:
     """`keep` columns of every row with lang_pred and score (the language's part of all corrected counts).
 
-    Only the text is looked at. Null texts and texts without a letter are `und` with score 0; repeated rows get equal answers;
-    ties go to the first language by name; without learned languages all are `und`.
+    Only the text is looked at, the whole of it. Null texts and texts without a letter are `und` with score 0; repeated rows get equal
+    answers; ties go to the first language by name, also that of a text whose n-grams no language has (score 0); without learned languages all are `und`.
     """
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double"
     spread = docs.sparkSession.sparkContext.broadcast(filters)  # bounded by the shares in learn()
