@@ -146,10 +146,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, w
     rows = rows.groupBy("doc_id", "text_hash", "doc_tokens", "curve").agg(F.count(F.lit(1)).alias("times"))
     rows = rows.withColumn("size", F.col("doc_tokens") * F.col("times"))
     starts, total = running_start(rows, ["curve", "doc_id", "text_hash"], "size")
-    row_key = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("row_key")
-    starts = starts.select(row_key, "text_hash", "doc_tokens", "start")
-    nth = F.row_number().over(W.partitionBy("row_key", "text_hash").orderBy("start")) - 1
-    at = placed.select("doc_id", "text_hash", "ids", row_key).join(starts, ["row_key", "text_hash"])
+    starts = starts.select(F.col("doc_id").alias("its_id"), F.col("text_hash").alias("its_hash"), "doc_tokens", "start")
+    nth = F.row_number().over(W.partitionBy("doc_id", "text_hash").orderBy("start")) - 1
+    same = F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("text_hash") == F.col("its_hash"))
+    at = placed.select("doc_id", "text_hash", "ids").join(starts, same)
     at = at.select("doc_id", "ids", (F.col("start") + nth * F.col("doc_tokens")).alias("start"))
     # whole sequences, then the powers of two that the rest is made of
     whole, rest = divmod(total, length)

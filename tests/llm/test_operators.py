@@ -114,6 +114,10 @@ def test_packing_keeps_every_id_once_and_pads_nothing(docs, odd, plain):
                 at += length
             assert at == 2048 or (at < 2048 and at & (at - 1) == 0)
     assert rows_of(packing.pack(odd.limit(0), queries.tokenizer())) == []
+    clash = odd.sparkSession.createDataFrame([(None, "same text"), (-(1 << 63), "same text"), (None, "same text"), ((1 << 63) - 1, "")], "doc_id long, text string")
+    pieces = rows_of(packing.pack(clash, queries.tokenizer(), with_ids=True))
+    assert Counter(r["doc_id"] for r in pieces if r["start"] == 0) == {None: 2, -(1 << 63): 1, (1 << 63) - 1: 1}
+    assert sum(r["length"] for r in pieces) == 3 * len(plain("same text", 1)) + 1
 
 
 def test_hilbert_neighbours_touch():
@@ -260,6 +264,8 @@ def test_language_accuracy_and_odd_rows(spark, odd):
     strange = {(r["doc_id"], r["text"]): (r["lang_pred"], r["score"]) for r in rows_of(language_id.predict(odd, filters, ["doc_id", "text"]))}
     for (doc, text), (lang, score) in strange.items():
         assert (lang == "und") == (not text or not any(c.isalpha() for c in text)) and 0 <= score <= 1, doc
+    signs = odd.sparkSession.createDataFrame([(1, "½ ①②"), (2, "² Ⅷ 12"), (3, "１２ ٣"), (4, "½ x")], "doc_id long, text string")
+    assert [r["lang_pred"] == "und" for r in rows_of(language_id.predict(signs, filters))] == [True, True, True, False]
     nothing = language_id.learn(docs.limit(0))
     assert {r["lang_pred"] for r in rows_of(language_id.predict(odd, nothing))} == {"und"}
     assert rows_of(language_id.predict(docs.limit(0), filters)) == []
@@ -380,6 +386,13 @@ def test_templates_find_other_numbers_and_names_if_consistent(spark):
     bench = spark.createDataFrame([(*r, "x") for r in items], "item_id long, text string, doc_id string")
     got = {(r["doc_id"], r["item_id"]): r["replaced"] for r in rows_of(templates.find_leaks(frame, bench))}
     assert got == {(1, 1): 0, (None, 1): 0, (2, 1): 4, (6, 4): 0}
+    # a decimal number is one value; two names of the item may not become one
+    numbers = spark.createDataFrame([(1, "when Anna buys 12 apples and 3 pears for the whole class how much does Anna pay at the end to Bob")], "item_id long, text string")
+    texts = spark.createDataFrame(
+        [(1, "when Carla buys 1.5 apples and 1,200 pears for the whole class how much does Carla pay at the end to Dan"), (2, "when Carla buys 1.5 apples and 1,200 pears for the whole class how much does Carla pay at the end to Carla"), (3, "when Carla buys 7 apples and 7 pears for the whole class how much does Carla pay at the end to Dan")],
+        "doc_id long, text string",
+    )
+    assert {r["doc_id"] for r in rows_of(templates.find_leaks(texts, numbers))} == {1}
     assert rows_of(templates.find_leaks(frame.limit(0), bench)) == [] == rows_of(templates.find_leaks(frame, bench.limit(0)))
 
 
