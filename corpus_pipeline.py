@@ -27,10 +27,16 @@ def language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group: that of the smallest id, equal rows once. Texts without words are groups of their own."""
-    found = group_join.join_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(found, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]) if docs.columns else kept
+    """One document of each group: that of the smallest id, null ids last. Texts without words are groups of their own.
+
+    Rows are told apart by a number of their own, so rows that share an id or have none are judged each by its text.
+    """
+    numbered = written(docs.withColumn("_row_no", F.monotonically_increasing_id()), "numbered")
+    groups = group_join.join_groups(numbered.select(F.col("_row_no").alias("doc_id"), "text"))
+    groups = groups.select(F.col("doc_id").alias("_row_no"), "component_id")
+    ranked = numbered.select("_row_no", F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash")).join(groups, "_row_no")
+    first = ranked.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_hash", "_row_no")).alias("first"))
+    return numbered.join(first.select("first._row_no"), "_row_no", "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
