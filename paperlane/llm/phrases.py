@@ -6,7 +6,7 @@ enough, bound the most. Each round takes the next first words of every language
 phrases word by word, keeping prefixes that occur `least` times. A language is settled when its `top`-th surviving score is above the bound of all
 first words left, so that not even a tie can come from them; the others go on with more words.
 
-Texts are tokenised once, into written blocks of word numbers. The counts of frequent words go back to the blocks by a join. A pass over the
+Texts are tokenised once, into written blocks of word numbers, and the counts of frequent words go back to the blocks. A pass over the
 blocks counts grams whose prefix is in a set of at most `KEYS` keys, sent to the tasks; a larger set takes more
 passes. One more pass counts the right-hand parts of the cuts and looks at the neighbours of each phrase: a longer phrase is
 as frequent only if every occurrence has the same word on one side.
@@ -276,7 +276,8 @@ def mine(docs: DataFrame, least: int = 100, top: int = 2000, first_words: int =
     counts = words.groupBy("lang", F.col("word.words").alias("word")).agg(F.sum("word.counts").alias("f"))
     vocabulary = written(counts.where(F.col("f") >= least).withColumn("id", F.xxhash64("lang", "word")), "vocabulary")
     totals = written(blocks.groupBy("lang").agg(F.sum(F.expr("aggregate(counts, 0L, (s, x) -> s + x)")).alias("n")), "totals")
-    known = words.select("block", (F.col("at") + 1).alias("code"), F.xxhash64("lang", "word.words").alias("id")).join(vocabulary.select("id", "f"), "id")
+    everywhere = F.sum("word.counts").over(W.partitionBy("lang", "word.words"))  # a narrow row for each block that has the word
+    known = words.select("block", (F.col("at") + 1).alias("code"), F.xxhash64("lang", "word.words").alias("id"), everywhere.alias("f")).where(F.col("f") >= least)
     known = known.groupBy("block").agg(F.collect_list(F.struct("code", "id", "f")).alias("known"))  # at most the distinct words of a block
     grams = written(blocks.select("block", "lang", "codes").join(known, "block").select("lang", "codes", "known"), "grams")
     # first words of each language by frequency, rarest first, with the number of words up to there

@@ -407,8 +407,12 @@ def test_pipeline_stages(spark, docs, odd):
     assert kept.count() == len(lettered)
     single = corpus_pipeline.near_duplicates(spark, kept, DATA)
     assert single.columns == given.columns
-    groups = brute_groups([(r["doc_id"], r["text"]) for r in lettered])
-    assert {r["doc_id"] for r in single.collect()} == {c for _, _, c in groups if c is not None}
+    # one row of each group, the smallest id first, null ids last; rows that share an id are told apart
+    rows = sorted(lettered, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))
+    groups = {c for (_, _, c), n in brute_groups([(i, r["text"]) for i, r in enumerate(rows)]).items()}
+    assert Counter((r["doc_id"], r["text"]) for r in single.collect()) == Counter((rows[c]["doc_id"], rows[c]["text"]) for c in groups)
+    shared = spark.createDataFrame([(1, "a a a a a b"), (2, "a a a a a b"), (2, "other words that stand alone here"), (None, "no id but a text of its own"), (None, "a a a a a b")], "doc_id long, text string")
+    assert Counter(map(tuple, corpus_pipeline.near_duplicates(spark, shared, DATA).collect())) == Counter([(1, "a a a a a b"), (2, "other words that stand alone here"), (None, "no id but a text of its own")])
     clean = corpus_pipeline.decontaminate(spark, single, DATA)
     leaking = {r["doc_id"] for r in templates.find_leaks(single, spark.read.parquet(f"{DATA}/benchmark.parquet")).collect()}
     assert leaking and {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in single.collect()} - leaking
