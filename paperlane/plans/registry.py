@@ -410,7 +410,7 @@ def x16_drop_private_keys(spark, sf_dir):
     objects = view(spark, sf_dir, "llm_responses").withColumn("o", F.expr(jsontext.strict_object("response")))
     found = objects.selectExpr("doc_id", f"{jsontext.fields_of('o')} AS f")
     clean = found.selectExpr("doc_id", "coalesce(size(f), 0) AS before", f"{jsontext.drop_private_keys('f')} AS f")
-    return clean.selectExpr("doc_id", "before", _joined("array_sort(map_keys(f))", "names"))
+    return clean.selectExpr("doc_id", "before", "coalesce(array_join(array_sort(map_keys(f)), '|'), '') AS names")
 
 
 @query
