@@ -8,7 +8,6 @@ language, corrected for the filter's false positives, and the largest count deci
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,7 +23,8 @@ SIZES = (2, 3, 4)
 HASHES = 4
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-WORDS_KEPT = 200_000
+WORDS_KEPT = 150_000
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
 
 def grams(word: str) -> list[str]:
@@ -56,21 +56,41 @@ class Filters:
         bits = np.zeros((size, max(1, len(languages))), bool)
         number = {lang: i for i, lang in enumerate(languages)}
         if kept:
-            at = positions([g for g, _ in kept], size)
+            at = positions(hashes_at(*laid_out([g for g, _ in kept])), size)
             bits[at.ravel(), np.repeat([number[lang] for _, lang in kept], HASHES)] = True
         return cls(languages, np.packbits(bits, axis=1), bits.mean(axis=0) ** HASHES)
 
     def languages_of(self, texts: list[str]) -> np.ndarray:
         """Row for each gram: 1 where the language's filter contains it."""
-        found = np.bitwise_and.reduce(self.rows[positions(texts, len(self.rows))], axis=1)
-        return np.unpackbits(found, axis=1)[:, : max(1, len(self.languages))]
+        return self.of_hashes(hashes_at(*laid_out(texts)))
 
+    def of_hashes(self, hashes: np.ndarray) -> np.ndarray:
+        found = self.rows[positions(hashes, len(self.rows))]
+        return np.unpackbits(np.bitwise_and.reduce(found, axis=1), axis=1)[:, : max(1, len(self.languages))]
 
-def positions(texts: list[str], size: int) -> np.ndarray:
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    first = np.array([zlib.crc32(x) for x in raw], np.uint64)
-    second = np.array([zlib.crc32(x, 0x9E3779B9) for x in raw], np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20) | np.uint64(1)
-    return np.stack([(first + np.uint64(i) * second) % np.uint64(size) for i in range(HASHES)], axis=1).astype(np.int64)
+
+def laid_out(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all texts in a row, where each text starts, and its length."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    return codes, np.cumsum(sizes) - sizes, sizes
+
+
+def hashes_at(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run of `sizes` code points from `starts` on."""
+    h = sizes.astype(np.uint64)
+    for k in range(int(sizes.max(initial=0))):
+        inside = sizes > k
+        at = slice(None) if inside.all() else inside
+        x = h[at] * _ODD[0] + codes[starts[at] + k]
+        h[at] = (x ^ (x >> np.uint64(29))) * _ODD[1]
+    return h ^ (h >> np.uint64(32))
+
+
+def positions(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The HASHES positions of each hash in a filter whose size is a power of two."""
+    step = hashes >> np.uint64(33) | np.uint64(1)
+    return np.stack([(hashes + np.uint64(i) * step) & np.uint64(size - 1) for i in range(HASHES)], axis=1).astype(np.int64)
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -98,7 +118,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                 seen.setdefault(lang, Counter()).update(words_of(text))
             if sum(map(len, seen.values())) > WORDS_KEPT:
                 fold()
-            if sum(map(len, total.values())) > 1_000_000:
+            if sum(map(len, total.values())) > 400_000:
                 yield from flush()
         yield from flush()
 
@@ -135,14 +155,17 @@ class Judge:
         self.hits = np.zeros((0, 1 + max(1, len(self.filters.languages))), np.int32)
 
     def add(self, words: list[str]) -> None:
-        of_word = [grams(w) for w in words]
-        flat = [g for gs in of_word for g in gs]
-        distinct = list(dict.fromkeys(flat))
-        at = {g: i for i, g in enumerate(distinct)}
-        vectors = self.filters.languages_of(distinct).astype(np.int32)[[at[g] for g in flat]]
-        starts = np.cumsum([0] + [len(gs) for gs in of_word[:-1]])
-        sums = np.add.reduceat(vectors, starts, axis=0)
-        counts = np.array([len(gs) for gs in of_word], np.int32)[:, None]
+        codes, starts, sizes = laid_out([f"_{w}_" for w in words])
+        counts = np.zeros((len(words), 1), np.int32)
+        sums = np.zeros((len(words), max(1, len(self.filters.languages))), np.int32)
+        for n in SIZES:
+            many = np.maximum(sizes - n + 1, 0)  # grams of n letters in each word
+            edges = np.concatenate([[0], np.cumsum(many)])
+            at = np.repeat(starts - edges[:-1], many) + np.arange(edges[-1])
+            found = self.filters.of_hashes(hashes_at(codes, at, np.full(len(at), n)))
+            before = np.vstack([np.zeros((1, found.shape[1]), np.int32), np.cumsum(found, axis=0, dtype=np.int32)])
+            sums += before[edges[1:]] - before[edges[:-1]]
+            counts += many[:, None].astype(np.int32)
         self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
         self.hits = np.vstack([self.hits, np.hstack([counts, sums])])
 
@@ -168,22 +191,24 @@ class Judge:
         return out
 
 
-def predict(docs: DataFrame, filters: Filters, keep: list[str] = ["doc_id"]) -> DataFrame:
+def predict(docs: DataFrame, filters: Filters, keep: list[str] = ["doc_id"], text: str = "text") -> DataFrame:
     """`keep` columns of every row with lang_pred and score (the language's part of all corrected counts).
 
-    Only the text is looked at, the whole of it. Null texts and texts without a letter are `und` with score 0; repeated rows get equal
+    Only the column `text` is looked at, the whole of it; if it is kept, it travels once. Null texts and texts without a letter are `und` with score 0; repeated rows get equal
     answers; ties go to the first language by name, also that of a text whose n-grams no language has (score 0); without learned languages all are `und`.
     """
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double"
     spread = docs.sparkSession.sparkContext.broadcast(filters)  # bounded by the shares in learn()
+    at = keep.index(text) if text in keep else len(keep)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(spread.value)
         for b in slices(batches):
-            found = judge.judge(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([x for x, _ in found]), pa.array([s for _, s in found], pa.float64())], [*keep, "lang_pred", "score"])
+            found = judge.judge(b.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array([x for x, _ in found]), pa.array([s for _, s in found], pa.float64())], [*keep, "lang_pred", "score"])
 
-    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(answer, schema)
+    sent = keep if text in keep else [*keep, F.col(text).alias("_text")]
+    return docs.select(*sent).mapInArrow(answer, schema)
 
 
 def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
