@@ -1,6 +1,6 @@
 """Packing along a space-filling curve.
 
-Each document is hashed to a vector of signed word counts, projected to a few dimensions, and placed on a
+Each document is hashed to a vector of signed counts of its token ids, projected to a few dimensions, and placed on a
 Hilbert curve; documents are range-sorted by their place, so like follows like. The sorted ids are one stream,
 cut every `length` ids; what is left at the end is cut at powers of two. So no sequence needs padding, and
 neighbours on the curve share sequences.
@@ -55,30 +55,20 @@ def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-class _Buckets(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = code = zlib.crc32(word.encode("utf-8", "surrogatepass")) % (2 * BUCKETS)
-        return code
-
-
 @functools.cache
 def _planes() -> np.ndarray:
     return np.random.default_rng(20).standard_normal((BUCKETS, DIMENSIONS))
 
 
-def project(texts: list[str], buckets: _Buckets) -> np.ndarray:
-    out = np.zeros((len(texts), DIMENSIONS))
-    for i, text in enumerate(texts):
-        words = text.split()
-        if words:
-            counts = np.bincount(np.fromiter(map(buckets.__getitem__, words), np.int64, len(words)), minlength=2 * BUCKETS)
-            vector = (counts[:BUCKETS] - counts[BUCKETS:]).astype(float)
-            vector = np.sign(vector) * np.log1p(np.abs(vector))
-            size = np.linalg.norm(vector)
-            out[i] = vector / size @ _planes() if size else 0
-    return out
+def project(ids: list[np.ndarray]) -> np.ndarray:
+    """A point for each document: signed counts of its hashed ids, damped and of length one, on a few fixed planes."""
+    flat = np.concatenate(ids).astype(np.uint64) if ids else np.zeros(0, np.uint64)
+    bucket = ((flat + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % (2 * BUCKETS)
+    row = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+    counts = np.bincount(row * (2 * BUCKETS) + bucket, minlength=len(ids) * 2 * BUCKETS).reshape(len(ids), 2 * BUCKETS)
+    vectors = (counts[:, :BUCKETS] - counts[:, BUCKETS:]).astype(float)
+    vectors = np.sign(vectors) * np.log1p(np.abs(vectors))
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9) @ _planes()
 
 
 def running_start(df: DataFrame, order: list[str], size: str) -> tuple[DataFrame, int]:
@@ -120,14 +110,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, w
     width = "<u2" if encoder(tokenizer).narrow else "<u4"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, buckets = encoder(tokenizer), _Buckets()
+        code = encoder(tokenizer)
         for b in slices(batches):
-            texts = b.column(2).to_pylist()
-            ids = code.encode(texts)
-            sizes = [len(x) // 4 + 1 for x in ids]
-            if width == "<u2":
-                ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
-            at = project(texts, buckets)
+            ids = [np.frombuffer(x, "<u4").astype(width) for x in code.encode(b.column(2).to_pylist())]
+            sizes = [len(x) + 1 for x in ids]
+            at = project(ids)
+            ids = [x.tobytes() for x in ids]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), *(pa.array(at[:, d]) for d in range(DIMENSIONS)), pa.array(ids, pa.binary())], ["doc_id", "text_hash", "doc_tokens", *(f"p{d}" for d in range(DIMENSIONS)), "ids"])
 
     schema = "doc_id long, text_hash long, doc_tokens long" + "".join(f", p{d} double" for d in range(DIMENSIONS)) + ", ids binary"
