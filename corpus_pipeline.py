@@ -21,9 +21,11 @@ def language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     Filters are learned from the stage's own rows with a lang, those not held out.
     """
     filters = language_id.learn(docs.where(~language_id.held_out(F.col("doc_id"))))
-    known = language_id.predict(docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)], F.col("text")), filters, [f"_c{i}" for i in range(len(docs.columns))])
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    renamed = docs.select(*[F.col(c).alias(n) for n, c in zip(names, docs.columns)])
+    known = language_id.predict(renamed, filters, names, text=names[docs.columns.index("text")])
     kept = known.where(F.col("lang_pred") != language_id.UNDETERMINED)
-    return kept.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
