@@ -26,11 +26,21 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """`df` as a written table: computed once, its lineage cut, safe from lost executors."""
+def written(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
+    """`df` as a written table: computed once, its lineage cut, safe from lost executors.
+
+    With `batch_rows`, at most so many rows go to Python at once, for rows that are large; the session's own number comes back after.
+    """
     spark = df.sparkSession
-    path = new_folder(spark, label)
-    df.write.parquet(path)
+    path, key = new_folder(spark, label), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        if batch_rows:
+            spark.conf.set(key, batch_rows)
+        df.write.parquet(path)
+    finally:
+        if batch_rows:
+            spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
