@@ -1,8 +1,8 @@
 """Secrets in texts: three fixed patterns, and literals assigned to names that promise a secret.
 
-The second part reads source and configuration syntax: `name = "literal"`, `"name": "literal"`, `export NAME=value`,
-`name := other + "literal"`. Constants are carried on to the names built from them, and a literal is scored by the
-words of the names it ends in and by its own form.
+`lexing` reads source and configuration syntax into pairs of a name and its literals or other names. Constants are
+carried on to the names built from them, before or behind their use, and a literal is scored by the words of the names it
+ends in and by its own form. Values are summed up by their characters, so no literal, name or chain is too long.
 """
 
 from __future__ import annotations
@@ -10,13 +10,16 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._ids import slices
+from .lexing import Assignment, assignments
 
 # The three kinds as they are asked for, in their order, and the kind that lexing adds
 KINDS = ("assign", "access", "hex", "literal")
@@ -30,14 +33,7 @@ STRONG = {"password", "passwd", "pwd", "passphrase", "secret", "secrets", "token
 PAIRS = {("api", "key"), ("access", "key"), ("private", "key"), ("secret", "key"), ("auth", "key"), ("signing", "key"), ("encryption", "key"), ("account", "key"), ("client", "key"), ("master", "key")}
 WEAK = {"auth": 0.6, "bearer": 0.6, "pass": 0.6, "cred": 0.6, "creds": 0.6, "key": 0.4, "salt": 0.4}
 HINTS = ("pass", "pwd", "secret", "token", "key", "cred", "auth", "bearer", "salt")
-EXAMPLES = re.compile(r"(?i)^(?:change_?me|example|sample|dummy|placeholder|none|null|true|false|your|todo|test|xxx|\*+|\.\.\.|<|\$\{|\{\{|%\()|^(.)\1*$")
-
-_NAME = r"[A-Za-z_][A-Za-z0-9_.-]{0,80}"
-_STRING = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
-_PAIR = re.compile(rf"""(?<![A-Za-z0-9_.-])["']?({_NAME})["']?(?:[ \t]*:[ \t]*[A-Za-z_][\w\[\]]*)?[ \t]*(?::=|=>|=(?!=)|:)[ \t]*((?:[rbfu]?{_STRING}|{_NAME})(?:[ \t]*\+[ \t]*(?:{_STRING}|{_NAME}))*)""")
-_PART = re.compile(rf"[rbfu]?({_STRING})|({_NAME})")
-_LINE = re.compile(rf"(?m)^[ \t]*(?:export[ \t]+|set[ \t]+)?({_NAME})[ \t]*[=:][ \t]*([^\s\"'#;]+)[ \t]*$")
-
+EXAMPLES = re.compile(r"(?i)^(?:change_?me|example|sample|dummy|placeholder|none|null|true|false|your|todo|test|xxx|\*+|\.\.\.|<|\$\{|\{\{|%\(|\[secret\])")
 
 def words_of_name(name: str) -> list[str]:
     parts = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name)
@@ -51,45 +47,106 @@ def name_score(name: str) -> float:
     return max((WEAK.get(w, 0.0) for w in words), default=0.0)
 
 
-def literal_score(value: str) -> float:
+@dataclass(frozen=True)
+class Form:
+    """What a score needs of a value: its length, its characters with their counts, its beginning. Forms of parts add up."""
+
+    counts: Counter
+    head: str
+
+    def __add__(self, other: Form) -> Form:
+        return Form(self.counts + other.counts, (self.head + other.head)[:16])
+
+
+def form_of(value: str) -> Form:
+    return Form(Counter(value), value[:16])
+
+
+def literal_score(form: Form) -> float:
     """0 for short, blank-holding or example values; else up to 1 with kinds of characters and entropy."""
-    if len(value) < 8 or EXAMPLES.search(value) or any(c.isspace() for c in value):
+    counts, size = form.counts, form.counts.total()
+    if size < 8 or len(counts) == 1 or EXAMPLES.search(form.head) or any(c.isspace() for c in counts):
         return 0.0
-    kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
+    kinds = sum(any(map(f, counts)) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    entropy = -sum(n / size * math.log2(n / size) for n in counts.values())
     return min(1.0, 0.25 * (kinds - 1) + 0.15 * max(0.0, entropy - 1))
 
 
+def solve(text: str, assigned: list[Assignment], threshold: float) -> set[tuple[int, int]]:
+    """Spans of the literals that end in a name of enough promise, through any number of names between.
+
+    A name means what was last assigned to it before, or else what is first assigned to it later; of several values it
+    means the longest, the first of equals. Names in a circle add nothing where the circle closes.
+    """
+    places: dict[str, list[int]] = {}
+    for i, a in enumerate(assigned):
+        places.setdefault(a.name, []).append(i)
+
+    def meant(name: str, i: int) -> int | None:
+        where = places.get(name, [])
+        at = bisect_left(where, i)
+        return where[at - 1] if at else where[0] if where and assigned[i].name != name else None
+
+    def opened(i: int) -> list[list[tuple | int]]:
+        """Values of an assignment as spans and numbers of other assignments."""
+        own = meant(assigned[i].name, i) if assigned[i].adds else None
+        rows = []
+        for value in assigned[i].values:
+            row: list[tuple | int] = [] if own is None else [own]
+            for part in value:
+                names = [part[1]] if part[0] == "name" else text[part[1] : part[2]].split("+") if part[0] == "bare" else []
+                known = [meant(n.lstrip("$"), i) for n in names]
+                if part[0] != "name" and (None in known or not known):
+                    row.append((part[1], part[2]))
+                else:
+                    row += [k for k in known if k is not None]
+            rows.append(row)
+        return rows
+
+    rows = [opened(i) for i in range(len(assigned))]
+    forms: list[list[Form] | None] = [None] * len(assigned)
+    best = [0] * len(assigned)
+    nothing = form_of("")
+    begun: set[int] = set()
+    for first in range(len(assigned)):
+        stack = [first]
+        while stack:
+            i = stack[-1]
+            if forms[i] is not None:
+                stack.pop()
+                continue
+            if i not in begun:
+                begun.add(i)
+                stack += [p for row in rows[i] for p in row if isinstance(p, int) and p not in begun]
+                continue
+            forms[i] = []
+            for row in rows[i]:
+                total = nothing
+                for p in row:
+                    total += (forms[p][best[p]] if forms[p] else nothing) if isinstance(p, int) else form_of(text[slice(*p)])
+                forms[i].append(total)
+            best[i] = max(range(len(rows[i])), key=lambda k: forms[i][k].counts.total())
+            stack.pop()
+
+    reached = [(i, k) for i, a in enumerate(assigned) if (promise := name_score(a.name)) for k, form in enumerate(forms[i]) if promise * literal_score(form) >= threshold]
+    seen, found = set(reached), set()
+    while reached:
+        i, k = reached.pop()
+        for p in rows[i][k]:
+            if not isinstance(p, int):
+                found.add(p)
+            elif (p, best[p]) not in seen:
+                seen.add((p, best[p]))
+                reached.append((p, best[p]))
+    return found
+
+
 def lexed_spans(text: str, threshold: float = 0.4) -> list[tuple[int, int]]:
-    """Spans of literals that reach a name of enough promise; a constant counts for the best name it ends in."""
+    """Spans of literals that reach a name of enough promise; comments are read apart from the code."""
     low = text.lower()
-    if not ("=" in text or ":" in text) or not any(h in low for h in HINTS):
+    if not any(s in text for s in ("=", ":", "</", "define")) or not any(h in low for h in HINTS):
         return []
-    values: dict[str, tuple[str, list[tuple[int, int]]]] = {}
-    found: set[tuple[int, int]] = set()
-    pairs = [(m.start(), m.group(1), m.start(2), m.group(2), False) for m in _PAIR.finditer(text)]
-    pairs += [(m.start(1), m.group(1), m.start(2), m.group(2), True) for m in _LINE.finditer(text)]
-    for _, name, at, expression, bare in sorted(pairs):
-        value, spans = "", []
-        if bare:
-            value, spans = values.get(expression) or (expression, [(at, at + len(expression))])
-        else:
-            for p in _PART.finditer(expression):
-                if p.group(1):
-                    value += p.group(1)[1:-1]
-                    if len(p.group(1)) > 2:
-                        spans = [*spans, (at + p.start(1) + 1, at + p.end(1) - 1)]
-                elif p.group(2) in values:
-                    more, places = values[p.group(2)]
-                    value, spans = value + more, [*spans, *places]
-                if len(value) > 4096:
-                    break
-        if not spans or len(value) > 4096:
-            continue
-        values[name] = (value, spans)
-        if name_score(name) * literal_score(value) >= threshold:
-            found.update(spans)
-    return sorted(found)
+    return sorted(set().union(*(solve(text, assigned, threshold) for assigned in assignments(text))))
 
 
 def find_spans(text: str) -> list[tuple[int, int, int]]:
@@ -130,7 +187,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """For every row: doc_id, n_assign, n_access, n_hex, n_literal, base_sha256, spans.
 
     Spans are kind:start:end in code points, end exclusive, in order of start, then kind. Null and empty texts have none;
-    repeated rows get equal answers, null ids stay. Only doc_id and text are looked at.
+    repeated rows get equal answers, null ids stay. Texts, names and literals of any length are read whole, one text in memory
+    at a time; of equal spans of several kinds each stays, in the order of kinds. Only doc_id and text are looked at, so
+    other columns may have any name.
     """
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_literal long, base_sha256 string, spans string"
 

@@ -309,12 +309,77 @@ def test_secret_base_spans(docs, odd):
         ("title = 'a7R!t5Zp0aLx'", []),
         ("private_key = 'changeme123!'", []),
         ("the key: they went home and the pass was open", []),
+        ('db_password = "Zx81"\ndb_password += "kQ9!mLw2"\n', ["Zx81", "kQ9!mLw2"]),
+        ('passphrase = """q7R!t5Zp0aLx"""', ["q7R!t5Zp0aLx"]),
+        ('auth_token = ("q7R!t5"\n   "Zp0aLx9")\n', ["q7R!t5", "Zp0aLx9"]),
+        ("client_key: |\n  q7R!t5Zp0aLx\n  zP0!aaX19kk\nport: 80\n", ["q7R!t5Zp0aLx", "zP0!aaX19kk"]),
+        ('<add key="DbPassword" value="q7R!t5Zp0aLx"/>', ["q7R!t5Zp0aLx"]),
+        ("<passphrase>q7R!t5Zp0aLx</passphrase>", ["q7R!t5Zp0aLx"]),
+        ('<property name="auth.key">q7R!t5Zp0aLx</property>', ["q7R!t5Zp0aLx"]),
+        ('def f():\n  passphrase = LATE\nLATE = "q7R!t5Zp0aLx"\n', ["q7R!t5Zp0aLx"]),
+        ("passphrase = q7R!t5Zp0aLx # note\n", ["q7R!t5Zp0aLx"]),
+        ('base = "Zx81kQ"\ntoken_x = f"{base}9!mLw2"\n', ["Zx81kQ", "9!mLw2"]),
+        ('const base = "Zx81kQ";\nconst tokenX = `${base}9!mLw2`;\n', ["Zx81kQ", "9!mLw2"]),
+        ('# passphrase = "q7R!t5Zp0aLx"\n', ["q7R!t5Zp0aLx"]),
+        ('# base = "q7R!t5Zp0aLx"\nbase = "z"\npassphrase = base\n', []),
+        ('#define SIGNING_KEY "q7R!t5Zp0aLx"\n', ["q7R!t5Zp0aLx"]),
+        ('passphrase: str = "q7R!t5Zp0aLx"', ["q7R!t5Zp0aLx"]),
+        ('passphrase: Optional[str] = "q7R!t5Zp0aLx"', ["q7R!t5Zp0aLx"]),
+        ('cfg["passphrase"] = "q7R!t5Zp0aLx"', ["q7R!t5Zp0aLx"]),
+        ("passphrase = os.getenv('X') or 'q7R!t5Zp0aLx'", ["q7R!t5Zp0aLx"]),
+        ("passphrase = os.environ['APP_PASSPHRASE_9x']", []),
+        ("signing_keys = ['q7R!t5Zp0aLx', 'zP0!aaX19kk']; secrets = ['q7R!t5Zp0aLx', 'zP0!aaX19kk']", ["q7R!t5Zp0aLx", "zP0!aaX19kk"]),
+        ("$pw = 'Zx81kQ' . '9!mLw2'; $passphrase = $pw;", ["Zx81kQ", "9!mLw2"]),
+        ("passphrase = base64.b64decode('q7R!t5Zp0aLx').decode()", ["q7R!t5Zp0aLx"]),
+        ("a = b\nb = a\npassphrase = a + 'q7R!t5Zp0aLx'", ["q7R!t5Zp0aLx"]),
+        ("x" * 100 + "_passphrase = 'q7R!t5Zp0aLx'", ["q7R!t5Zp0aLx"]),
+        ("passphrase = '" + "q7R!t5Zp0aLx" * 1000 + "'", ["q7R!t5Zp0aLx" * 1000]),
+        ("it's the user's passphrase = 'q7R!t5Zp0aLx'", ["q7R!t5Zp0aLx"]),
+        ("passphrase = b'q7R!t5Zp0aLx'", ["q7R!t5Zp0aLx"]),
+        ("password = getpass('Enter9!xQzz')", []),
+        ("passphrase = 'abc' if x else 'q7R!t5Zp0aLx'", ["q7R!t5Zp0aLx"]),
+        ("passphrase = x ? 'q7R!t5Zp0aLx' : 'zP0!aaX19kk'", ["q7R!t5Zp0aLx", "zP0!aaX19kk"]),
+        ("server:\n  - passphrase: q7R!t5Zp0aLx\n", ["q7R!t5Zp0aLx"]),
+        ('String authToken = "q7R!t5Zp0aLx"; // "z"', ["q7R!t5Zp0aLx"]),
+        ("login(user='u', passphrase='q7R!t5Zp0aLx')", ["q7R!t5Zp0aLx"]),
+        ("PASSPHRASE ?= q7R!t5Zp0aLx\n", ["q7R!t5Zp0aLx"]),
+        ('passphrase := "q7R!t5Zp0aLx"\n', ["q7R!t5Zp0aLx"]),
+        ('passphrase: "[secret]"\n', []),
+        ("passphrase =\n", []),
+        ("=", []),
+        (": :", []),
+        ("passphrase: [", []),
+        ("passphrase = f'{", []),
     ],
 )
 def test_lexed_literals(text, found):
     assert [text[a:b] for a, b in secret_scan.lexed_spans(text)] == found
 
 
+def test_every_way_of_writing_an_assignment_finds_the_planted_literal():
+    """Random literals, each in every form, with names that promise a secret and names that do not."""
+    forms = ['{n} = "{v}"', "{n}: '{v}'", '"{n}": "{v}",', "{n} = {v}", "export {n}={v}", '{n} := "{v}"', "${n} = '{v}';", 'x["{n}"] = "{v}"', "<{n}>{v}</{n}>", '<p name="{n}" value="{v}"/>', "#define {n} \"{v}\"", "{n}: |\n  {v}", 'zq = "{v}"\n{n} = zq', '{n} = zq\nzq = "{v}"', '# {n} = "{v}"', '{n}: str = """{v}"""']
+    value = lambda i: "".join(c + d for c, d in zip(hashlib.md5(str(i).encode()).hexdigest()[:7], "kR7zQ2W"))
+    for i, form in enumerate(forms * 5):
+        v = value(i)
+        for name, want in (("db_passphrase", [v]), ("signingKey", [v]), ("headline", [])):
+            text = "It's prose, isn't it?\n" + form.replace("{n}", name).replace("{v}", v) + "\nand \"more\" of it\n"
+            assert [text[a:b] for a, b in secret_scan.lexed_spans(text)] == want, text
+
+
+@pytest.mark.parametrize("piece", ["key = ('a' ", "/* key=", "key = # ", "<key a=", "key += 'ab'\n", "key = k or ", "key: |\n", '\\"key=', "key[key] = ", "{'key': ["])
+def test_lexing_takes_time_in_proportion(piece):
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        secret_scan.lexed_spans("x = '" + piece * n)
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(16_000) < 30 * max(seconds(2_000), 0.02)  # 8 in proportion, 64 by the square
+
+
 def test_redaction_merges_overlaps(odd):
     text = "x token = 0123456789abcdef0123456789abcdef0123 y"
     assert secret_scan.redacted(text, secret_scan.find_spans(text)) == "x [secret] y"
