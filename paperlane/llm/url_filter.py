@@ -1,7 +1,7 @@
 """URL rules by host suffix and path prefix, found through short hash prefixes.
 
-Each distinct (host, path) expands to its host suffixes joined with those beginnings of its path that have the length
-of some rule's path. An expression meets a rule by an equi-join on the first bytes of its SHA-256; the full digest
+Each distinct (host, path) expands to those host suffixes that have as many labels as some rule's host, joined with
+those beginnings of its path that have the length of some rule's path. An expression meets a rule by an equi-join on the first bytes of its SHA-256; the full digest
 confirms it, and the longest rule wins.
 """
 
@@ -15,10 +15,13 @@ def _after_scheme(url: Column) -> Column:
     return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
 
 
+def _lower(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def host_of(url: Column) -> Column:
     """From after the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; empty without `://` or url."""
-    host = F.regexp_extract(_after_scheme(url), r"\A[^/?#]*", 0)
-    return F.coalesce(F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
+    return F.coalesce(_lower(F.regexp_extract(_after_scheme(url), r"\A[^/?#]*", 0)), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
@@ -42,13 +45,16 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", prefix: int
     `prefix`: hex digits of the digest that are joined on.
     """
     pages = urls.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    known = rules.select(F.lower("host").alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), F.col("verdict").alias("r_verdict")).where("r_host is not null")
+    known = rules.select(_lower(F.col("host")).alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), F.col("verdict").alias("r_verdict")).where("r_host is not null")
     known = known.withColumn("r_digest", _digest(F.col("r_host"), F.col("r_path"))).withColumn("short", F.substring("r_digest", 1, prefix))
-    # the lengths that rules' paths have: at most as many as the longest path has characters
-    lengths = sorted(r["n"] for r in known.select(F.length("r_path").alias("n")).distinct().collect())
+    # lengths of rules' paths and labels of rules' hosts: at most as many as the longest of them has characters
+    labels_of = lambda host: F.split(host, r"\.", -1)
+    measures = known.agg(F.collect_set(F.length("r_path")).alias("lengths"), F.collect_set(F.size(labels_of("r_host"))).alias("labels")).first()
+    lengths, counts = sorted(measures["lengths"]), sorted(measures["labels"])
     seen = pages.select("host", "path").where("host <> ''").distinct()
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    labels = labels_of("host")
+    several = F.filter(F.array(*map(F.lit, counts)).cast("array<int>"), lambda n: n <= F.size(labels))
+    suffixes = F.transform(several, lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
     fitting = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("path"))
     expressions = seen.select("host", "path", fitting.alias("sizes"), F.explode(suffixes).alias("suffix"))
     expressions = expressions.select("host", "path", "suffix", F.explode("sizes").alias("n"))
