@@ -1,10 +1,10 @@
 """Deterministic sharded WARC files.
 
-Where shards begin is decided by the data: bytes are summed in equal bins of the id range, and shards are
-runs of bins of about equal bytes. Each shard is sorted by id and written by one task, which starts a new file when
-the compressed size reaches a limit. Headers and digests are made anew from the payload, record ids are derived from
-it, so the same rows give the same files on any cluster. Files get their name by renaming, and a manifest with
-sizes and digests, written last, commits the archive.
+Records are range-sorted by page id and digest. Where shards begin is decided by the data alone: bytes are summed along
+that order, and a shard begins at the first record beyond each equal share. Each shard is written by one task, which
+starts a new file when the compressed size reaches a limit. Headers and digests are made anew from the payload, record ids are
+derived from it, so the same rows give the same files on any cluster. Files get their name by renaming, and a manifest
+with sizes and digests, written last, commits the archive.
 """
 
 from __future__ import annotations
@@ -12,26 +12,28 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import math
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
 
 from ._ids import slices
-from ._store import file_system, put_file
+from ._store import file_system, put_file, written
 
-BINS = 1 << 14
+SHARDS = 1 << 14  # at most; beyond them shards grow and hold more files
+KEY = ["page_id", "digest", "url_hash"]
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
 def payloads(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload (UTF-8 of html, null: empty), digest and size of every row."""
+    """page_id, url, payload (UTF-8 of html, null: empty), digest, size and url_hash of every row."""
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
     rows = pages.select("page_id", "url", payload.alias("payload"))
-    return rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
+    return rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long"), "url_hash": F.xxhash64("url")})
 
 
 def origins(rows: DataFrame, least: int = 1000) -> DataFrame:
@@ -45,24 +47,47 @@ def origins(rows: DataFrame, least: int = 1000) -> DataFrame:
     return rows.distinct().join(last, "digest").where(F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to")))
 
 
-def shard_column(rows: DataFrame, shard_bytes: int) -> tuple[Column, int]:
-    """Shard number of each row and count of shards; what comes to the driver is one sum for each of at most `BINS` bins."""
-    low, high = rows.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return F.lit(0), 1
-    width = -(-(high - low + 1) // BINS)
-    bin_of = F.coalesce(F.floor((F.col("page_id") - low) / width), F.lit(0)).cast("int")
-    sums = sorted(rows.groupBy(bin_of.alias("bin")).agg(F.sum(F.col("size") + 500).alias("n")).collect())
-    edges, at, shard = [], 0, 0
-    for r in sums:
-        if at and at + r["n"] > shard_bytes:
-            shard, at = shard + 1, 0
-            edges.append(r["bin"])
-        at += r["n"]
-    if not edges:
-        return F.lit(0), 1
-    table = F.array(*[F.lit(e) for e in edges]) if len(edges) < 500 else F.split(F.lit(",".join(map(str, edges))), ",").cast("array<int>")
-    return F.size(F.filter(table, lambda e: e <= bin_of)), len(edges) + 1
+def shard_starts(rows: DataFrame, shard_bytes: int) -> list[Row]:
+    """Least keys of the shards after the first, in order; at most `SHARDS`, whatever the rows are.
+
+    `rows`: page_id, digest, url_hash, size. Sums run along the order of the keys, so the answer does not depend on how rows lie
+    in partitions. Many rows of one id are told apart by digest and url; records that are alike in all stay in one shard.
+    """
+    keys = rows.groupBy(*KEY).agg(F.sum(F.col("size") + 500).alias("n"))
+    ranges = written(keys.repartitionByRange(*KEY).withColumn("part", F.spark_partition_id()), "warc-keys")
+    sums = {r["part"]: r["n"] for r in ranges.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # a row for each partition
+    total, before = 0, []
+    for part in sorted(sums):
+        before.append((part, total))
+        total += sums[part]
+    step = max(shard_bytes, -(-total // SHARDS))
+    if total <= step:
+        return []
+    offsets = rows.sparkSession.createDataFrame(before, "part int, before long")
+    along = Window.partitionBy("part").orderBy(*KEY).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = ranges.withColumn("upto", F.sum("n").over(along)).join(offsets, "part")
+    share = F.floor((F.col("before") + F.col("upto") - F.col("n")) / F.lit(step))
+    starts = placed.groupBy(share.alias("share")).agg(F.min(F.struct(*KEY)).alias("start"))
+    return [r["start"] for r in sorted(starts.collect(), key=lambda r: r["share"])][1:]
+
+
+def shard_column(starts: list[Row]) -> Callable[[Column, Column, Column], Column]:
+    """Number of the shard that a key belongs to: first the block of starts, then the start in it."""
+    if not starts:
+        return lambda *key: F.lit(0)
+    width = math.isqrt(len(starts)) + 1
+    blocks = [starts[i : i + width] for i in range(0, len(starts), width)]
+    kind = "array<array<struct<page_id: bigint, digest: string, url_hash: bigint>>>"
+    table = F.from_json(F.lit(json.dumps([[r.asDict() for r in b] for b in blocks])), kind)
+    heads = F.from_json(F.lit(json.dumps([b[0].asDict() for b in blocks])), kind[6:-1])
+
+    def number(page_id: Column, digest: Column, url_hash: Column) -> Column:
+        key = F.struct(page_id.alias("page_id"), digest.alias("digest"), url_hash.alias("url_hash"))
+        block = F.size(F.filter(heads, lambda e: e <= key))
+        inside = F.size(F.filter(F.element_at(table, F.greatest(block, F.lit(1))), lambda e: e <= key))
+        return F.when(block == 0, F.lit(0)).otherwise((block - 1) * width + inside)
+
+    return number
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
@@ -97,11 +122,12 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 def write_warc(pages: DataFrame, folder: str, least: int = 1000, shard_bytes: int = 16 << 20, file_bytes: int = 16 << 20, level: int = 6, date: str = "2024-01-01T00:00:00Z") -> dict:
     """Write page_id, url, html of every row as compressed WARC files; returns the manifest.
 
-    See `origins` for revisits; each page's origin travels as a row of its own and meets the page by the sort, so payloads are shuffled once. Null urls give records without a target, null ids records without an id; repeated rows are
+    See `origins` for revisits; each page's origin travels as a row of its own, to every shard that its key reaches, and meets the page by
+    the sort, so payloads are shuffled once. One payload is in memory at a time. Null urls give records without a target, null ids records without an id; repeated rows are
     repeated records; an empty table gives a manifest without files. Other columns are not looked at.
     """
     rows = payloads(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")))
-    sizes = pages.select(F.col("page_id").cast("long"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("size"))
+    small = written(rows.select(*KEY, "size"), "warc-sizes")
     filesystem, path = file_system(folder)
     filesystem.create_dir(path)
 
@@ -116,15 +142,13 @@ def write_warc(pages: DataFrame, folder: str, least: int = 1000, shard_bytes: in
             files.move(state["temporary"], f"{where}/{state['name']}")
             return [{"name": state["name"], "records": state["records"], "bytes": state["bytes"], "sha1": state["sha1"].hexdigest()}]
 
-        done, told, told_of = [], {}, None
+        done, told, told_of = [], None, None
         for batch in slices(batches):
-            for shard, page_id, kind, digest, url, payload, origin in zip(*(c.to_pylist() for c in batch.columns)):
+            for shard, page_id, digest, kind, _, url, payload, origin in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind == 0:
-                    if page_id != told_of:
-                        told, told_of = {}, page_id
-                    told[digest] = origin
+                    told, told_of = origin, (page_id, digest)
                     continue
-                refers_to = told.get(digest) if page_id == told_of else None
+                refers_to = told if told_of == (page_id, digest) else None
                 if shard != state["shard"] or state["bytes"] >= file_bytes:
                     done += close()
                     number = 0 if shard != state["shard"] else state["number"] + 1
@@ -141,11 +165,14 @@ def write_warc(pages: DataFrame, folder: str, least: int = 1000, shard_bytes: in
         if done:
             yield pa.RecordBatch.from_pylist(done)
 
-    shard, shards = shard_column(sizes, shard_bytes)
-    known = origins(rows, least).select("page_id", F.lit(0).alias("kind"), "digest", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "refers_to")
-    full = rows.select("page_id", F.lit(1).alias("kind"), "digest", "url", "payload", F.lit(None).cast("long").alias("refers_to"))
-    order = ["shard", "page_id", "kind", "digest", "url"]
-    dealt = full.unionByName(known).withColumn("shard", shard).repartition(shards, "shard").sortWithinPartitions(*order)
+    starts = shard_starts(small, shard_bytes)
+    shard = shard_column(starts)
+    page_id, digest = F.col("page_id"), F.col("digest")
+    reached = F.sequence(shard(page_id, digest, F.lit(-(1 << 63))), shard(page_id, digest, F.lit((1 << 63) - 1)))
+    known = origins(small, least).select(F.explode(reached).alias("shard"), "page_id", "digest", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("url_hash"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "refers_to")
+    full = rows.select(shard(page_id, digest, F.col("url_hash")).alias("shard"), "page_id", "digest", F.lit(1).alias("kind"), "url_hash", "url", "payload", F.lit(None).cast("long").alias("refers_to"))
+    order = ["shard", "page_id", "digest", "kind", "url_hash", "url"]
+    dealt = full.unionByName(known).repartitionById(len(starts) + 1, "shard").sortWithinPartitions(*order)
     found = dealt.select(*order, "payload", "refers_to").mapInArrow(write, "name string, records long, bytes long, sha1 string").collect()  # a row for each file
     manifest = {"files": [r.asDict() for r in sorted(found, key=lambda r: r["name"])]}
     put_file(filesystem, f"{path}/manifest.json", json.dumps(manifest).encode())

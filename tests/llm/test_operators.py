@@ -225,6 +225,32 @@ def test_warc_round_trip(spark):
     assert rows_of(warc.read_warc(spark, to)) == []
 
 
+def test_warc_shards_follow_the_bytes_not_the_ids(spark):
+    """One far id, extreme ids, most rows under one id or none: shards stay near their share and the order holds."""
+    far = [(i, f"u{i}", f"{i} " * 300) for i in range(200)] + [((1 << 63) - 1, "u", "x"), (-(1 << 63), "u", "y")]
+    hot = [(7 if i % 3 else None, f"u{i}", f"{i % 20} " * 700) for i in range(150)]
+    same = "z" * 2000
+    alike = [(7, f"u{i}", same) for i in range(60)] + [(9, "u", same)]  # one key over several shards refers to one origin
+    for rows in (far, hot, alike):
+        frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+        to = new_folder(spark, "test-warc")
+        files = warc.write_warc(frame, to, shard_bytes=20_000)["files"]
+        total = sum(len(h) + 500 for _, _, h in rows)
+        assert total // 20_000 <= len(files) <= total // 20_000 + 1
+        per_file = 20_000 // min(len(h) + 500 for _, _, h in rows) + 2
+        assert max(f["records"] for f in files) <= max(per_file, 2)
+        got = rows_of(warc.read_warc(spark, to))
+        assert Counter((r["page_id"], r["url"]) for r in got) == Counter((i, u) for i, u, _ in rows)
+        last = {}
+        for i, _, h in rows:
+            if i is not None and len(h) >= 1000:
+                last[h] = max(last.get(h, i), i)
+        by_url = {(i, u): h for i, u, h in rows}
+        for r in got:
+            origin = last.get(by_url[r["page_id"], r["url"]])
+            assert r["refers_to"] == (origin if origin != r["page_id"] else None)
+
+
 # --- search ------------------------------------------------------------------------------------------------------
 
 
