@@ -484,6 +484,10 @@ def test_templates_find_other_numbers_and_names_if_consistent(spark):
         "doc_id long, text string",
     )
     assert {r["doc_id"] for r in rows_of(templates.find_leaks(texts, numbers))} == {1}
+    # items of mostly numbers are found with their own values, long and short ones; other numbers are no leak
+    sums = spark.createDataFrame([(1, "12 plus 30 minus 7 times 4 is 17 or 9 by 3"), (2, "1 2 3 4 5 6"), (3, items[0][1])], "item_id long, text string")
+    texts = spark.createDataFrame([(1, "we ask 12 plus 30 minus 7 times 4 is 17 or 9 by 3 now"), (2, "12 plus 31 minus 7 times 5 is 17 or 8 by 3"), (3, "so 1 2 3 4 5 6 it is"), (4, "1 2 3 4 5 7 8 9"), (5, same.replace("miles", "mi"))], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in rows_of(templates.find_leaks(texts, sums))} == {(1, 1), (3, 2), (5, 3)}
     assert rows_of(templates.find_leaks(frame.limit(0), bench)) == [] == rows_of(templates.find_leaks(frame, bench.limit(0)))
 
 
