@@ -47,29 +47,38 @@ def name_score(name: str) -> float:
     return max((WEAK.get(w, 0.0) for w in words), default=0.0)
 
 
+KINDS_OF_CHARACTERS = (str.isspace, str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum())
+
+
 @dataclass(frozen=True)
 class Form:
-    """What a score needs of a value: its length, its characters with their counts, its beginning. Forms of parts add up."""
+    """What a score needs of a value: counts of its characters, their kinds, its beginning. Forms of parts add up.
+
+    Characters count by the last byte of their code point, so a form is small whatever the value is.
+    """
 
     counts: Counter
+    kinds: tuple[bool, ...]
     head: str
 
     def __add__(self, other: Form) -> Form:
-        return Form(self.counts + other.counts, (self.head + other.head)[:16])
+        return Form(self.counts + other.counts, tuple(map(max, self.kinds, other.kinds)), (self.head + other.head)[:16])
 
 
 def form_of(value: str) -> Form:
-    return Form(Counter(value), value[:16])
+    exact, counts = Counter(value), Counter()
+    for c, n in exact.items():
+        counts[ord(c) & 255] += n
+    return Form(counts, tuple(any(map(f, exact)) for f in KINDS_OF_CHARACTERS), value[:16])
 
 
 def literal_score(form: Form) -> float:
     """0 for short, blank-holding or example values; else up to 1 with kinds of characters and entropy."""
     counts, size = form.counts, form.counts.total()
-    if size < 8 or len(counts) == 1 or EXAMPLES.search(form.head) or any(c.isspace() for c in counts):
+    if size < 8 or len(counts) == 1 or EXAMPLES.search(form.head) or form.kinds[0]:
         return 0.0
-    kinds = sum(any(map(f, counts)) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
     entropy = -sum(n / size * math.log2(n / size) for n in counts.values())
-    return min(1.0, 0.25 * (kinds - 1) + 0.15 * max(0.0, entropy - 1))
+    return min(1.0, 0.25 * (sum(form.kinds) - 1) + 0.15 * max(0.0, entropy - 1))
 
 
 def solve(text: str, assigned: list[Assignment], threshold: float) -> set[tuple[int, int]]:
