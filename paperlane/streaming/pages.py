@@ -25,6 +25,15 @@ def stream_pages(spark: SparkSession, path: str, schema: str, glob: str = "*.par
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(path)
 
 
+def stream_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Unbounded rows of a parquet table, whether it is one file or a folder of them.
+
+    A stream's path has to be a folder, unless it is a pattern; this one fits its own path only.
+    """
+    path = path.rstrip("/")
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def join_responses(pages: DataFrame, responses: DataFrame, within: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Pages with the model's `response` that came `within` that time of them; NULL once none can come any more.
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperlane.operators import admission, layout, metrics, results, userfn
-from paperlane.plans import batch, documents
+from paperlane.plans import batch, documents, registry
 from paperlane.sources import readers, versions, writers
 from paperlane.streaming import pages as streams
 
@@ -345,3 +345,21 @@ def test_cuts_are_parameters(spark):
     parts = [F.lit("s"), F.lit("f"), F.lit("d"), F.lit(0.5), F.col("t")]
     md, html = frame.select(writers.render_markdown(*parts, chars=11), writers.render_html(*parts, chars=13)).first()
     assert "x" * 11 in md and "x" * 12 not in md and "x" * 13 in html and "x" * 14 not in html
+
+
+def _document_tables(spark, folder):
+    """The same documents as one file and as a folder of three."""
+    rows = [(i, f"INVOICE {i}\n\nTotal: ${i}.50\n\nend", "en", "web", 20) for i in range(1, 40)] + [(40, None, None, None, None)]
+    docs = spark.createDataFrame(rows, registry._DOCUMENTS)
+    docs.repartition(3).write.parquet(f"{folder}/many/documents.parquet")
+    docs.coalesce(1).write.parquet(f"{folder}/single")
+    os.mkdir(f"{folder}/one")
+    part = next(f for f in os.listdir(f"{folder}/single") if f.endswith(".parquet"))
+    os.link(f"{folder}/single/{part}", f"{folder}/one/documents.parquet")
+    return f"{folder}/one", f"{folder}/many"
+
+
+def test_pages_stream_from_a_table_of_several_files(spark, folder):
+    one, many = (registry.t1_stream_pages(spark, d).select("doc_id", "page", "error", "document_type") for d in _document_tables(spark, folder))
+    assert one.count() == 39 * 3
+    assert sorted(one.collect()) == sorted(many.collect())
