@@ -363,3 +363,9 @@ def test_pages_stream_from_a_table_of_several_files(spark, folder):
     one, many = (registry.t1_stream_pages(spark, d).select("doc_id", "page", "error", "document_type") for d in _document_tables(spark, folder))
     assert one.count() == 39 * 3
     assert sorted(one.collect()) == sorted(many.collect())
+
+
+def test_documents_are_combined_from_a_table_of_several_files(spark, folder):
+    one, many = (registry.t2_stream_combine(spark, d) for d in _document_tables(spark, folder))
+    assert one.count() == 39
+    assert sorted(one.collect()) == sorted(many.collect())
