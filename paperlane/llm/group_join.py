@@ -24,6 +24,7 @@ from ._ids import slices
 from ._store import written
 
 WORDS = 5
+LEAST = 4  # n-grams of a set that may be linked with a different one: 4 of 5 are 80 percent, 3 of 4 are no more than 75
 GROUPINGS = 4  # hash functions that groups are formed by
 BINS = 32  # of hash values, whose first n-grams tell how close a set is to others
 SHARED = 2  # n-grams that the first parts of two linked sets share at least
@@ -106,8 +107,8 @@ def summarize(docs: DataFrame, size: int = WORDS) -> DataFrame:
                 ns.append(len(s))
                 node = _node(s) if len(s) else None
                 nodes.append(node)
-                mins.append([int(x) for x in np.array([_mix(s * odd).min() for odd in _ODD[:GROUPINGS]]).view(np.int64)] if len(s) >= WORDS else None)
-                firsts.append(_firsts(s) if len(s) >= WORDS else None)
+                mins.append([int(x) for x in np.array([_mix(s * odd).min() for odd in _ODD[:GROUPINGS]]).view(np.int64)] if len(s) >= LEAST else None)
+                firsts.append(_firsts(s) if len(s) >= LEAST else None)
                 if node is not None and node not in seen:  # copies are one set
                     seen.add(node)
                     stretch.append(s)
@@ -163,7 +164,7 @@ def matrix_rows(docs: DataFrame, table: np.ndarray, percent: int, size: int = WO
             tokens, nodes = [], []
             for text in b.column(0).to_pylist():
                 s = shingles(text, hashes, size)
-                if len(s) < WORDS:
+                if len(s) < LEAST:
                     continue
                 node = _node(s)
                 if node in seen:
@@ -258,7 +259,7 @@ def join_groups(docs: DataFrame, percent: int = 80, size: int = WORDS) -> DataFr
 
     Words are lower-cased in A-Z and split at ASCII white space. Null, empty and wordless texts have an empty set and are linked
     with nothing. Equal texts are linked, repeated rows too; the answer of a row with a null id is that of its text. Other columns are not
-    looked at; an empty table gives no rows. Needs percent > 75, by which sets below five n-grams are linked only if equal.
+    looked at; an empty table gives no rows. Needs percent > 75, by which sets below four n-grams are linked only if equal.
     """
     if not 75 < percent <= 100:
         raise ValueError("percent must be above 75 and at most 100")

@@ -455,6 +455,15 @@ def test_group_join_matches_brute_force(spark, docs, odd):
     assert rows_of(group_join.join_groups(odd.limit(0))) == []
 
 
+def test_group_join_links_four_of_five(spark):
+    """Four n-grams against the same and a fifth are 80 percent; three against four are 75."""
+    word = lambda n: " ".join(f"w{n}x{i}" for i in range(9))
+    rows = [(1, " ".join(word(1).split()[:8])), (2, word(1)), (3, word(2)), (4, " ".join(word(2).split()[1:]))]
+    rows += [(5, " ".join(word(3).split()[:7])), (6, " ".join(word(3).split()[:8]))]
+    got = group_join.join_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {1: (4, 1), 2: (5, 1), 3: (5, 3), 4: (4, 3), 5: (3, 5), 6: (4, 6)}
+
+
 def test_leaks(spark, docs, texts):
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
     got = {(r["doc_id"], r["item_id"]) for r in rows_of(templates.find_leaks(docs, spark.read.parquet(f"{DATA}/benchmark.parquet")))}
