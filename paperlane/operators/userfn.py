@@ -15,6 +15,24 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
+#: Bytes of results that a task holds before they go on.
+HELD = 4 << 20
+
+
+def _in_turn(batches: Iterator[pa.RecordBatch], rows: int, work: Callable[[list[dict]], list[dict]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """What `work` makes of `rows` rows at a time. Only these are Python objects; results are kept as Arrow until they fill a batch."""
+    for batch in batches:
+        held, size = [], 0
+        for at in range(0, batch.num_rows, rows):
+            held.append(pa.Table.from_pylist(work(batch.slice(at, rows).to_pylist()), schema=schema))
+            size += held[-1].nbytes
+            if size > HELD:
+                yield from pa.concat_tables(held).combine_chunks().to_batches()
+                held, size = [], 0
+        if held:
+            yield from pa.concat_tables(held).combine_chunks().to_batches()
+
+
 def apply_per_document(
     df: DataFrame, fn: Callable[[dict], dict], result_schema: str, key: str = "doc_id", agent: str = "user"
 ) -> DataFrame:
@@ -35,9 +53,9 @@ def apply_per_document(
         import datetime
         import time
 
-        for batch in batches:
+        def work(rows: list[dict]) -> list[dict]:
             out = []
-            for row in batch.to_pylist():
+            for row in rows:
                 start, began = datetime.datetime.now(datetime.timezone.utc), time.perf_counter()
                 result, error = None, None
                 try:
@@ -58,7 +76,9 @@ def apply_per_document(
                         "result": result,
                     }
                 )
-            yield from pa.Table.from_pylist(out, schema=arrow).to_batches()
+            return out
+
+        return _in_turn(batches, 20, work, arrow)
 
     return df.mapInArrow(run, envelope)
 
@@ -90,13 +110,10 @@ def apply_in_batches(
     schema = f"{key_types}, items array<struct<{item_schema}>>"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
+    def work(rows: list[dict]) -> list[dict]:
+        return [{**{k: row[k] for k in keys}, "items": found} for row, found in zip(rows, attempt(rows))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            items = []
-            for at in range(0, len(rows), batch_size):
-                items += attempt(rows[at : at + batch_size])
-            out = [{**{k: row[k] for k in keys}, "items": found} for row, found in zip(rows, items)]
-            yield from pa.Table.from_pylist(out, schema=arrow).to_batches()
+        return _in_turn(batches, batch_size, work, arrow)
 
     return df.mapInArrow(run, schema)

@@ -369,3 +369,18 @@ def test_documents_are_combined_from_a_table_of_several_files(spark, folder):
     one, many = (registry.t2_stream_combine(spark, d) for d in _document_tables(spark, folder))
     assert one.count() == 39
     assert sorted(one.collect()) == sorted(many.collect())
+
+
+def test_user_code_holds_one_batch_of_rows_at_a_time():
+    import pyarrow as pa
+
+    given, schema = pa.RecordBatch.from_pydict({"n": list(range(1000))}), pa.schema([("n", pa.int64()), ("t", pa.string())])
+    seen = []
+
+    def work(rows):
+        seen.append([r["n"] for r in rows])
+        return [{"n": r["n"], "t": "x" * 100_000} for r in rows]
+
+    out = list(userfn._in_turn(iter([given, given]), 5, work, schema))
+    assert max(map(len, seen)) == 5 and len(seen) == 400 and max(b.nbytes for b in out) < 2 * userfn.HELD
+    assert [n for b in out for n in b.column(0).to_pylist()] == list(range(1000)) * 2
