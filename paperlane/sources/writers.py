@@ -14,8 +14,11 @@ def write_json(results: DataFrame, path: str, mode: str = "errorifexists") -> No
 
 
 def write_json_run(results: DataFrame, path: str, run: str) -> bool:
-    """The results of a run as a version of the table at `path`; a run that failed is simply written again."""
-    return write_version(results, path, run, "json", ignoreNullFields=False)
+    """The results of a run as a version of the table at `path`; a run that failed is simply written again.
+
+    Each row repeats all keys and fixed texts, so files are written with gzip, which Spark's readers undo.
+    """
+    return write_version(results, path, run, "json", ignoreNullFields=False, compression="gzip")
 
 
 def pretty_json(results: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -384,3 +384,12 @@ def test_user_code_holds_one_batch_of_rows_at_a_time():
     out = list(userfn._in_turn(iter([given, given]), 5, work, schema))
     assert max(map(len, seen)) == 5 and len(seen) == 400 and max(b.nbytes for b in out) < 2 * userfn.HELD
     assert [n for b in out for n in b.column(0).to_pylist()] == list(range(1000)) * 2
+
+
+def test_json_runs_take_little_space(spark, folder):
+    rows = spark.range(2000).selectExpr("id AS doc_id", "repeat('the same words in each row ', 40) AS text", "string(NULL) AS note")
+    assert writers.write_json_run(rows, folder + "/runs", "first")
+    files = [os.path.join(d, f) for d, _, names in os.walk(folder + "/runs/versions") for f in names if f.startswith("part-")]
+    assert sum(map(os.path.getsize, files)) < 200_000
+    read = versions.read_versions(spark, folder + "/runs", rows.schema, "json")
+    assert sorted(read.collect()) == sorted(rows.collect())
