@@ -134,11 +134,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, w
     rows = rows.groupBy("doc_id", "text_hash", "doc_tokens", "curve").agg(F.count(F.lit(1)).alias("times"))
     rows = rows.withColumn("size", F.col("doc_tokens") * F.col("times"))
     starts, total = running_start(rows, ["curve", "doc_id", "text_hash"], "size")
-    starts = starts.select(F.col("doc_id").alias("its_id"), F.col("text_hash").alias("its_hash"), "doc_tokens", "start")
-    nth = F.row_number().over(W.partitionBy("doc_id", "text_hash").orderBy("start")) - 1
-    same = F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("text_hash") == F.col("its_hash"))
-    at = placed.select("doc_id", "text_hash", "ids").join(starts, same)
-    at = at.select("doc_id", "ids", (F.col("start") + nth * F.col("doc_tokens")).alias("start"))
+    # one key of plain columns for the join and for the numbers of equal rows, so the ids are shuffled once
+    key = [F.coalesce("doc_id", F.lit(0)).alias("id_or_0"), F.col("doc_id").isNull().alias("no_id"), "text_hash"]
+    key_names = ["id_or_0", "no_id", "text_hash"]
+    starts = starts.select(*key, "doc_tokens", "start")
+    nth = F.row_number().over(W.partitionBy(*key_names).orderBy("start")) - 1
+    at = placed.select(*key, "ids").join(starts, key_names)
+    at = at.select(F.when(~F.col("no_id"), F.col("id_or_0")).alias("doc_id"), "ids", (F.col("start") + nth * F.col("doc_tokens")).alias("start"))
     # whole sequences, then the powers of two that the rest is made of
     whole, rest = divmod(total, length)
     cuts = [whole * length]

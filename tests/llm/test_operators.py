@@ -127,6 +127,16 @@ def test_hilbert_neighbours_touch():
     assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
 
 
+def test_packing_shuffles_the_ids_once(spark, docs):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        plan = packing.pack(docs.limit(50), queries.tokenizer())._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 2, plan  # ids and starts, each to the join alone
+
+
 # --- language-model scores -----------------------------------------------------------------------------------------
 
 
