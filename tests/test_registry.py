@@ -55,3 +55,9 @@ def test_only_the_file_catalog_has_no_sql(spark):
 def test_entry(spark):
     rows = driver.entry(spark).collect()
     assert sum(r.documents for r in rows) == 1500
+
+
+@pytest.mark.parametrize("name", ["x7_fallback_report", "v1_field_dispatch"])
+def test_costly_rows_are_dealt_to_all_partitions(spark, name):
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan, plan
