@@ -188,6 +188,38 @@ def test_suffix_tree_states_are_distributions(spark):
         assert abs(sum(10 ** np.array(p)) - 1) < 1e-6
 
 
+def test_suffix_tree_keeps_states_of_rare_words(spark):
+    """Words of far less than a thousandth of all tokens are contexts, alone and in pairs, and are continued by rare ones."""
+    rng = np.random.default_rng(2)
+    filler = [f"f{i}" for i in range(4000)]
+    lines = [(i, " ".join(["rare", f"turn{i % 2}", f"end{i % 2}", *rng.choice(filler, 1500)])) for i in range(40)]
+    probes = [(100, "rare turn0 end0"), (101, "rare turn0 end1")]
+    scored = suffix_tree.score(spark.createDataFrame(lines + probes, "doc_id long, text string"), F.col("doc_id") >= 100)
+    got = {r["doc_id"]: r["score"] - r["base_score"] for r in scored.where("held_out").collect()}
+    assert got[100] > 4 and got[100] > got[101] + 2
+    tokens = [suffix_tree.tokens_of(t) for _, t in lines]
+    counts = Counter(w for ts in tokens for w in ts)
+    order = sorted(counts, key=lambda w: (-counts[w], w))
+    number, contexts = {w: i + 1 for i, w in enumerate(order)}, sum(counts[w] >= 20 for w in order)
+    want = Counter()
+    for ts in tokens:
+        for i, w in enumerate(ts):
+            one = number[(ts[i - 1] if i else b"\n")]
+            two = number[ts[i - 2]] if i > 1 else number[b"\n"] if i == 1 else 0
+            want[one, number[w]] += one <= contexts
+            if one <= contexts and 0 < two <= contexts:
+                want[one | two << suffix_tree.CONTEXT_BITS, number[w]] += 1
+    frame = spark.createDataFrame(lines, "doc_id long, text string").withColumn("held_out", F.lit(False))
+    hashes = [xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in order]
+    all_counts = Counter({(r["state"], r["word"]): r["n"] for r in suffix_tree.count_contexts(frame, contexts, hashes, 2).collect()})
+    assert all_counts == +want
+    size = Counter()
+    for (state, _), n in want.items():
+        size[state] += n
+    frequent = suffix_tree.count_contexts(frame, contexts, hashes, 2, 20).collect()
+    assert {(r["state"], r["word"]): r["n"] for r in frequent if size[r["state"]] >= 20} == {k: n for k, n in want.items() if n and size[k[0]] >= 20}
+
+
 # --- urls and archives -------------------------------------------------------------------------------------------
 
 
