@@ -4,8 +4,10 @@
 compared with the group's head, the node with most in common with the others; linked ones become one larger group. 3. The
 matrix lists, for each n-gram, the groups whose token union has it. Which n-grams enter is decided by a common order, rarest first: two sets similar enough share at
 least `SHARED` of the first ones of each. So a node's overlap with the union of a group bounds its overlap with any member, and
-only groups that reach the bound, which rises with the sizes of both, are opened. 4. The node is compared, as a whole set, with the
-node that names the group, and if they are still apart with the members of the opened group that reach the bound themselves.
+only groups that reach the bound, which rises with the sizes of both, are opened. A node and a group meet only by an n-gram that can be
+the first one that the node shares with a member: both have enough n-grams from there on. Near copies whose own changes fill that
+part do not meet, however many they are. 4. The node, of the smaller group, is compared as a whole set with the most shared node of the other group,
+and if they are still apart with the members of the opened group that reach the bound themselves.
 
 All links between different texts count in the components; none is lost to a cap. Nodes and n-grams are known by 64-bit hashes.
 """
@@ -146,22 +148,24 @@ def frequency_table(rows: DataFrame) -> np.ndarray:
 
 
 def first_part(s: np.ndarray, table: np.ndarray, percent: int) -> np.ndarray:
-    """The rarest n-grams of a set: as many as leave `SHARED` of them to any set of `percent` overlap."""
+    """The rarest n-grams of a set in their order: as many as leave `SHARED` of them to any set of `percent` overlap."""
     keep = len(s) - -(-percent * len(s) // 100) + SHARED
-    if keep >= len(s):
-        return s
     order = np.argsort(table[_slot(s)].astype(np.uint64) << np.uint64(56) | s >> np.uint64(8), kind="stable")  # ties in the order of the hash: one order for all sets
     return s[order[:keep]]
 
 
 def matrix_rows(docs: DataFrame, table: np.ndarray, percent: int, size: int = WORDS) -> DataFrame:
-    """(token, node): the first part of each document's set; copies within a task once."""
+    """(token, node, reach): the first part of each document's set; copies within a task once.
+
+    Sets of n and m n-grams that are linked have percent * (n + m) / (100 + percent) in common or more. If an n-gram with i before it is the
+    first common one, none of the i is common; so 100 * n - (100 + percent) * i, its reach, is percent * m at least.
+    """
     spread = docs.sparkSession.sparkContext.broadcast(table)  # of fixed size
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, order, seen = _Hashes(), spread.value, set()
         for b in slices(batches):
-            tokens, nodes = [], []
+            tokens, nodes, reach = [], [], []
             for text in b.column(0).to_pylist():
                 s = shingles(text, hashes, size)
                 if len(s) < LEAST:
@@ -173,10 +177,11 @@ def matrix_rows(docs: DataFrame, table: np.ndarray, percent: int, size: int = WO
                 part = first_part(s, order, percent)
                 tokens.append(part)
                 nodes.append(np.full(len(part), node, np.int64))
+                reach.append(100 * len(s) - (100 + percent) * np.arange(len(part)))
             if tokens:
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(tokens)), pa.array(np.concatenate(nodes))], ["token", "node"])
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(tokens)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(reach))], ["token", "node", "reach"])
 
-    return docs.select("text").mapInArrow(work, "token long, node long")
+    return docs.select("text").mapInArrow(work, "token long, node long, reach long")
 
 
 def shared_least(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -289,24 +294,30 @@ def join_groups(docs: DataFrame, percent: int = 80, size: int = WORDS) -> DataFr
     # the matrix: n-grams that several groups have, with the groups
     by_token = W.partitionBy("token")
     cells = matrix_rows(docs, table, percent, size)
-    cells = cells.withColumns({"low": F.min("node").over(by_token), "high": F.max("node").over(by_token)}).where("low <> high").select("token", "node")
-    cells = cells.join(groups, "node", "left").select("token", "node", F.coalesce("component", "node").alias("group")).distinct()
+    cells = cells.withColumns({"low": F.min("node").over(by_token), "high": F.max("node").over(by_token)}).where("low <> high").select("token", "node", "reach")
+    cells = cells.join(groups, "node", "left").select("token", "node", "reach", F.coalesce("component", "node").alias("group")).distinct()
     cells = written(cells, "cells")
     matrix = cells.select("token", "group").distinct()
-    shared = matrix.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("token")
-    cells = written(cells.join(shared, "token", "left_semi"), "shared")
-    sizes = cells.groupBy("node").agg(F.count(F.lit(1)).alias("held")).join(known.select("node", "n"), "node")
-    cells = written(cells.join(sizes, "node"), "sized")
-    matrix = cells.groupBy("token", F.col("group").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("held").alias("most_held"))
+    shared = matrix.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("times")).where("low <> high").select("token", "times")
+    cells = written(cells.join(shared, "token"), "shared")
+    sizes = cells.groupBy("node").agg(F.count(F.lit(1)).alias("held"), F.sum("times").alias("score")).join(known.select("node", "n"), "node")
+    cells = written(cells.drop("times").join(sizes, "node"), "sized")
+    peers = cells.select("group", "node", "score").distinct().groupBy("group").agg(F.count(F.lit(1)).alias("many"), F.max(F.struct("score", "node")).alias("top"))
+    peers = written(peers.select("group", "many", F.col("top.node").alias("head")), "peers")
+    matrix = cells.groupBy("token", F.col("group").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("held").alias("most_held"), F.max(F.struct("reach", "node")).alias("best"))
+    matrix = written(matrix.withColumn("farthest", F.col("best.reach")), "matrix")
 
     # which groups a node's overlap with the union lets open: it must reach what the sizes of some member ask for
     smallest = F.greatest("least", F.ceil(F.col("n") * percent / 100 - 1e-6))
     largest = F.least("most", F.floor(F.col("n") * 100 / percent + 1e-6))
     asked = F.least(shared_least(F.col("n"), smallest, percent), shared_least(F.col("n"), largest, percent)) - 1
     within = (smallest <= largest) & (asked <= F.least("held", "most_held"))
-    met = cells.join(matrix, "token").where((F.col("group") < F.col("other")) & within)
-    met = met.groupBy("node", "other").agg(F.count(F.lit(1)).alias("overlap"), F.min("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
-    opened = written(met.where((F.col("overlap") >= SHARED) & (F.col("overlap") >= asked)).select("node", "other"), "opened")
+    # the smaller group's nodes meet the larger group by what may be their first common n-gram
+    begins = (F.col("reach") >= percent * smallest) & (F.col("farthest") >= percent * F.col("n"))
+    mine = cells.join(peers.drop("head"), "group")
+    theirs = matrix.join(peers.select(F.col("group").alias("other"), F.col("many").alias("other_many")), "other")
+    before = (F.col("many") < F.col("other_many")) | ((F.col("many") == F.col("other_many")) & (F.col("group") < F.col("other")))
+    begun = written(mine.join(theirs, "token").where(before & within & begins).select("node", "other").distinct(), "begun")
     size_a = known.select(F.col("node").alias("a"), F.col("n").alias("n_a"))
     size_b = known.select(F.col("node").alias("b"), F.col("n").alias("n_b"))
     fit = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
@@ -318,18 +329,34 @@ def join_groups(docs: DataFrame, percent: int = 80, size: int = WORDS) -> DataFr
         links = written(links.unionByName(linked(candidates, _sets(docs, candidates, known, size), percent)), "links", PAIRS_AT_ONCE)
         return links, written(components(links), "groups")
 
-    # first the node that a group is named by, which joins most copies of one text; whole groups only for what is still apart
-    named = opened.select(F.col("node").alias("a"), F.col("other").alias("b")).join(size_a, "a").join(size_b, "b").where(fit).select("a", "b")
+    # first the group's node that shares most, which joins most copies of one text; whole groups only for what is still apart
+    heads = peers.select(F.col("group").alias("other"), F.col("head").alias("b"))
+    named = begun.join(heads, "other").select(F.col("node").alias("a"), "b").join(size_a, "a").join(size_b, "b").where(fit).select("a", "b")
     several = groups.select(F.col("component").alias("other")).distinct()  # a group of one node is that node, compared now
     links, groups = compared(named, links, groups)
-    now = lambda name: groups.select(F.col("node").alias(name), F.col("component").alias(f"{name}_group"))
-    apart = opened.join(several, "other", "left_semi").join(now("node"), "node", "left").join(now("other"), "other", "left")
-    apart = apart.where(F.coalesce("node_group", "node") != F.coalesce("other_group", "other")).select(F.col("node").alias("a"), "other")
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        now = lambda name: groups.select(F.col("node").alias(name), F.col("component").alias(f"{name}_group"))
+        pairs = pairs.join(now("node"), "node", "left").join(now("other"), "other", "left")
+        return pairs.where(F.coalesce("node_group", "node") != F.coalesce("other_group", "other")).select("node", "other")
+
+    # of the rest only groups whose union has enough of the node's first part for some member are opened
+    met = apart(begun.join(several, "other", "left_semi")).join(cells, "node").join(matrix, ["token", "other"]).where(within)
+    met = met.groupBy("node", "other").agg(F.count(F.lit(1)).alias("overlap"), F.min("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+    opened = written(met.where((F.col("overlap") >= SHARED) & (F.col("overlap") >= asked)).select("node", "other"), "opened")
+    # for each n-gram that they may have as the first common one, the member that has the fewest n-grams before it
+    cells_a = cells.select(F.col("node").alias("a"), "token", F.col("n").alias("n_a"), F.col("held").alias("held_a"), F.col("reach").alias("reach_a"))
+    bests = matrix.select("token", "other", "least", "farthest", F.col("best.node").alias("b"))
+    begins = (F.col("reach_a") >= percent * F.col("least")) & (F.col("farthest") >= percent * F.col("n_a"))
+    nearest = opened.withColumnRenamed("node", "a").join(cells_a, "a").join(bests, ["token", "other"]).where(begins).select("a", "b").distinct()
+    links, groups = compared(nearest.join(size_a, "a").join(size_b, "b").where(fit).select("a", "b"), links, groups)
     # its members that have as many n-grams of the node's first part as the two sizes ask for
-    mine = apart.join(cells.select(F.col("node").alias("a"), "token", F.col("n").alias("n_a"), F.col("held").alias("held_a")), "a")
-    theirs = cells.select(F.col("node").alias("b"), F.col("group").alias("other"), "token", F.col("n").alias("n_b"), F.col("held").alias("held_b"))
+    cells_b = cells.select(F.col("node").alias("b"), F.col("group").alias("other"), "token", F.col("n").alias("n_b"), F.col("held").alias("held_b"), F.col("reach").alias("reach_b"))
     both = shared_least(F.col("n_a"), F.col("n_b"), percent)
-    met = mine.join(theirs, ["token", "other"]).where(fit & (both <= F.least("held_a", "held_b")))
+    begins = (F.col("reach_a") >= percent * F.col("n_b")) & (F.col("reach_b") >= percent * F.col("n_a"))
+    begun = apart(opened).withColumnRenamed("node", "a").join(cells_a, "a").join(cells_b, ["token", "other"]).where(fit & (both <= F.least("held_a", "held_b")) & begins)
+    begun = written(begun.select("a", "b").distinct(), "begun")
+    met = begun.join(cells_a, "a").join(cells_b, ["token", "b"])
     met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"), F.min("n_a").alias("n_a"), F.min("n_b").alias("n_b")).where((F.col("overlap") >= SHARED) & (F.col("overlap") >= both))
     links, groups = compared(met.select("a", "b"), links, groups)
 
