@@ -33,6 +33,7 @@ SHARED = 2  # n-grams that the first parts of two linked sets share at least
 SKETCH_BITS = 22  # of the table of repeated n-grams that orders them
 STRETCH = 1 << 21  # n-grams among which repeated ones are looked for
 BITMAP_BITS = 24
+TEXTS_AT_ONCE = 2000  # rows with a text that go to Python together
 PAIRS_AT_ONCE = 200  # pairs of whole sets that go to Python together
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -93,11 +94,12 @@ def summarize(docs: DataFrame, size: int = WORDS) -> DataFrame:
         filled, seen = 0, set()
 
         def fold() -> None:
-            found = np.sort(np.concatenate(stretch)) if stretch else np.zeros(0, np.uint64)
+            found = np.concatenate(stretch) if stretch else np.zeros(0, np.uint64)
+            stretch.clear()
+            found.sort()
             first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
             times = np.diff(np.append(first, len(found)))
             np.add.at(counts, _slot(found[first[times > 1]]), times[times > 1].astype(np.int32))
-            stretch.clear()
             seen.clear()
 
         names = ["doc_id", "n", "node", "mins", "firsts", "chunk", "counts"]
@@ -225,10 +227,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int = WORDS) -> DataFrame:
     spread = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap.ravel()))
 
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(spread.value)
-        hashes = _Hashes()
+        bits, hashes = spread.value, _Hashes()  # eight places a byte, the first is the highest bit
         for b in slices(batches):
-            b = b.filter(pa.array(bits[_place(b.column(0).to_numpy())].astype(bool)))
+            at = _place(b.column(0).to_numpy())
+            b = b.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
             if not b.num_rows:
                 continue
             sets = [shingles(t, hashes, size) for t in b.column(1).to_pylist()]
@@ -236,7 +238,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int = WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([_node(sets[i]) for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["doc_id", "node", "grams"])
 
     found = docs.select("doc_id", "text").mapInArrow(sieve, "doc_id long, node long, grams binary")
-    return written(found.join(wanted, ["doc_id", "node"], "left_semi").dropDuplicates(["doc_id", "node"]).select("node", "grams"), "sets")
+    return written(found.join(wanted, ["doc_id", "node"], "left_semi").dropDuplicates(["doc_id", "node"]).select("node", "grams"), "sets", TEXTS_AT_ONCE)
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -269,7 +271,7 @@ def join_groups(docs: DataFrame, percent: int = 80, size: int = WORDS) -> DataFr
     if not 75 < percent <= 100:
         raise ValueError("percent must be above 75 and at most 100")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = written(summarize(docs, size), "summaries")
+    rows = written(summarize(docs, size), "summaries", TEXTS_AT_ONCE)
     table = frequency_table(rows)
     own = rows.where("chunk is null").select("doc_id", "n", "node", "mins", "firsts")
     nodes = own.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("mins").alias("mins"), F.min("firsts").alias("firsts"))
@@ -296,7 +298,7 @@ def join_groups(docs: DataFrame, percent: int = 80, size: int = WORDS) -> DataFr
     cells = matrix_rows(docs, table, percent, size)
     cells = cells.withColumns({"low": F.min("node").over(by_token), "high": F.max("node").over(by_token)}).where("low <> high").select("token", "node", "reach")
     cells = cells.join(groups, "node", "left").select("token", "node", "reach", F.coalesce("component", "node").alias("group")).distinct()
-    cells = written(cells, "cells")
+    cells = written(cells, "cells", TEXTS_AT_ONCE)
     matrix = cells.select("token", "group").distinct()
     shared = matrix.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("times")).where("low <> high").select("token", "times")
     cells = written(cells.join(shared, "token"), "shared")
