@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paperlane.llm import group_join, language_id, packing, secret_scan, templates
-from paperlane.llm._store import new_folder, written
+from paperlane.llm._store import batches_of, new_folder, written
 from paperlane.llm.queries import tokenizer
 
 
@@ -67,14 +67,17 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("pack", pack),
 ]
 
+TEXTS_AT_ONCE = 2000
+
 # Tokens, filters and lexing are not expressible in SQL; tests/llm compares each stage with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        to = new_folder(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(to)
-        docs = spark.read.parquet(to)
+    with batches_of(spark, TEXTS_AT_ONCE):  # texts and ids travel in small batches in every stage
+        for name, stage in STAGES:
+            to = new_folder(spark, f"stage-{name}")
+            stage(spark, docs, sf_dir).write.parquet(to)
+            docs = spark.read.parquet(to)
     return docs

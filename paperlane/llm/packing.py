@@ -25,6 +25,7 @@ from ._ids import encoder, slices
 from ._store import written
 
 DIMENSIONS, BITS, BUCKETS = 4, 10, 64
+TEXTS_AT_ONCE = 2000  # rows with a text that go to Python together
 
 
 def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
@@ -60,12 +61,12 @@ def _planes() -> np.ndarray:
     return np.random.default_rng(20).standard_normal((BUCKETS, DIMENSIONS))
 
 
-def project(ids: list[np.ndarray]) -> np.ndarray:
+def project(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """A point for each document: signed counts of its hashed ids, damped and of length one, on a few fixed planes."""
-    flat = np.concatenate(ids).astype(np.uint64) if ids else np.zeros(0, np.uint64)
-    bucket = ((flat + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % (2 * BUCKETS)
-    row = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-    counts = np.bincount(row * (2 * BUCKETS) + bucket, minlength=len(ids) * 2 * BUCKETS).reshape(len(ids), 2 * BUCKETS)
+    n = len(bounds) - 1
+    bucket = ((ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % (2 * BUCKETS)
+    bucket += np.repeat(np.arange(n) * (2 * BUCKETS), np.diff(bounds))
+    counts = np.bincount(bucket, minlength=n * 2 * BUCKETS).reshape(n, 2 * BUCKETS)
     vectors = (counts[:, :BUCKETS] - counts[:, BUCKETS:]).astype(float)
     vectors = np.sign(vectors) * np.log1p(np.abs(vectors))
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9) @ _planes()
@@ -107,19 +108,19 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, w
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("text_hash", F.xxhash64("text"))
-    width = "<u2" if encoder(tokenizer).narrow else "<u4"
+    width = encoder(tokenizer).width
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(tokenizer)
-        for b in slices(batches):
-            ids = [np.frombuffer(x, "<u4").astype(width) for x in code.encode(b.column(2).to_pylist())]
-            sizes = [len(x) + 1 for x in ids]
-            at = project(ids)
-            ids = [x.tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), *(pa.array(at[:, d]) for d in range(DIMENSIONS)), pa.array(ids, pa.binary())], ["doc_id", "text_hash", "doc_tokens", *(f"p{d}" for d in range(DIMENSIONS)), "ids"])
+        for b in slices(batches, rows=TEXTS_AT_ONCE, size=4 << 20):
+            ids, bounds = code.encode_flat(b.column(2))
+            sizes = np.diff(bounds) + 1
+            at = project(ids, bounds)
+            ids = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((bounds * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), *(pa.array(at[:, d]) for d in range(DIMENSIONS)), ids], ["doc_id", "text_hash", "doc_tokens", *(f"p{d}" for d in range(DIMENSIONS)), "ids"])
 
     schema = "doc_id long, text_hash long, doc_tokens long" + "".join(f", p{d} double" for d in range(DIMENSIONS)) + ", ids binary"
-    placed = written(docs.select("doc_id", "text_hash", "text").mapInArrow(place, schema), "placed")
+    placed = written(docs.select("doc_id", "text_hash", "text").mapInArrow(place, schema), "placed", TEXTS_AT_ONCE)
     stats = placed.agg(*(f(f"p{d}") for d in range(DIMENSIONS) for f in (F.avg, F.stddev_pop))).first()
     middle = [(stats[2 * d] or 0.0, stats[2 * d + 1] or 1.0) for d in range(DIMENSIONS)]
 
