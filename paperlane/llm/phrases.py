@@ -29,8 +29,9 @@ from ._store import written
 
 LONGEST = 5
 BLOCK = 2_000_000  # words of a block, after which it ends at the next break
-AT_ONCE = 500_000  # places of a block that are sorted at once
+AT_ONCE = 500_000  # places of a block that are looked at at once
 KEYS = 1 << 20  # prefixes or phrases that one pass looks for: 8 MB
+ONE = {"batch_rows": 1, "read_rows": 1}  # blocks are large rows: a task decodes and sends them one by one, however many its files hold
 EXACT = 1 << 20  # frequencies up to this are told apart when first words are dealt to rounds
 _BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n\n ")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -56,12 +57,17 @@ class _Codes(dict):
 
 
 def _parts(text: bytes, size: int = 1 << 22) -> Iterator[bytes]:
-    """`text` in parts of about `size` bytes that end where a word does."""
+    """`text` in parts of about `size` bytes that end where a word does, before a break if one comes within another `size` bytes."""
     at = 0
     for end in range(size, len(text), size):
-        if end > at and (cut := re.compile(rb"[ \n]").search(text, end)):
-            yield text[at : cut.start()]
-            at = cut.start()
+        if end <= at:
+            continue
+        cut = text.find(b"\n", end, end + size)
+        if cut < 0:
+            cut = text.find(b" ", end)
+        if cut >= 0:
+            yield text[at:cut]
+            at = cut
     yield text[at:]
 
 
@@ -87,8 +93,11 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
         for b in slices(batches):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                codes, rows = open_blocks.setdefault(lang, (_Codes(), []))
                 for part in _parts(text.lower().translate(_BREAKS)):
+                    if held > BLOCK and part[:1] == b"\n":
+                        yield from flush()
+                        held = 0
+                    codes, rows = open_blocks.setdefault(lang, (_Codes(), []))
                     found = part.replace(b"\n", b" \n ").split(b" ")
                     found = np.fromiter(map(codes.__getitem__, found), np.int32, len(found))
                     rows.append(found[found >= 0])
@@ -100,11 +109,14 @@ def _blocks(docs: DataFrame) -> DataFrame:
         yield from flush()
 
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    return written(docs.mapInArrow(build, "block long, lang string, words array<binary>, counts array<long>, codes array<int>"), "blocks")
+    return written(docs.mapInArrow(build, "block long, lang string, words array<binary>, counts array<long>, codes array<int>"), "blocks", batch_rows=2000)
 
 
-def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """(lang, ids, frequencies) of each block, word by word; both 0 for breaks and rare words."""
+def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray, int, int]]:
+    """(lang, ids, frequencies, first, end) of stretches of blocks, word by word; both 0 for breaks and rare words.
+
+    Phrases that start at `first` up to `end` are the stretch's own; a word before and the words after them are there to be looked at.
+    """
     for batch in batches:
         for i in range(batch.num_rows):
             one = batch.slice(i, 1)
@@ -113,7 +125,10 @@ def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray
             ids, often = np.zeros((2, int(codes.max(initial=0)) + 1), np.int64)
             code, id_, f = (c.to_numpy(zero_copy_only=False) for c in known.flatten())
             ids[code], often[code] = id_, f
-            yield one.column(0)[0].as_py(), ids[codes], often[codes]
+            for at in range(0, len(codes), AT_ONCE):
+                first, end = min(at, 1), min(AT_ONCE, len(codes) - at)
+                some = codes[at - first : at + end + LONGEST]
+                yield one.column(0)[0].as_py(), ids[some], often[some], first, first + end
 
 
 def _inside(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -124,17 +139,9 @@ def _inside(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 def _counted(parent: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (parent, last) and how often each occurs, sorted a stretch at a time."""
-    done = []
-    for start in range(0, len(parent), AT_ONCE):
-        p, w = parent[start : start + AT_ONCE], last[start : start + AT_ONCE]
-        _, first, n = np.unique(_mix(p, w), return_index=True, return_counts=True)
-        done.append((p[first], w[first], n))
-    if len(done) < 2:
-        return done[0] if done else (parent, last, np.zeros(0, np.int64))
-    parent, last, n = (np.concatenate(c) for c in zip(*done))
-    _, first, place = np.unique(_mix(parent, last), return_index=True, return_inverse=True)
-    return parent[first], last[first], np.bincount(place, n, len(first)).astype(np.int64)
+    """Distinct (parent, last) and how often each occurs."""
+    _, first, n = np.unique(_mix(parent, last), return_index=True, return_counts=True)
+    return parent[first], last[first], n
 
 
 def _in_passes(keys: DataFrame, run: Callable[[np.ndarray], DataFrame]) -> DataFrame | None:
@@ -154,9 +161,9 @@ def _grown(blocks: DataFrame, size: int, window: dict[str, tuple[int, int]], pre
 
     def counting(wanted: np.ndarray | None) -> DataFrame:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for lang, ids, often in _arrays(batches):
+            for lang, ids, often, first, end in _arrays(batches):
                 low, high = window.get(lang, (0, 0))
-                at = np.flatnonzero((often > low) & (often <= high))
+                at = first + np.flatnonzero((often[first:end] > low) & (often[first:end] <= high))
                 at = at[at <= len(ids) - size]
                 for k in range(1, size):
                     at = at[ids[at + k] != 0]
@@ -166,14 +173,15 @@ def _grown(blocks: DataFrame, size: int, window: dict[str, tuple[int, int]], pre
                 if wanted is not None:
                     hit = _inside(parent, wanted)
                     at, parent = at[hit], parent[hit]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in _counted(parent, ids[at + size - 1])], ["parent", "last", "f"])
+                found = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in _counted(parent, ids[at + size - 1])], ["parent", "last", "f"])
+                yield from slices([found], rows=100_000)
 
         return blocks.mapInArrow(count, "parent long, last long, f long")
 
     found = counting(None) if prefixes is None else _in_passes(prefixes, counting)
     if found is None:
         return None
-    return found.groupBy("parent", "last").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return written(found.groupBy("parent", "last").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "grown", **ONE)
 
 
 def _keyed(phrases: DataFrame) -> DataFrame:
@@ -202,8 +210,8 @@ def _seen(blocks: DataFrame, phrases: DataFrame) -> DataFrame | None:
 
     def counting(wanted: np.ndarray) -> DataFrame:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for _, ids, _ in _arrays(batches):
-                at = np.flatnonzero(ids)
+            for _, ids, _, first, end in _arrays(batches):
+                at = first + np.flatnonzero(ids[first:end])
                 key = ids[at]
                 for size in range(2, LONGEST):
                     stay = at <= len(ids) - size
@@ -252,7 +260,7 @@ def _survivors(blocks: DataFrame, vocabulary: DataFrame, totals: DataFrame, wind
     seen = _seen(blocks, phrases)
     if seen is None:
         return None
-    seen = written(seen, "seen")
+    seen = written(seen, "seen", **ONE)
     rights = seen.select("key", "f").unionByName(vocabulary.select(F.col("id").alias("key"), "f")).withColumnsRenamed({"key": "rest", "f": "r"})
     cuts = phrases.select("lang", "key", "words", F.col("f").alias("a"), "lefts", F.posexplode("rests").alias("at", "rest")).join(rights, "rest").join(totals, "lang")
     a, n, l, r = (F.expr(f"cast({c} AS decimal(19, 0))") for c in ("a", "n", "lefts[at]", "r"))
@@ -274,12 +282,12 @@ def mine(docs: DataFrame, least: int = 100, top: int = 2000, first_words: int =
     blocks = _blocks(docs)
     words = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "word"))
     counts = words.groupBy("lang", F.col("word.words").alias("word")).agg(F.sum("word.counts").alias("f"))
-    vocabulary = written(counts.where(F.col("f") >= least).withColumn("id", F.xxhash64("lang", "word")), "vocabulary")
-    totals = written(blocks.groupBy("lang").agg(F.sum(F.expr("aggregate(counts, 0L, (s, x) -> s + x)")).alias("n")), "totals")
+    vocabulary = written(counts.where(F.col("f") >= least).withColumn("id", F.xxhash64("lang", "word")), "vocabulary", **ONE)
+    totals = written(blocks.groupBy("lang").agg(F.sum(F.expr("aggregate(counts, 0L, (s, x) -> s + x)")).alias("n")), "totals", **ONE)
     everywhere = F.sum("word.counts").over(W.partitionBy("lang", "word.words"))  # a narrow row for each block that has the word
     known = words.select("block", (F.col("at") + 1).alias("code"), F.xxhash64("lang", "word.words").alias("id"), everywhere.alias("f")).where(F.col("f") >= least)
     known = known.groupBy("block").agg(F.collect_list(F.struct("code", "id", "f")).alias("known"))  # at most the distinct words of a block
-    grams = written(blocks.select("block", "lang", "codes").join(known, "block").select("lang", "codes", "known"), "grams")
+    grams = written(blocks.select("block", "lang", "codes").join(known, "block").select("lang", "codes", "known"), "grams", **ONE)
     # first words of each language by frequency, rarest first, with the number of words up to there
     steps = vocabulary.groupBy("lang", F.least("f", F.lit(EXACT)).alias("step")).agg(F.count(F.lit(1)).alias("words"))
     steps = written(steps.withColumn("words", F.sum("words").over(W.partitionBy("lang").orderBy("step"))), "steps")

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -218,6 +219,49 @@ def test_phrases_of_odd_rows(spark):
     assert phrases.mine(frame, least=1 << 40).count() == 0
 
 
+def test_blocks_of_phrases_are_read_one_by_one(spark, monkeypatch):
+    """However many blocks a task's files hold, one is in memory at a time; counts of stretches add up."""
+    arrays = phrases._arrays
+
+    def watched(batches):
+        for b in batches:
+            assert b.num_rows == 1, "blocks travel together"
+            yield from arrays([b])
+
+    monkeypatch.setattr(phrases, "_arrays", watched)
+    rows = [(lang, f"u v w x {lang} u v. w x y {i % 3} u v") for i in range(12) for lang in ("de", "en", "fr", "it")]
+    frame = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    assert {tuple(r) for r in phrases.mine(frame, least=3, top=50).collect()} == plain_phrases(rows, 3, 50)
+    batch = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    assert [spark.conf.get(key) for key in batch] == ["10000", "4096"]
+
+
+def test_long_texts_are_dealt_to_blocks_at_breaks(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "BLOCK", 1000)
+    text = "ab cd ef, " * 1_300_000
+    blocks = phrases._blocks(spark.createDataFrame([("x", text)], "lang string, text string"))
+    sizes = [r["n"] for r in blocks.selectExpr("size(filter(codes, c -> c > 0)) AS n").collect()]
+    assert len(sizes) > 2 and sum(sizes) == 3_900_000 and all(n % 3 == 0 for n in sizes)
+
+
+def test_stretches_count_each_place_once():
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 5, 4000).astype(np.int32)
+    known = [{"code": c, "id": 10 + c, "f": c} for c in range(1, 5)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(["x"]), pa.array([codes], pa.list_(pa.int32())), pa.array([known], pa.list_(pa.struct([("code", pa.int32()), ("id", pa.int64()), ("f", pa.int64())])))], ["lang", "codes", "known"]
+    )
+    before, phrases.AT_ONCE = phrases.AT_ONCE, 700
+    try:
+        parts = list(phrases._arrays([batch]))
+    finally:
+        phrases.AT_ONCE = before
+    ids = np.where(codes > 0, codes + 10, 0)
+    assert len(parts) == 6 and np.concatenate([ids_[first:end] for _, ids_, _, first, end in parts]).tolist() == ids.tolist()
+    for k, (_, ids_, often, first, end) in enumerate(parts):
+        assert ids_.tolist() == ids[max(0, 700 * k - 1) : 700 * (k + 1) + phrases.LONGEST].tolist() and often.tolist() == np.maximum(ids_ - 10, 0).tolist()
+
+
 def test_words_are_not_cut_where_texts_are_read_in_parts():
     text = b" ".join(b"%d" % i for i in range(5000))
     for size in (1, 7, 100, 1 << 22):
