@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -220,6 +221,77 @@ def test_suffix_tree_keeps_states_of_rare_words(spark):
     assert {(r["state"], r["word"]): r["n"] for r in frequent if size[r["state"]] >= 20} == {k: n for k, n in want.items() if n and size[k[0]] >= 20}
 
 
+def plain_suffix_tree(texts, learned, shares):
+    """log10 probability of each text, with every continuation of every state in one table."""
+    tokens = [suffix_tree.tokens_of(t) for t in texts]
+    train = [ts for ts, yes in zip(tokens, learned) if yes]
+    c = Counter(w for ts in train for w in ts)
+    total, mass = sum(c.values()), sum(c.values()) + len(c) + 1
+    least = max(4, int(np.ceil(shares.state * total)))
+    follow = {1: {}, 2: {}}
+
+    def before(ts, i):
+        """The contexts of one and two words of token i; before a text stands an end and nothing before that."""
+        return [(ts[i - 1] if i else b"\n",), ((ts[i - 2] if i > 1 else b"\n"), ts[i - 1]) if i else None]
+
+    for d in (1, 2):
+        for ts in train:
+            for i, w in enumerate(ts):
+                context = before(ts, i)[d - 1]
+                if context and all(c[x] >= least for x in context):
+                    follow[d].setdefault(context, Counter())[w] += 1
+    root = lambda w: (c[w] + 1) / mass
+    kept = {}
+
+    def probability(context, w):
+        """Of w in the longest kept state that ends `context`."""
+        if not context:
+            return root(w)
+        if context not in kept:
+            return probability(context[1:], w)
+        ns, size, rest = kept[context]
+        return (ns[w] - shares.discount) / size if w in ns else rest * probability(context[1:], w)
+
+    for d in (1, 2):
+        found = {}
+        for context, ns in follow[d].items():
+            size = sum(ns.values())
+            if size < least:
+                continue
+            old = {w: probability(context[1:], w) for w in ns}
+            unseen = max(1e-12, 1 - sum(old.values()))
+            once = [old[w] for w, n in ns.items() if n == 1]
+            alone = shares.discount * max(len(ns) - 1, 1e-9) / (size - 1) / (unseen + sum(once) / max(1, len(once)))
+            gain = sum(n * math.log((n - 1 - shares.discount) / (size - 1) / old[w]) for w, n in ns.items() if n > 1) + len(once) * math.log(alone)
+            if gain >= shares.least_gain:
+                found[context] = ns, size, shares.discount * len(ns) / size / unseen
+        kept |= found
+    scores = []
+    for ts in tokens:
+        scores.append(sum(math.log10(probability((before(ts, i)[1] or before(ts, i)[0]), w)) for i, w in enumerate(ts)))
+    return scores, kept
+
+
+@pytest.mark.parametrize("continuation", [1e-6, 1e-3, 0.2])
+def test_suffix_tree_lists_all_continuations(spark, monkeypatch, continuation):
+    """Against a plain tree; words and continuations below `continuation` are in the tree as well, in however many blocks and buckets."""
+    monkeypatch.setattr(suffix_tree, "BLOCK", 700)
+    monkeypatch.setattr(suffix_tree, "BUCKET", 400)
+    rng = np.random.default_rng(5)
+    places = [f"town{i}" for i in range(60)]
+    lines = [" ".join(["In", rng.choice(places), "of the", rng.choice(places), *rng.choice(["river", "road", "the hill of the"], 6), rng.choice(places)]) for _ in range(300)]
+    lines += [None, "", "of the nowhere", " \t ", "\u00c9 of the town1"] * 2
+    rows = [(i if i % 9 else None, t) for i, t in enumerate(lines)]
+    shares = suffix_tree.Shares(state=4e-3, continuation=continuation, least_gain=2.0)
+    learned = [i % 5 > 0 for i in range(len(lines))]
+    frame = spark.createDataFrame([(*r, x) for r, x in zip(rows, learned)], "doc_id long, text string, learned boolean")
+    want, kept = plain_suffix_tree(lines, learned, shares)
+    assert {len(c) for c in kept} == {1, 2} and any(n == 1 for ns, _, _ in kept.values() for n in ns.values())
+    got = suffix_tree.score(frame, ~F.col("learned"), shares).collect()
+    key = lambda doc, out, score: (doc is None, doc or 0, out, round(score, 6))
+    assert sorted(key(r["doc_id"], r["held_out"], r["score"]) for r in got) == sorted(key(doc, not yes, score) for (doc, _), yes, score in zip(rows, learned, want))
+
+
 # --- urls and archives -------------------------------------------------------------------------------------------
 
 
